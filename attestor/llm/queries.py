@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, url_filter
+from . import bpe, token_counts, token_files, url_filter
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -25,10 +25,18 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 parts AS (SELECT page_id, url, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -42,7 +50,9 @@ SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 
 QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES = {
