@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts, token_files, url_filter
+from . import bpe, decontaminate, simhash, token_counts, token_files, url_filter
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -21,10 +21,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+OP2_SQL = r"""
+WITH lowered AS (SELECT doc_id, row_number() OVER () AS n, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+items AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(13, len(words)) AS size FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(words[p : p + size - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS p FROM sized)),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (SELECT n, size, p, array_to_string(words[p : p + size - 1], ' ') AS gram FROM (SELECT l.n, l.words, s.size, unnest(range(1, len(l.words) - s.size + 2)) AS p FROM lowered l, sizes s WHERE len(l.words) >= s.size)),
+found AS (SELECT g.n, g.p, g.size, w.item_id FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram),
+hits AS (SELECT n, count(DISTINCT q) AS n_hit FROM (SELECT n, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT n, p, size FROM found)) GROUP BY n),
+named AS (SELECT n, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM found GROUP BY n)
+SELECT l.doc_id, CAST(len(l.words) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(d.n_items, 0) AS n_items, sha256(coalesce(d.names, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(l.words) AS contaminated
+FROM lowered l LEFT JOIN hits h USING (n) LEFT JOIN named d USING (n)
+"""
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -49,12 +73,15 @@ SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
 }
 
 ORACLES = {
+    "op2_decontaminate": OP2_SQL,
     "op8_url_filter": OP8_SQL,
 }
