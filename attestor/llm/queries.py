@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, line_dedup, simhash, token_counts, token_files, url_filter
+from . import bpe, decontaminate, langid, line_dedup, simhash, token_counts, token_files, url_filter
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.evaluate(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -49,7 +53,8 @@ OP3_SQL = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 ls AS (SELECT doc_id, unnest(ls) AS s, unnest(range(len(ls))) AS k FROM split),
 full_lines AS (SELECT * FROM ls WHERE regexp_matches(s, '[^ 	
-]')),
+
+]')),
 firsts AS (SELECT s, min((doc_id, k)) AS place FROM full_lines GROUP BY s),
 longs AS (SELECT s, place, length(s) AS n, substr(s, 1, 8) AS head, substr(s, length(s) - 7) AS tail FROM firsts WHERE length(s) >= 16),
 near AS (
@@ -57,7 +62,8 @@ near AS (
   UNION SELECT a.s FROM longs a JOIN longs b ON a.tail = b.tail AND b.place < a.place AND abs(a.n - b.n) <= 1 WHERE levenshtein(a.s, b.s) <= 1),
 stays AS (SELECT place FROM firsts WHERE s NOT IN (SELECT s FROM near)),
 kept AS (SELECT doc_id, k, s FROM ls WHERE (doc_id, k) IN (SELECT place FROM stays) OR NOT regexp_matches(s, '[^ 	
-]')),
+
+]')),
 joined AS (SELECT doc_id, string_agg(s, chr(10) ORDER BY k) AS text, count(*) AS n_kept FROM kept GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text, CAST(coalesce(len(d.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(j.n_kept, 0) AS INTEGER) AS n_kept
 FROM split d LEFT JOIN joined j USING (doc_id)
@@ -96,6 +102,7 @@ SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, 'allow') AS verdic
 """
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
