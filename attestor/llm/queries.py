@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, simhash, token_counts, token_files, url_filter
+from . import ann, bpe, decontaminate, langid, line_dedup, simhash, token_counts, token_files, url_filter
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -78,6 +79,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -107,6 +112,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_simhash": op5_simhash,
+    "op6_ann": op6_ann,
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
