@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, line_dedup, simhash, token_counts, token_files, url_filter
+from . import ann, bpe, decontaminate, langid, line_dedup, lm_score, simhash, token_counts, token_files, url_filter
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -95,6 +95,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), langid.held_out("doc_id", 7, 2))
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 parts AS (SELECT page_id, url, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -116,6 +120,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {
