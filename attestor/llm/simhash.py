@@ -203,15 +203,32 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     return sent.repartition(max(partitions(spark), min(len(pairs), 4 * partitions(spark))), "pair").groupBy("pair").applyInPandas(run, "u long, v long")
 
 
+def components(fps: DataFrame, radius: int) -> DataFrame:
+    """Rows (fp, component_id) of distinct fingerprints: the smallest id reachable over links."""
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = connected(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    linked = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return linked.join(group, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fingerprint, component_id), one for each row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links, the row's own included.
     """
     fps = written(fingerprints(docs, width, seed, id_col, text_col))
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
-    linked = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = linked.join(group, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(components(fps, radius), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest, with all their columns.
+
+    Rows that repeat an id stay together if any of them is first in its component. Rows with a null id
+    stay if some of their components have no other id.
+    """
+    fps = written(fingerprints(docs, width, seed, id_col, text_col))
+    first = components(fps, radius)
+    # the ids that stay: few columns, so the documents are moved once, by their id
+    stays = fps.join(first, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept")).distinct()
+    return docs.join(stays, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
