@@ -23,6 +23,7 @@ keys keep a row each, ordered by a hash of their text; an empty table gives no s
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -40,7 +41,7 @@ from .units import cut, doubtful
 
 MAGIC = b"IDSHARD1"
 #: Bytes of payload after which a task begins another shard; units whose ids a worker keeps; bits of a level for each key.
-SHARD_BYTES, KEPT, LOAD = 8 << 20, 600_000, 1.6
+SHARD_BYTES, KEPT, LOAD = 8 << 20, 1_000_000, 1.6
 _HEADER = struct.Struct("<8sIIQQQQ")
 _SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 _ROW = np.dtype([("key", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8")])
@@ -155,42 +156,53 @@ class Shard:
 
 
 class LibraryEncoder:
-    """Encodes texts with the tokenizers library, unit by unit; the ids of units are kept."""
+    """Encodes texts with the tokenizers library, unit by unit; the ids of units are kept.
+
+    ``heads`` holds units that begin a text, ``tails`` those that follow a space, without it.
+    """
 
     def __init__(self, path: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library, self.special = Tokenizer.from_file(path), load(path).special
-        self.dtype, self.kept = f"<u{width}", {}
-
-    def _learn(self, units: set[bytes]) -> None:
-        new = [u for u in units if u not in self.kept]
-        if len(self.kept) + len(new) > KEPT:
-            self.kept, new = {}, list(units)
+        self.dtype = f"<u{width}"
+        self.heads: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
+
+    def _learn(self, kept: dict[bytes, bytes], units: set[bytes], space: str) -> None:
+        new = units - kept.keys()
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+            new = units
+        new = list(new)
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
-            for unit, got in zip(some, self.library.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)):
-                self.kept[unit] = np.array(got.ids, self.dtype).tobytes()
+            for unit, got in zip(some, self.library.encode_batch_fast([space + u.decode() for u in some], add_special_tokens=False)):
+                kept[unit] = np.array(got.ids, self.dtype).tobytes()
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Packed ids of texts given as joined UTF-8 bytes and offsets."""
         doubt, raw, ends = doubtful(data, at), data.tobytes(), at.tolist()
         marks = [(s, np.array([i], self.dtype).tobytes()) for s, i in self.special.items()]
-        out = []
+        heads, tails, texts = set(), set(), []
         for k in range(len(ends) - 1):
             text = raw[ends[k] : ends[k + 1]]
-            parts = [(text, b"")]
+            parts = [(b"", text)]  # what stands before a part, and the part
             for mark, packed in marks:
                 if mark in text:
-                    parts = [(p, packed if j else tail) for whole, tail in parts for j, p in enumerate(whole.split(mark))]
+                    parts = [(packed if j else before, p) for before, whole in parts for j, p in enumerate(whole.split(mark))]
             cuts = []
-            for part, before in parts:
+            for before, part in parts:
                 head, *rest = cut(part, bool(doubt[k]) or len(parts) > 1)
-                cuts.append((before, head, [b" " + r for r in rest]))
-            out.append(cuts)
-        self._learn({u for cuts in out for _, head, rest in cuts for u in (head, *rest)})
-        kept = self.kept.__getitem__
-        return [b"".join([x for before, head, rest in cuts for x in (before, kept(head), *map(kept, rest))]) for cuts in out]
+                heads.add(head)
+                tails.update(rest)
+                cuts.append((before, head, rest))
+            texts.append(cuts)
+        self._learn(self.heads, heads, "")
+        self._learn(self.tails, tails, " ")
+        head_of, tail_of = self.heads.__getitem__, self.tails.__getitem__
+        return [b"".join([x for before, head, rest in cuts for x in (before, head_of(head), *map(tail_of, rest))]) for cuts in texts]
 
 
 @lru_cache(maxsize=2)
