@@ -5,6 +5,255 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import similarity, text
+from ..operators import boxes, candidates, consensus, quality, scoring, vectors
+from ..sources.fixtures import view
+from .oracles import ORACLES  # noqa: F401 - part of the registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+
+def _query(function):
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _columns(name: str, source: str, *columns):
+    """Registers a query that projects a view."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return view(spark, sf_dir, source).select(*(c() if callable(c) else c for c in columns))
+
+    QUERIES[name] = run
+
+
+def _scans_and_cards(spark, sf_dir):
+    return view(spark, sf_dir, "scans"), view(spark, sf_dir, "cards")
+
+
+def _pairs(spark, sf_dir):
+    """Distinct spellings of scans with distinct names of the catalogue that share their first two letters."""
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    a = scans.where("ocr_name is not null").select(F.lower("ocr_name").alias("a")).distinct()
+    b = cards.select(F.lower("name").alias("b")).distinct()
+    return a.join(b, F.substring("a", 1, 2) == F.substring("b", 1, 2)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+@_query
+def q01_catalog_compact(spark, sf_dir):
+    return candidates.compact(view(spark, sf_dir, "cards"))
+
+
+_columns("q02_number_keys", "cards", "id", lambda: F.array_join(text.number_keys(F.col("number")), ",").alias("keys"), lambda: F.array_join(text.alias_keys(F.col("set_id"), F.col("number")), ",").alias("aliases"))
+
+
+@_query
+def q03_number_candidates(spark, sf_dir):
+    return candidates.by_number(*_scans_and_cards(spark, sf_dir))
+
+
+_columns("q04_root_name", "cards", "id", lambda: text.catalog_root(F.col("name")).alias("catalog_root"), lambda: text.closed_root(F.col("name")).alias("closed_root"))
+_columns("q05_clean_key", "scans", "scan_id", lambda: text.clean_key(F.col("ocr_name")).alias("key"))
+
+
+@_query
+def q06_exact_name(spark, sf_dir):
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    asked = scans.where("ocr_name is not null")
+    found = candidates.exact_names(asked.select("ocr_name").distinct(), candidates.closed_names(cards))
+    return asked.select("scan_id", "ocr_name").join(found, "ocr_name", "left").select("scan_id", "match")
+
+
+@_query
+def q07_fuzzy_top8(spark, sf_dir):
+    return candidates.fuzzy_names(*_scans_and_cards(spark, sf_dir)).select("root", "known", "score", "place")
+
+
+@_query
+def q08_prefix_block(spark, sf_dir):
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    return candidates.name_pool(scans.where("ocr_name is not null").select("ocr_name").distinct(), candidates.closed_names(cards))
+
+
+@_query
+def q09_indel_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a", "b", similarity.ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@_query
+def q10_token_set_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a", "b", similarity.token_set_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@_query
+def q11_partial_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("a", "b", similarity.partial_ratio(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@_query
+def q12_closed_set_match(spark, sf_dir):
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    return candidates.closed_set(scans.where("ocr_name is not null").select("ocr_name").distinct(), candidates.closed_names(cards))
+
+
+@_query
+def q13_resolve_candidates(spark, sf_dir):
+    """Of all frames' names of a burst, the surest match; of equals the first."""
+    reads, cards = view(spark, sf_dir, "readings"), view(spark, sf_dir, "cards")
+    matched = candidates.closed_set(reads.select(F.col("name").alias("ocr_name")).distinct(), candidates.closed_names(cards))
+    joined = reads.join(matched, reads.name == matched.ocr_name).where("match is not null")
+    best = joined.groupBy("burst_id").agg(F.max_by(F.struct("match", "confidence"), F.struct("confidence", -F.col("frame_no"))).alias("b"))
+    return best.select("burst_id", "b.match", "b.confidence")
+
+
+_columns("q14_parse_printed_id", "id_texts", "event_id", lambda: text.printed_id(F.col("txt"))["id"].alias("id"), lambda: text.printed_id(F.col("txt"))["confidence"].alias("confidence"), lambda: text.printed_id(F.col("txt"))["pattern"].alias("pattern"))
+_columns("q15_parse_hp", "id_texts", "event_id", lambda: text.hp(F.col("txt")).alias("hp"))
+_columns("q16_parse_collector_id", "id_texts", "event_id", lambda: text.collector_id(F.col("txt")).alias("id"))
+_columns("q17_correct_set_total", "votes", "session", "seq", lambda: text.set_total(F.lpad(((F.col("session") * 7 + F.col("seq")) % 300).cast("string"), 3, "0")).alias("total"))
+_columns("q18_fix_slash", "id_texts", "event_id", lambda: text.with_slash(F.col("txt")).alias("fixed"))
+_columns("q19_restricted_alphabet", "id_texts", "event_id", lambda: text.restricted(F.col("txt"), "hp").alias("hp"), lambda: text.restricted(F.col("txt"), "collector_id").alias("collector_id"))
+_columns("q20_token_normalize", "scans", "scan_id", lambda: text.name_token(F.concat("ocr_name", F.lit("@x!"))).alias("token"), lambda: text.names_something(text.name_token(F.col("ocr_name"))).alias("plausible"))
+
+
+@_query
+def q21_font_size_name(spark, sf_dir):
+    """Names from the tokens of each scan, laid out by position and case."""
+    scans = view(spark, sf_dir, "scans").where("ocr_name is not null")
+    tokens = scans.select("scan_id", F.posexplode(F.split("ocr_name", " ")).alias("ord", "text"))
+    x1 = F.col("ord") * 60.0 + (F.col("scan_id") % 7)
+    return boxes.name_by_size(tokens.select("scan_id", "ord", "text", x1.alias("x1"), (x1 + 50).alias("x2"), F.lit(10.0).alias("y1"), (40.0 - F.col("ord") * 5).alias("y2")))
+
+
+@_query
+def q22_roi_vote(spark, sf_dir):
+    reads = view(spark, sf_dir, "readings").select("burst_id", F.col("frame_no").alias("ord"), "printed_id", "roi", F.lit(0.95).alias("confidence"), F.when(F.col("printed_id").startswith("SVP"), "promo_prefix").otherwise("standard_fraction").alias("pattern"))
+    return consensus.region_vote(reads, "burst_id")
+
+
+@_query
+def q23_modal_value(spark, sf_dir):
+    return consensus.modal(view(spark, sf_dir, "readings"), "burst_id", "printed_id", "frame_no")
+
+
+@_query
+def q24_fuzzy_consensus(spark, sf_dir):
+    """With Ratcliff-Obershelp similarity, which SQL can't express."""
+    return consensus.name_consensus(view(spark, sf_dir, "readings"), "burst_id", "name", "frame_no", similarity.matching_blocks)
+
+
+@_query
+def q25_quality_gate(spark, sf_dir):
+    return quality.gate(view(spark, sf_dir, "frames")).select("burst_id", "frame_no", "reason")
+
+
+@_query
+def q26_quality_score(spark, sf_dir):
+    return quality.gate(view(spark, sf_dir, "frames")).where("reason is null").select("burst_id", "frame_no", "quality")
+
+
+@_query
+def q27_burst_consensus(spark, sf_dir):
+    return consensus.burst_consensus(quality.gate(view(spark, sf_dir, "readings")))
+
+
+@_query
+def q28_capture_confidence(spark, sf_dir):
+    burst = consensus.burst_consensus(quality.gate(view(spark, sf_dir, "readings")))
+    db = F.when(F.col("hp").isNull(), 0.0).otherwise(F.col("hp") / 400.0)
+    return burst.select("burst_id", consensus.capture_confidence(F.col("n_passed"), F.col("n_frames"), F.col("id_agreement"), F.col("name_agreement"), F.col("hp_agreement"), db).alias("confidence"))
+
+
+@_query
+def q29_evidence_scores(spark, sf_dir):
+    return scoring.evidence(*_scans_and_cards(spark, sf_dir)).select("scan_id", "id", "total_score", "num_score", "name_score", "hp_score", "final_score", "n_evidence", "strong", "set_identity")
+
+
+@_query
+def q30_verify_decision(spark, sf_dir):
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    return scoring.decide(scans, scoring.evidence(scans, cards))
+
+
+@_query
+def q31_top5_candidates(spark, sf_dir):
+    top = scoring.ranked(scoring.evidence(*_scans_and_cards(spark, sf_dir)), 5)
+    return top.select("scan_id", "place", "id", F.concat("number", F.lit("/"), F.col("printed_total").cast("string")).alias("unique_id"), F.col("hp").try_cast("int").alias("hp"), F.round(F.least(F.col("final_score") / 100, F.lit(1.0)), 4).alias("confidence"))
+
+
+@_query
+def q32_vector_topk(spark, sf_dir):
+    return vectors.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+@_query
+def q33_visual_gate(spark, sf_dir):
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    n = cards.count()
+    seen = scans.select("scan_id", ((F.col("scan_id") * 7 + F.col("scan_id") % 4) % n).alias("k"), (0.75 + (F.col("scan_id") % 25) / 100).alias("similarity")).join(cards.select("k", "id"), "k")
+    return scoring.visual_gate(scans, seen.select("scan_id", "id", "similarity"), cards)
+
+
+@_query
+def q34_rejection_mode(spark, sf_dir):
+    return consensus.rejection_mode(quality.gate(view(spark, sf_dir, "frames")))
+
+
+@_query
+def q35_multi_frame_vote(spark, sf_dir):
+    return consensus.history_vote(view(spark, sf_dir, "votes"))
+
+
+_columns("q36_price_chain", "cards", "id", lambda: scoring.market_price(F.col("holofoil"), F.col("normal"), F.col("reverse_holofoil"), F.col("first_edition")).alias("price"))
+
+
+@_query
+def q37_id_format(spark, sf_dir):
+    """The printed id of each scan's best candidate."""
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    best = scoring.ranked(scoring.evidence(scans, cards), 1)
+    return best.join(scans.select("scan_id", "collector_id"), "scan_id").select("scan_id", scoring.verified_id(F.col("collector_id"), F.col("number"), F.col("printed_total")).alias("unique_id"))
+
+
+@_query
+def q38_known_totals(spark, sf_dir):
+    built_in = spark.createDataFrame([(t,) for t in text.KNOWN_TOTALS], "total string")
+    return view(spark, sf_dir, "cards").select(F.col("printed_total").cast("string").alias("total")).unionByName(built_in).distinct()
+
+
+@_query
+def q39_fallback_chain(spark, sf_dir):
+    return candidates.fallback_chain(*_scans_and_cards(spark, sf_dir))
+
+
+@_query
+def q40_bbox_best_per_class(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    found = lines.select(
+        F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("label"),
+        (F.col("l_suppkey") * 3 - 20).cast("int").alias("x1"), (F.col("l_linenumber") * 30 - 40).cast("int").alias("y1"), (F.col("l_suppkey") * 9 + 40).cast("int").alias("x2"), (F.col("l_linenumber") * 150).cast("int").alias("y2"),
+        (F.col("l_quantity") / 50).alias("confidence"), F.lit(630).alias("width"), F.lit(880).alias("height"),
+    )
+    return boxes.best_boxes(found)
+
+
+@_query
+def q43_crop_regions(spark, sf_dir):
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (F.col("p_size") * 17 + 100).alias("h"), (F.col("p_size") * 11 + 90).alias("w"))
+    return sizes.select("p_partkey", F.explode(boxes.regions(F.col("h"), F.col("w"))).alias("r")).select("p_partkey", "r.*")
+
+
+@_query
+def q41_image_metrics(spark, sf_dir):
+    """Measurements of small images made from embeddings: rows of 8 grey pixels."""
+    pixel = F.transform("embedding", lambda x: F.lpad(F.hex((F.greatest(F.least(x * 400 + 128, F.lit(255.0)), F.lit(0.0))).cast("int")), 2, "0"))
+    images = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.unhex(F.array_join(pixel, "")).alias("data"), (F.size("embedding") / 8).cast("int").alias("h"))
+    return images.select("vec_id", quality.image_metrics("data", "h", F.lit(8), F.lit(1)).alias("m")).select("vec_id", "m.*")
+
+
+@_query
+def q42_file_listing(spark, sf_dir):
+    """Names and sizes of the tables' files; by the same reader as images, with another suffix."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf_dir).select("path", "length")
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes")).orderBy("name", "size_bytes")
