@@ -7,8 +7,9 @@ most one edit (insertion, deletion or substitution of a character) away. The ste
 2. A line of 16 or more characters has two anchors, somewhat less than half of it from either end;
    two lines one edit apart have equal first or equal last anchors, since the edit spoils one of
    them at most. Only lines whose anchor another line has go on.
-3. Those emit, for each such anchor, hashes of the rest of the line and of all its variants with one
-   character deleted. Equal hashes join; the edit distance of the rests is then verified.
+3. The rest of such a line beyond its anchor is anchored and sifted once more in the same way. Then
+   hashes of what is left, about a quarter of the line, and of all its variants with one character
+   deleted are emitted. Equal hashes meet; the edit distance of the rests is then verified.
 4. A distinct line stays if its first place is earlier than those of all its neighbours; each
    document gets the numbers of its lines that stay.
 
@@ -56,39 +57,62 @@ def variants(rest: str) -> list[tuple[int, str]]:
     return [(-1, rest), *((k, rest[:k] + rest[k + 1 :]) for k in range(len(rest)))]
 
 
-def _emit(docs_with_entries: DataFrame, text_col: str) -> DataFrame:
-    """Rows (key, variant, gap, place, rest): the deletion neighbourhood of each entry's rest of the line.
+def _batch(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    The input is taken whole, so that its exchange is the one that the last join uses.
+
+def _rests(docs_with_entries: DataFrame, text_col: str) -> DataFrame:
+    """Rows (key, id, doc, line, rest): for each entry, what is left of the line, less its own shared anchor, by that anchor.
+
+    The rest of a line beyond its anchor is anchored once more in the same way, which leaves about a
+    quarter of the line. The input is taken whole, so that its exchange is the one that the last join uses.
     """
     kind = docs_with_entries.schema["id"].dataType.simpleString()
-    names = ["key", "variant", "gap", "id", "doc", "line", "rest"]
-    types = [pa.int64(), pa.int64(), pa.int32(), None, pa.int64(), pa.int32(), pa.string()]
-
-    def made(rows, id_type):
-        columns = zip(*rows) if rows else [[] for _ in names]
-        return pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(columns, types)], names)
+    names = ["key", "id", "doc", "line", "rest"]
 
     def run(batches):
         from xxhash import xxh64_intdigest
 
         for batch in batches:
+            types = [pa.int64(), batch.schema.field("id").type, pa.int64(), pa.int32(), pa.string()]
             out = []
-            id_type = batch.schema.field("id").type
             texts = pc.struct_field(batch.column("row"), text_col)
             for i in range(batch.num_rows):
-                id_, doc, lines = batch.column("id")[i].as_py(), batch.column("doc")[i].as_py(), texts[i].as_py().split("\n")
+                place, lines = (batch.column("id")[i].as_py(), batch.column("doc")[i].as_py()), texts[i].as_py().split("\n")
                 for e in batch.column("entries")[i].as_py():
                     line = lines[e["line"]]
                     rest = line[e["m"] :] if e["head"] else line[: len(line) - e["m"]]
                     seed = e["key"] & (2**64 - 1)
-                    out += [(e["key"], xxh64_intdigest(v, seed) - 2**63, gap, id_, doc, e["line"], rest) for gap, v in variants(rest)]
-                    if len(out) > 50_000:
-                        yield made(out, id_type)
-                        out = []
-            yield made(out, id_type)
+                    for m in {len(rest) // 8 * 4, max(len(rest) - 1, 0) // 8 * 4}:
+                        cuts = [(b"h", rest[:m], rest[m:]), (b"t", rest[len(rest) - m :], rest[: len(rest) - m])]
+                        for side, anchor, left in cuts if m else cuts[:1]:
+                            out.append((xxh64_intdigest(b"%s%d " % (side, m) + anchor.encode(), seed) - 2**63, *place, e["line"], left))
+            yield _batch(out, names, types)
+
+    return docs_with_entries.mapInArrow(run, f"key long, id {kind}, doc long, line int, rest string")
+
+
+def _emit(rests: DataFrame) -> DataFrame:
+    """Rows (key, variant, gap, id, doc, line, rest): the deletion neighbourhood of each rest."""
+    kind = rests.schema["id"].dataType.simpleString()
+    names = ["key", "variant", "gap", "id", "doc", "line", "rest"]
+
+    def run(batches):
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            types = [pa.int64(), pa.int64(), pa.int32(), batch.schema.field("id").type, pa.int64(), pa.int32(), pa.string()]
+            out = []
+            for key, id_, doc, line, rest in zip(*(batch.column(n).to_pylist() for n in ("key", "id", "doc", "line", "rest"))):
+                seed = key & (2**64 - 1)
+                out += [(key, xxh64_intdigest(v, seed) - 2**63, gap, id_, doc, line, rest) for gap, v in variants(rest)]
+                if len(out) > 50_000:
+                    yield _batch(out, names, types)
+                    out = []
+            yield _batch(out, names, types)
 
-    return docs_with_entries.mapInArrow(run, f"key long, variant long, gap int, id {kind}, doc long, line int, rest string")
+    return rests.select("key", "id", "doc", "line", "rest").mapInArrow(run, f"key long, variant long, gap int, id {kind}, doc long, line int, rest string")
 
 
 def _later(near: DataFrame) -> DataFrame:
@@ -122,7 +146,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     anchored = distinct.where("anchors is not null").select("h1", "place", F.explode("anchors").alias("a")).select("h1", "place", "a.*")
     shared = anchored.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
     entries = anchored.join(shared, "key").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set(F.struct(F.col("place.line").alias("line"), "key", "m", "head")).alias("entries"))
-    later = _later(_emit(keyed.join(entries, "doc"), text_col))
+    rests = _rests(keyed.join(entries, "doc"), text_col)
+    closer = rests.groupBy("key").agg(F.min(F.struct("id", "doc", "line")).alias("low"), F.max(F.struct("id", "doc", "line")).alias("high")).where("low != high").select("key")
+    later = _later(_emit(rests.join(closer, "key")))
     stays = distinct.select("place").join(later, "place", "left_anti")
     kept = stays.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list("place.line").alias("keep"))
     joined = keyed.join(kept, "doc", "left")
