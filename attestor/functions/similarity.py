@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def bound(f, *columns: Column) -> Column:
@@ -74,7 +75,7 @@ def _weighted(a: Column, b: Column) -> Column:
     return ratio(a, b) / 100.0 * 0.45 + token_set_ratio(a, b) / 100.0 * 0.40 + partial_ratio(a, b) / 100.0 * 0.15
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; not symmetric, and nothing that built-in functions express."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])

@@ -193,7 +193,7 @@ def _best(ids: Column, by: str) -> Column:
 
 def chunks(text: Column) -> Column:
     """Lines that aren't blank, neighbouring lines joined, and all of them joined."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     pairs = F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(0), F.size(lines) - 2), lambda i: F.concat(F.get(lines, i), F.lit(" "), F.get(lines, i + 1))))
     whole = F.when(F.size(lines) > 1, F.array(F.array_join(lines, " ")))
     none = F.array().cast("array<string>")

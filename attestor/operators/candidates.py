@@ -15,6 +15,11 @@ from ..functions import similarity, text
 LEAST, MOST = 65, 8
 
 
+def _parts(df: DataFrame) -> int:
+    """Partitions for pairs of names: few rows with much work each, which adaptive execution would put into one."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def compact(cards: DataFrame) -> DataFrame:
     """The catalogue's columns, each card with its set, ordered by id."""
     sets = cards.groupBy("set_id").agg(F.min("set_name").alias("set_name"), F.max("printed_total").alias("set_total"))
@@ -56,7 +61,7 @@ def fuzzy_names(scans: DataFrame, cards: DataFrame) -> DataFrame:
     missing = asked.join(known, asked.root == known.known, "left_anti")
     size = F.length("root")
     spread = missing.select("root", F.explode(F.sequence(F.ceil(size * 0.476).cast("int"), F.floor(size * 2.101).cast("int"))).alias("size"))
-    pairs = spread.join(known.withColumn("size", F.length("known")), "size").select("root", "known", similarity.ratio(F.col("root"), F.col("known")).alias("score"))
+    pairs = spread.join(known.withColumn("size", F.length("known")), "size").repartition(_parts(cards)).select("root", "known", similarity.ratio(F.col("root"), F.col("known")).alias("score"))
     order = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("known"))
     return pairs.where(F.col("score") >= LEAST).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST)
 
@@ -138,7 +143,7 @@ def name_pool(asked: DataFrame, names: DataFrame) -> DataFrame:
 def closed_set(asked: DataFrame, names: DataFrame, least: float = 0.55) -> DataFrame:
     """Rows (ocr_name, match, confidence) for every distinct spelling; no match has confidence 0."""
     exact = exact_names(asked, names).select("ocr_name", "match", F.lit(1.0).alias("confidence"))
-    pool = name_pool(asked, names).join(names, "name").repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows, much work each
+    pool = name_pool(asked, names).join(names, "name").repartition(_parts(names))
     score = similarity.closed_set_score(text.clean_key(F.col("ocr_name")), F.col("key"))
     same_root = (text.closed_root(F.col("ocr_name")) == F.col("root")) & (F.col("root") != "")
     scored = pool.select("ocr_name", "name", "kind", "ord", F.round(F.when(same_root, F.greatest(score, F.lit(0.85))).otherwise(score), 3).alias("score"))

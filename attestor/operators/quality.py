@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # Bounds of the gate.
 BLUR, MAYBE_BLUR, ML_BLUR, GLARE, MAYBE_GLARE, ML_GLARE, AREA = 70.0, 140.0, 0.90, 0.08, 0.03, 0.95, 0.10
@@ -37,7 +38,7 @@ def gate(frames: DataFrame) -> DataFrame:
     return frames.withColumn("reason", r).withColumn("quality", F.when(F.col("reason").isNull(), score(*map(F.col, ("lap", "glare", "area", "card_like")))).otherwise(0.0))
 
 
-@F.pandas_udf("struct<laplacian:double,glare:double,aspect:double>")
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in ("laplacian", "glare", "aspect")]))
 def image_metrics(pixels: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.DataFrame:
     """Variance of the Laplacian, share of pixels over 250, and short by long side, of images in Spark's layout (rows of BGR)."""
     out = []

@@ -77,7 +77,7 @@ def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
     """
     asked = scans.select("scan_id", "collector_id", "ocr_name", "ocr_hp", number_query(F.col("collector_id")).alias("num_query"), total_query(F.col("collector_id")).alias("total_query"))
     pairs = candidates(scans, cards).join(asked, "scan_id").join(cards.select("id", "name", "hp", "number", "set_id", "set_name", "printed_total"), "id")
-    spelled = pairs.where("ocr_name is not null").select(F.lower("ocr_name").alias("a"), F.lower("name").alias("b")).distinct()
+    spelled = pairs.where("ocr_name is not null").select(F.lower("ocr_name").alias("a"), F.lower("name").alias("b")).distinct().repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     alike = spelled.select("a", "b", F.greatest(similarity.ratio(F.col("a"), F.col("b")), similarity.token_set_ratio(F.col("a"), F.col("b"))).cast("double").alias("alike"))
     joined = pairs.join(alike, (F.lower(pairs.ocr_name) == alike.a) & (F.lower(pairs.name) == alike.b), "left")
     scored = (

@@ -240,7 +240,7 @@ held AS (SELECT a.session, a.seq, b.printed_id, count(*) AS n, min(b.r) AS f, av
 best AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY n DESC, f) AS k FROM held)
 SELECT session, seq, CASE WHEN n >= 3 THEN printed_id END AS printed_id, CASE WHEN n >= 3 THEN round(mean, 6) WHEN n = 2 THEN 0.5 ELSE 0 END AS confidence, CASE WHEN n >= 3 THEN 'accepted' WHEN n = 2 THEN 'ambiguous' ELSE 'rejected' END AS status FROM best WHERE k = 1""",
     "q36_price_chain": with_views("cards") + " SELECT id, coalesce(nullif(holofoil, 0), nullif(normal, 0), nullif(reverse_holofoil, 0), first_edition) AS price FROM cards",
-    "q37_id_format": SCORED + f""" SELECT scan_id, CASE WHEN length(w) >= 3 AND length(number) < length(w) AND regexp_matches(number, '^[0-9]+$') THEN lpad(number, length(w), '0') ELSE number END || '/' || st AS unique_id
+    "q37_id_format": SCORED + f""" SELECT scan_id, CASE WHEN length(w) >= 3 AND length(number) < length(w) AND regexp_matches(number, '^[0-9]+$') THEN lpad(number, CAST(length(w) AS INT), '0') ELSE number END || '/' || st AS unique_id
 FROM (SELECT *, coalesce({_digits("trim(split_part(collector_id, '/', 1))")}, '') AS w FROM ranked WHERE place = 1) AS r""",
     "q38_known_totals": with_views("cards") + f" SELECT CAST(printed_total AS VARCHAR) AS total FROM cards UNION SELECT unnest([{_list(text.KNOWN_TOTALS)}])",
     "q39_fallback_chain": with_views("cards", "scans") + f""", want AS (SELECT scan_id, {_catalog_root("coalesce(ocr_name, '')")} AS root, {NUMBER_QUERY} AS nq FROM scans),
