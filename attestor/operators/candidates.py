@@ -86,24 +86,28 @@ def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
     1 the exact name, 2 names that start with the root, 3 and 4 with its first four and three letters,
     5 the number, 6 the number's digits.
     """
-    asked = scans.select("scan_id", text.catalog_root(F.coalesce("ocr_name", F.lit(""))).alias("root"), number_query(F.col("collector_id")).alias("number"))
     names = cards.select("id", F.lower("name").alias("name"))
-    starts = names.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring("name", 1, n))).alias("key"))
-    low = F.lower("root")
-    searches = [
-        (1, asked.where("root != ''").select("scan_id", low.alias("key")), names.withColumnRenamed("name", "key")),
-        (2, asked.where("root != ''").select("scan_id", low.alias("key")), starts),
-        (3, asked.where("length(root) >= 4").select("scan_id", F.substring(low, 1, 4).alias("key")), starts),
-        (4, asked.where("length(root) >= 3").select("scan_id", F.substring(low, 1, 3).alias("key")), starts),
-        (5, asked.where("number is not null").select("scan_id", F.col("number").alias("key")), cards.select("id", F.col("number").alias("key"))),
-        (6, asked.where("number is not null").select("scan_id", text.no_zeros(text.digits(F.col("number"))).alias("key")), cards.select("id", F.col("number").alias("key"))),
-    ]
-    keyed = [q.join(c, "key").select("scan_id", "id", F.lit(step).alias("step")) for step, q, c in searches]
-    found = keyed[0]
-    for more in keyed[1:]:
-        found = found.unionByName(more)
-    first = Window.partitionBy("scan_id")
-    return found.withColumn("least", F.min("step").over(first)).where("step = least").select("scan_id", "id", "step").distinct()
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    index = (
+        names.select("id", F.lit("name").alias("kind"), F.col("name").alias("key"))
+        .unionByName(names.select("id", F.lit("start").alias("kind"), F.explode(prefixes).alias("key")))
+        .unionByName(cards.select("id", F.lit("number").alias("kind"), F.col("number").alias("key")))
+    )
+    root, number = F.col("root"), F.col("number")
+    step = lambda n, kind, key, ok: F.when(ok, F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), key.alias("key")))
+    asked = scans.select("scan_id", F.lower(text.catalog_root(F.coalesce("ocr_name", F.lit("")))).alias("root"), number_query(F.col("collector_id")).alias("number"))
+    searches = F.array(
+        step(1, "name", root, root != ""),
+        step(2, "start", root, root != ""),
+        step(3, "start", F.substring(root, 1, 4), F.length(root) >= 4),
+        step(4, "start", F.substring(root, 1, 3), F.length(root) >= 3),
+        step(5, "number", number, number.isNotNull()),
+        step(6, "number", text.no_zeros(text.digits(number)), number.isNotNull()),
+    )
+    tried = asked.select("scan_id", F.explode(searches).alias("s")).where("s is not null").select("scan_id", "s.*")
+    # which search is the first to find anything is settled before any card is fetched
+    first = tried.join(index.select("kind", "key").distinct(), ["kind", "key"]).groupBy("scan_id").agg(F.min(F.struct("step", "kind", "key")).alias("f"))
+    return first.select("scan_id", "f.*").join(index, ["kind", "key"]).select("scan_id", "id", "step").distinct()
 
 
 # ---------------------------------------------------------------- closed set of names

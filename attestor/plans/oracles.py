@@ -250,7 +250,7 @@ hits AS (SELECT scan_id, id, 1 AS step FROM want JOIN cards ON lower(root) = low
  UNION ALL SELECT scan_id, id, 4 FROM want JOIN cards ON substr(lower(name), 1, 3) = substr(lower(root), 1, 3) WHERE length(root) >= 3
  UNION ALL SELECT scan_id, id, 5 FROM want JOIN cards ON nq = number
  UNION ALL SELECT scan_id, id, 6 FROM want JOIN cards ON ({_no_zeros(_digits("nq"))}) = number WHERE nq IS NOT NULL)
-SELECT DISTINCT scan_id, id, step FROM hits h WHERE step = (SELECT min(step) FROM hits g WHERE g.scan_id = h.scan_id)""",
+SELECT DISTINCT scan_id, id, step FROM (SELECT *, min(step) OVER (PARTITION BY scan_id) AS least FROM hits) AS h WHERE step = least""",
     "q40_bbox_best_per_class": """WITH b AS (SELECT l_orderkey AS image, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS ord, l_returnflag AS label, l_suppkey * 3 - 20 AS x1, l_linenumber * 30 - 40 AS y1, l_suppkey * 9 + 40 AS x2, l_linenumber * 150 AS y2, l_quantity / 50 AS confidence FROM lineitem),
 k AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY confidence DESC, ord) AS n FROM b WHERE confidence >= 0.6)
 SELECT image, label, CAST(greatest(0, least(x1, 630)) AS INT) AS x1, CAST(greatest(0, least(y1, 880)) AS INT) AS y1, CAST(greatest(0, least(x2, 630)) AS INT) AS x2, CAST(greatest(0, least(y2, 880)) AS INT) AS y2, confidence FROM k WHERE n = 1""",
