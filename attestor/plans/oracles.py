@@ -230,7 +230,7 @@ SELECT burst_id, printed_id, score, roi FROM (SELECT *, row_number() OVER (PARTI
     "q26_quality_score": with_views("frames") + f" SELECT burst_id, frame_no, {QUALITY} AS quality FROM frames WHERE {REASON} IS NULL",
     "q27_burst_consensus": with_views("readings") + BURST + " SELECT * FROM burst",
     "q28_capture_confidence": with_views("readings") + BURST + " SELECT burst_id, round(100 * (0.15::DOUBLE * n_passed / n_frames + 0.30::DOUBLE * id_agreement + 0.15::DOUBLE * name_agreement + 0.10::DOUBLE * hp_agreement + 0.30::DOUBLE * CASE WHEN hp IS NULL THEN 0 ELSE CASE WHEN hp / 400.0 > 1 THEN hp / 40000.0::DOUBLE ELSE hp / 400.0::DOUBLE END END), 4) AS confidence FROM burst",
-    "q29_evidence_scores": SCORED + " SELECT scan_id, id, total_score, num_score, name_score, hp_score, final_score, n_evidence, strong, set_identity FROM scored",
+    "q29_evidence_scores": SCORED + " SELECT scan_id, id, total_score::DOUBLE AS total_score, num_score::DOUBLE AS num_score, name_score, hp_score::DOUBLE AS hp_score, final_score, n_evidence, strong, set_identity FROM scored",
     "q30_verify_decision": SCORED + " SELECT s.scan_id, r.id, coalesce(r.final_score, 0) AS best_score, coalesce(r.n_evidence, 0) AS n_evidence, coalesce(strong OR (set_identity AND final_score >= 58 AND n_evidence >= 2), false) AS verified, round(least(coalesce(r.final_score, 0) / 100, 1), 4) AS confidence FROM scans s LEFT JOIN ranked r ON r.scan_id = s.scan_id AND r.place = 1",
     "q31_top5_candidates": SCORED + " SELECT scan_id, place, id, number || '/' || st AS unique_id, TRY_CAST(hp AS INT) AS hp, round(least(final_score / 100, 1), 4) AS confidence FROM ranked WHERE place <= 5",
     "q32_vector_topk": "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) AS s) AS r WHERE rank <= 5",

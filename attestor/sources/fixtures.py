@@ -33,7 +33,7 @@ FROM (SELECT c_custkey, n FROM customer CROSS JOIN (SELECT count(*) AS n FROM pa
 """
 
 FRAMES = """
-SELECT l_orderkey AS burst_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS frame_no,
+SELECT l_orderkey AS burst_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS frame_no,
   min(l_partkey) OVER (PARTITION BY l_orderkey) AS card_key, l_quantity * 8 AS lap, l_discount AS glare, l_tax * 2 AS area,
   l_linenumber % 3 = 0 AS card_like, l_tax * 12 AS ml_blurry, l_discount * 12 AS ml_glare
 FROM lineitem
@@ -60,7 +60,7 @@ FROM (SELECT event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS
 """
 
 VOTES = """
-SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+SELECT user_id AS session, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS seq,
   CASE WHEN event_id % 9 = 0 THEN NULL ELSE concat('XY', CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 3) END AS printed_id,
   0.5 + (event_id % 5) / 10.0 AS confidence, value AS frame_quality
 FROM events
