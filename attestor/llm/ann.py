@@ -151,7 +151,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return empty
     share = F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     tie = F.pmod(F.xxhash64(F.lit(2), "g"), F.lit(1 << 16)).alias("tie")
-    sample = folded.where(share).select("v", tie).toPandas()  # about SAMPLE rows
+    sample = folded.where(share).select("v", tie).toArrow().to_pandas()  # about SAMPLE rows
     if sample.empty:
         sample = folded.limit(SAMPLE).select("v", tie).toPandas()
     curves = spark.sparkContext.broadcast(Curves(np.vstack(sample["v"].to_numpy()), sample["tie"].to_numpy().astype(np.int64)))

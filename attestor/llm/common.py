@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to Python.
+BATCH = 1000
 #: Lower-cases A-Z only, as every contract of this subpackage asks.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -34,7 +36,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
     """The batch in pieces of at most ``most`` bytes of ``text`` (one row at least), so that long texts bound no memory but their own."""
     _, at = utf8(batch.column(batch.schema.get_field_index(text)))
     start = 0
@@ -63,6 +65,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, handed to Python in batches of at most BATCH: texts can be long, and the session's default is 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that other columns of the input clash with nothing."""
-    return df.select(*(F.col(c) for c in columns))
+    return small_batches(df).select(*(F.col(c) for c in columns))

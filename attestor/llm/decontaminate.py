@@ -11,7 +11,7 @@ The sort goes as deep as the longest item: first by as many words as fit 62 bits
 among what is still tied.
 
 The items travel to the executors in broadcast blocks of at most 16 MB of text each, one held at a
-time; documents are never moved. Memory is bounded by a slice (16 MB of text, or one longer text).
+time; documents are never moved. Memory is bounded by a slice (8 MB of text, or one longer text).
 
 Defined results: null texts and texts without words have no words, no hits and aren't contaminated;
 items without words have no window; null item ids count as hits but are not listed; repeated rows
@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, slices, texts
+from .common import LOWER, documents, slices, small_batches, texts
 
 #: Bytes of item text in a broadcast block, and of document text in a shard.
-BLOCK, SHARD = 16 << 20, 16 << 20
+BLOCK, SHARD = 16 << 20, 8 << 20
 #: Lower-cases A-Z and turns all that isn't part of a word to spaces.
 WORDS = bytes(LOWER[c] if 48 <= c <= 57 or 97 <= LOWER[c] <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -256,4 +256,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str
                 n_words, n_hit, _, _ = _shard(texts(batch.column(place)), blocks)
                 yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, small_batches, utf8
 
 #: Buckets of the vectors, rows of a block of vectors, documents of a language that centroids are fitted on (about), centroids of a language.
 BUCKETS, ROWS, SAMPLE, CENTROIDS = 4096, 512, 300, 4
@@ -65,7 +65,7 @@ def _blocks(batches, text: int, name: str):
     """Pieces of batches of few rows and bounded text."""
     for whole in batches:
         for k in range(0, whole.num_rows, ROWS):
-            yield from slices(whole.slice(k, ROWS), name)
+            yield from slices(whole.slice(k, ROWS), name, 1 << 20)
 
 
 @dataclass
@@ -101,7 +101,7 @@ def cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, share: float = 0.25) -> Model:
     """Learns from the text and language of ``training``; rows without either are left out."""
-    rows = training.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = small_batches(training).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
 
     def frequencies(batches):
         n, df = 0, np.zeros(BUCKETS, np.int64)
@@ -124,7 +124,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             v = vectors(*utf8(batch.column(1)), idf)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["lang", "v"])
 
-    chosen = rows.where(draw < sample).select("lang", "text").mapInArrow(embed, "lang string, v binary").toPandas()  # about sample rows a language
+    chosen = rows.where(draw < sample).select("lang", "text").mapInArrow(embed, "lang string, v binary").toArrow().to_pandas()  # about sample rows a language
     languages, centroids, lowest = [], [], 1.0
     for lang, group in chosen.groupby("lang", sort=True):
         v = np.array([np.frombuffer(x, np.float16) for x in sorted(group["v"])]).astype(np.float32)
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, score, rejected = _judge(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, rejected boolean")
+    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def _judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for batch in _blocks(batches, place, text_col):
             yield batch.filter(pa.array(~_judge(batch.column(place), shared.value)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:

@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import written
+from .common import small_batches, written
 
-#: Characters from which lines are compared by edits; white characters of a blank line.
-FUZZY, WHITE = 16, " \t\n\v\f\r"
+#: Characters from which lines are compared by edits; white characters of a blank line; documents that are worked on at once.
+FUZZY, WHITE, ROWS = 16, " \t\n\v\f\r", 256
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -88,6 +88,9 @@ def _rests(docs_with_entries: DataFrame, text_col: str) -> DataFrame:
                         cuts = [(b"h", rest[:m], rest[m:]), (b"t", rest[len(rest) - m :], rest[: len(rest) - m])]
                         for side, anchor, left in cuts if m else cuts[:1]:
                             out.append((xxh64_intdigest(b"%s%d " % (side, m) + anchor.encode(), seed) - 2**63, *place, e["line"], left))
+                if len(out) > 20_000:
+                    yield _batch(out, names, types)
+                    out = []
             yield _batch(out, names, types)
 
     return docs_with_entries.mapInArrow(run, f"key long, id {kind}, doc long, line int, rest string")
@@ -140,6 +143,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` with their columns; ``text_col`` holds the lines that stay, and n_lines and n_kept are added."""
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"))
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc")))
+    small_batches(docs)
     hashes = [F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("line"), "s").alias("h2")]
     distinct = written(lines.groupBy(*hashes).agg(F.min(F.struct("id", "doc", "line")).alias("place"), F.first(_anchors(F.col("s"), F.length("s"))).alias("anchors")).drop("h2"))
     # anchors that more than one distinct line has
@@ -156,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             columns = batch.column("row").flatten()
             texts, n_lines, n_kept = [], [], []
             for text, keep in zip(columns[place].to_pylist(), batch.column("keep").to_pylist()):

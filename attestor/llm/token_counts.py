@@ -32,6 +32,8 @@ from .common import documents, slices, utf8
 
 #: Bytes of a chunk, states after which the tables are emptied, and tokens below a trie node up to which they are told apart.
 CHUNK, MOST_STATES, FEW = 1024, 100_000, 32
+#: Bytes of text of a slice: enough chunks to run side by side.
+SLICE = 8 << 20
 
 _LETTER, _NUMBER, _WHITE = 1, 2, 3
 #: Code points of white space.
@@ -257,7 +259,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 data, at = utf8(batch.column(1))
                 n = count_slice(path, data, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import load
-from .common import partitions, shared_dir, slices, utf8, written
+from .common import partitions, shared_dir, slices, small_batches, utf8, written
 from .units import cut, doubtful
 
 MAGIC = b"IDSHARD1"
@@ -234,7 +234,7 @@ def write(docs: DataFrame, path: str, where: str, end_id: int, id_col: str = "do
     size = len(load(path).tokens)
     width = 2 if max(size - 1, end_id) < 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = docs.repartitionByRange(partitions(spark), F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
     ordered = ordered.select(F.spark_partition_id().alias("part"), "id", "text")
