@@ -29,7 +29,7 @@ from .common import documents, slices, utf8
 from .units import cut, doubtful
 
 #: Pieces and units whose ids are kept in a worker.
-KEPT = 400_000
+KEPT = 200_000
 
 
 class _Kept(dict):
