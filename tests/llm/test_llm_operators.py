@@ -282,3 +282,32 @@ def test_tree_is_a_distribution():
         want.append(tree.logp[state, tree.column[b]])
         state = tree.successor[state, tree.column[b]]
     assert np.allclose(tree.score(data, begin), want)
+
+
+def _lm_texts():
+    rng = random.Random(5)
+    filler = ["".join(rng.choice("abcdefghij ") for _ in range(60_000)) for _ in range(140)]
+    rare = "vwxyz zyxwv wvzxy 日本語 テキスト"
+    return [*filler, *[rare] * 14], rare
+
+
+def test_lm_score_keeps_rare_contexts_of_a_large_corpus(spark):
+    texts, rare = _lm_texts()  # 8 MB, in which the rare text's contexts occur fewer than 15 times
+    docs = documents(spark, texts).unionByName(documents(spark, [rare], 10_000))
+    got = lm_score.score(docs, F.col("doc_id") == 10_000).where("held_out").collect()
+    assert len(got) == 1 and got[0]["score"] > -0.4 * len(rare.encode())
+
+
+def test_lm_slices_equal_the_whole_tree(spark, sample):
+    import pandas as pd
+
+    docs = documents(spark, sample)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(sample))}
+    normal = [b" ".join((t or "").encode().translate(LOWER).split()) + b"\n" for t in sample]
+    grams, n = lm_score.ngrams([t for i, t in enumerate(normal) if not held[i]])
+    rows = [(k, int(g) & ((1 << 8 * (k + 1)) - 1), int(c)) for k in range(lm_score.DEPTH + 1) for g, c in zip(grams, n)]
+    tree = lm_score.grow(pd.DataFrame(rows, columns=["k", "gram", "n"]).groupby(["k", "gram"], as_index=False)["n"].sum(), int(n.sum()))
+    for r in lm_score.score(docs, langid.held_out("doc_id", 7, 2)).collect():
+        data = np.frombuffer(normal[r["doc_id"]], np.uint8)
+        want = tree.score(data, np.arange(len(data)) == 0).sum()
+        assert abs(r["score"] - want) < 1e-4 * max(1, abs(want))
