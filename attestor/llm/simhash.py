@@ -206,7 +206,12 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 def components(fps: DataFrame, radius: int) -> DataFrame:
     """Rows (fp, component_id) of distinct fingerprints: the smallest id reachable over links."""
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    return grouped(distinct, links(distinct.select("fp"), radius))
+
+
+def grouped(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (fp, component_id) of distinct fingerprints with their least ids: the smallest id reachable over edges (u, v)."""
+    roots = connected(edges).withColumnsRenamed({"node": "fp"})
     linked = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     group = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     return linked.join(group, "root").select("fp", "component_id")

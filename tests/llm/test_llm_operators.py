@@ -311,3 +311,27 @@ def test_lm_slices_equal_the_whole_tree(spark, sample):
         data = np.frombuffer(normal[r["doc_id"]], np.uint8)
         want = tree.score(data, np.arange(len(data)) == 0).sum()
         assert abs(r["score"] - want) < 1e-4 * max(1, abs(want))
+
+
+def test_pipeline_drops_near_copies(spark, sample):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randint(0, 4000)}" for _ in range(240)) for _ in range(30)]
+
+    def edited(text, edits):
+        out = text.split()
+        for k in rng.sample(range(len(out)), edits):
+            out[k] = f"edit{rng.randint(0, 10**6)}"
+        return " ".join(out)
+
+    texts = sample + base + [edited(b, k) for b in base for k in (1, 3, 4, 5, 6, 9, 15)]
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    similar = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j])]
+    want = set(groups(len(texts), pairs))
+    assert len(texts) - len(want) > 60
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, documents(spark, texts), "").collect()} == want
