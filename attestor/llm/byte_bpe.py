@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 from .units import PATTERN
@@ -87,6 +88,12 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+def special_pattern(table: ByteBPE) -> re.Pattern[bytes] | None:
+    """Finds special tokens, leftmost and of those the longest, as one group; None if there are none."""
+    names = sorted(filter(None, table.special), key=len, reverse=True)
+    return re.compile(b"(" + b"|".join(map(re.escape, names)) + b")") if names else None
+
+
 @lru_cache(maxsize=1)
 def pre_tokenizer():
     """``findall`` of the pre-tokenizer's pattern."""

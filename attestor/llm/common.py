@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that goes to Python.
-BATCH = 1000
 #: Lower-cases A-Z only, as every contract of this subpackage asks.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -47,10 +47,39 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
         start = end
 
 
+#: Folders of intermediate tables that this process has made.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors reach: below spark.checkpoint.dir, which tests leave unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors reach, below spark.checkpoint.dir; deleted when the driver ends.
+
+    Where the setting and the context's checkpoint folder are unset, a local master gets a folder of its
+    own machine; a cluster is an error, since its machines share no such folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    if "://" not in base:
+        base = base.replace("file:", "file://", 1) if base.startswith("file:") else f"file://{base}" if base.startswith("/") else base
+    _made.append(f"{base.rstrip('/')}/work-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def release() -> None:
+    """Deletes the intermediate tables made so far; results that were not saved can't be computed any more."""
+    while _made:
+        where = _made.pop()
+        for name in (where, f"{where}-manifest"):
+            try:
+                store, path = fs.FileSystem.from_uri(name)
+                store.delete_dir(path)
+            except (OSError, ValueError, pa.ArrowException):  # never written, or a store that only Spark knows
+                pass
 
 
 def written(df: DataFrame, where: str | None = None) -> DataFrame:
@@ -61,16 +90,28 @@ def written(df: DataFrame, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def save(where: str, name: str, data: bytes) -> None:
+    """Writes a file of a shared folder."""
+    store, base = fs.FileSystem.from_uri(where)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{name}") as f:
+        f.write(data)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, handed to Python in batches of at most BATCH: texts can be long, and the session's default is 10,000 rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    return df
+def load_file(where: str, name: str) -> bytes:
+    store, base = fs.FileSystem.from_uri(where)
+    with store.open_input_stream(f"{base}/{name}") as f:
+        return f.read()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that other columns of the input clash with nothing."""
-    return small_batches(df).select(*(F.col(c) for c in columns))
+    """Only the named columns, so that other columns of the input clash with nothing.
+
+    Batches that go to Python are bounded by Spark itself (64 MB or one row, by its default
+    spark.sql.execution.arrow.maxBytesPerBatch); operators cut them further with ``slices``.
+    """
+    return df.select(*(F.col(c) for c in columns))
