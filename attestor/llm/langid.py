@@ -4,12 +4,16 @@ A text becomes a vector of byte n-grams (2 and 3 bytes of lower-cased letters, a
 hashed to a fixed number of buckets, weighted by log-frequency times inverse document frequency and
 normalised. Each language has several centroids, found by spherical k-means on its training vectors,
 so that differing kinds of text do not blur into one mean. The language of the nearest centroid by
-cosine is predicted; a text whose cosine to all centroids is below the rejection bound is rejected.
-The bound is a share of the lowest cosine that a training vector has to its own language, so it
-turns away what is further off than anything seen.
+cosine is predicted; a text whose cosine to it is below that language's rejection bound is rejected.
+Short texts lie further from any centroid than long ones, so each language has a bound for each band
+of text lengths: ``SLACK`` times the ``LOW`` quantile of the cosines that training texts of the band
+have to their own language. So a few odd training texts decide nothing, and only what is clearly
+further off than nearly all of them is turned away. A band with fewer than ``ENOUGH`` texts of a
+language rejects nothing if it is shorter than all that have enough, else it takes the next shorter
+band's bound.
 
-Document frequencies come from all training documents. The centroids are fitted on a bounded sample:
-about ``SAMPLE`` documents of each language, chosen by a hash of their ids.
+Document frequencies and bounds come from all training documents. The centroids are fitted on a
+bounded sample: ``SAMPLE`` documents of each language at most, chosen by a hash of id and text.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0 and rejected; without
 training rows every text is; equal scores go to the language that sorts first; repeated rows each get
@@ -22,13 +26,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, utf8
+from .common import slices, utf8
 
-#: Buckets of the vectors, rows of a block of vectors, documents of a language that centroids are fitted on (about), centroids of a language.
+#: Buckets of the vectors, rows of a block of vectors, documents of a language that centroids are fitted on at most, centroids of a language.
 BUCKETS, ROWS, SAMPLE, CENTROIDS = 4096, 512, 300, 4
+#: Bands of length (by powers of two of the letters), bins of a cosine, quantile and slack of the rejection bound, texts that a band needs, share of a language's texts that a centroid needs.
+BANDS, BINS, LOW, SLACK, ENOUGH, STRAY = 16, 512, 0.001, 0.75, 50, 0.05
 UNKNOWN = "und"
 #: Letters in lower case (bytes beyond ASCII as they are); all else is a space.
 _LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
@@ -57,6 +64,12 @@ def vectors(data: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.where(norm > 0, norm, 1)
 
 
+def bands(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The band of each text: the power of two of its letters' bytes."""
+    letters = np.concatenate([[0], np.cumsum(_LETTERS[data] != 32)])
+    return np.minimum(np.log2(letters[at[1:]] - letters[at[:-1]] + 1).astype(np.int64), BANDS - 1)
+
+
 def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode())
 
@@ -70,12 +83,12 @@ def _blocks(batches, text: int, name: str):
 
 @dataclass
 class Model:
-    """Centroids (rows) with their languages, weights of buckets, and the rejection bound."""
+    """Centroids (rows) with their languages, weights of buckets, and rejection bounds by centroid and band."""
 
     languages: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    bound: float
+    bounds: np.ndarray
 
     def scores(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest centroid of each vector and the cosine, from 0 to 1."""
@@ -85,23 +98,26 @@ class Model:
 
 
 def cluster(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    """Spherical k-means, started from the mean's nearest vector and then the farthest ones."""
-    centres = [v[(v @ v.mean(axis=0)).argmax()]]
-    while len(centres) < min(k, len(v)):
-        centres.append(v[np.max(v @ np.array(centres).T, axis=1).argmin()])
-    c = np.array(centres)
+    """Spherical k-means, started from the means of equal slices along the direction of largest variance.
+
+    A centroid that few vectors are nearest to stands for stray texts and not for the language; it goes.
+    """
+    along = np.linalg.svd(v - v.mean(axis=0), full_matrices=False)[0][:, 0]
+    c = np.array([v[part].mean(axis=0) for part in np.array_split(np.argsort(along, kind="stable"), min(k, len(v)))])
+    c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     for _ in range(rounds):
         near = (v @ c.T).argmax(axis=1)
         for j in range(len(c)):
             if (near == j).any():
                 mean = v[near == j].mean(axis=0)
                 c[j] = mean / max(np.linalg.norm(mean), 1e-12)
-    return c
+    share = np.bincount((v @ c.T).argmax(axis=1), minlength=len(c)) / len(v)
+    return c[share >= min(STRAY, share.max())]
 
 
-def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, share: float = 0.25) -> Model:
+def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learns from the text and language of ``training``; rows without either are left out."""
-    rows = small_batches(training).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
+    rows = training.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
 
     def frequencies(batches):
         n, df = 0, np.zeros(BUCKETS, np.int64)
@@ -116,16 +132,19 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
-        return Model([], np.zeros((0, BUCKETS), np.float32), idf, 0.0)
-    draw = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
+        return Model([], np.zeros((0, BUCKETS), np.float32), idf, np.zeros((0, BANDS)))
+    draw = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
 
     def embed(batches):
         for batch in _blocks(batches, 1, "text"):
             v = vectors(*utf8(batch.column(1)), idf)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["lang", "v"])
 
-    chosen = rows.where(draw < sample).select("lang", "text").mapInArrow(embed, "lang string, v binary").toArrow().to_pandas()  # about sample rows a language
-    languages, centroids, lowest = [], [], 1.0
+    # about sample rows a language are drawn; repeated rows are drawn together, so the window bounds them
+    few = Window.partitionBy("lang").orderBy("d")
+    drawn = rows.withColumn("d", draw).where(F.col("d") < sample).withColumn("n", F.row_number().over(few)).where(F.col("n") <= sample)
+    chosen = drawn.select("lang", "text").mapInArrow(embed, "lang string, v binary").toArrow().to_pandas()  # sample rows a language at most
+    languages, centroids = [], []
     for lang, group in chosen.groupby("lang", sort=True):
         v = np.array([np.frombuffer(x, np.float16) for x in sorted(group["v"])]).astype(np.float32)
         v = v[np.linalg.norm(v, axis=1) > 0]
@@ -134,8 +153,44 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         c = cluster(v, CENTROIDS)
         languages += [lang] * len(c)
         centroids.append(c)
-        lowest = min(lowest, float((v @ c.T).max(axis=1).min()))
-    return Model(languages, np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), idf, share * lowest)
+    model = Model(languages, np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), idf, np.zeros((len(languages), BANDS)))
+    model.bounds = rejection_bounds(rows, model)
+    return model
+
+
+def rejection_bounds(rows: DataFrame, model: Model) -> np.ndarray:
+    """The bound of each centroid's language in each band, from the cosines of all ``rows`` (lang, text) to their own language."""
+    names = sorted(set(model.languages))
+    own = {name: np.flatnonzero(np.array(model.languages) == name) for name in names}
+    shared = rows.sparkSession.sparkContext.broadcast((model, own))
+
+    def spread(batches):
+        model, own = shared.value
+        seen = np.zeros((len(own), BANDS, BINS), np.int64)
+        for batch in _blocks(batches, 1, "text"):
+            data, at = utf8(batch.column(1))
+            cosine, band = vectors(data, at, model.idf) @ model.centroids.T, bands(data, at)
+            lang = np.array(batch.column(0).to_pylist(), object)
+            for k, (name, columns) in enumerate(own.items()):
+                mine = np.flatnonzero(lang == name)
+                best = np.clip(cosine[np.ix_(mine, columns)].max(axis=1) * BINS, 0, BINS - 1).astype(np.int64) if len(mine) else mine
+                np.add.at(seen, (k, band[mine], best), 1)
+        cell = np.flatnonzero(seen.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(seen.ravel()[cell])], ["cell", "n"])
+
+    bounds = np.zeros((len(model.languages), BANDS))
+    if not names:
+        return bounds
+    counted = rows.select("lang", "text").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x BANDS x BINS rows at most
+    seen = np.zeros(len(names) * BANDS * BINS, np.int64)
+    seen[counted["cell"].to_numpy(np.int64)] = counted["n"]
+    for k, grid in enumerate(seen.reshape(len(names), BANDS, BINS)):
+        known = 0.0
+        for band in range(BANDS):
+            if grid[band].sum() >= ENOUGH:
+                known = SLACK * int(np.searchsorted(np.cumsum(grid[band]), LOW * grid[band].sum(), side="right")) / BINS
+            bounds[own[names[k]], band] = known
+    return bounds
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +203,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, score, rejected = _judge(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
-    return small_batches(docs).select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, rejected boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def _judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -159,19 +214,27 @@ def _judge(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.nd
         return [UNKNOWN] * len(column), np.zeros(len(column)), np.ones(len(column), bool)
     best, score = model.scores(vectors(data, at, model.idf))
     score = np.where(letters, score, 0.0)
-    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], score, ~letters | (score < model.bound)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())], score, ~letters | (score < model.bounds[best, bands(data, at)])
+
 
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, with all their columns; judged in place, without a shuffle.
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with all their columns; judged in place, without a shuffle."""
+    Where ``lang_col`` is named, its nulls are filled with the predicted language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    lang = docs.columns.index(lang_col) if lang_col else None
 
     def run(batches):
         for batch in _blocks(batches, place, text_col):
-            yield batch.filter(pa.array(~_judge(batch.column(place), shared.value)[2]))
+            names, _, rejected = _judge(batch.column(place), shared.value)
+            if lang is not None:
+                filled = pc.coalesce(batch.column(lang), pa.array(names, batch.schema.field(lang).type))
+                batch = batch.set_column(lang, batch.schema.field(lang), filled)
+            yield batch.filter(pa.array(~rejected))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
