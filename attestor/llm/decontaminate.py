@@ -10,8 +10,12 @@ which a range runs empty is its longest verbatim match, the last range holds its
 The sort goes as deep as the longest item: first by as many words as fit 62 bits, then by doubling
 among what is still tied.
 
-The items travel to the executors in broadcast blocks of at most 16 MB of text each, one held at a
-time; documents are never moved. Memory is bounded by a slice (8 MB of text, or one longer text).
+The items lie in the shared folder in blocks of at most 16 MB of text. A worker reads them one after
+another for each shard and holds one at a time, the last one from shard to shard; documents are never
+moved. Memory is bounded by a shard (8 MB of text, or one longer text) and a block.
+
+Suffixes with the same range of places are one: ranges of one length are disjoint, so what they hold is
+at most the shard for each length, however often items repeat each other or the documents' boilerplate.
 
 Defined results: null texts and texts without words have no words, no hits and aren't contaminated;
 items without words have no window; null item ids count as hits but are not listed; repeated rows
@@ -20,6 +24,7 @@ each get their row; other columns are ignored; empty tables give empty results o
 
 from __future__ import annotations
 
+import pickle
 from itertools import repeat
 
 import numpy as np
@@ -27,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, slices, small_batches, texts
+from .common import LOWER, documents, load_file, save, shared_dir, slices, texts
 
-#: Bytes of item text in a broadcast block, and of document text in a shard.
+#: Bytes of item text in a block, and of document text in a shard.
 BLOCK, SHARD = 16 << 20, 8 << 20
 #: Lower-cases A-Z and turns all that isn't part of a word to spaces.
 WORDS = bytes(LOWER[c] if 48 <= c <= 57 or 97 <= LOWER[c] <= 122 or c >= 128 else 32 for c in range(256))
@@ -132,13 +137,6 @@ def search(tokens: np.ndarray, suffixes: np.ndarray, test: TestSet):
     return length, low, high, at_window
 
 
-def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For ranges: the number of the range and each value in it."""
-    size = high - low
-    which = np.repeat(np.arange(len(low)), size)
-    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-
-
 def _shard(raw: list[bytes], blocks):
     """Per text: words, hit words, longest match (words, first word, item) and ids of items."""
     joined = b" ".join([*raw, b""]).translate(WORDS)
@@ -156,47 +154,82 @@ def _shard(raw: list[bytes], blocks):
     items: list[set] = [set() for _ in raw]
     doc_of = np.zeros(total, np.int64)
     doc_of[place] = doc
-    for block in blocks:
-        test = block.value
+    for test in blocks:
         tokens = np.zeros(total + test.longest + 1, np.int32)
         tokens[place] = np.fromiter(map(test.vocabulary.get, words, repeat(0)), np.int32, len(words))
         suffixes = suffix_array(tokens, test.longest, len(test.vocabulary))
         length, low, high, window = search(tokens, suffixes, test)
-        which, slot = _expand(window[:, 0], window[:, 1])
-        if not len(which):
+        matched = np.flatnonzero(window[:, 1] > window[:, 0])
+        if not len(matched):
             continue
+        # windows with the same places are one; of one size they are disjoint
+        ranges, where = np.unique(np.column_stack([window[matched], test.window[matched]]), axis=0, return_inverse=True)
+        order = np.argsort(where.ravel(), kind="stable")
+        members = np.split(test.item[matched[order]], np.cumsum(np.bincount(where.ravel(), minlength=len(ranges)))[:-1])
+        for (a, b, _), who in zip(ranges.tolist(), members):
+            names = {test.names[i] for i in np.unique(who).tolist()}
+            for d in np.unique(doc_of[suffixes[a:b]]).tolist():
+                items[d] |= names
+        for size in np.unique(ranges[:, 2]).tolist():
+            mark = np.zeros(len(suffixes) + 1, np.int32)
+            some = ranges[ranges[:, 2] == size]
+            np.add.at(mark, some[:, 0], 1)
+            np.add.at(mark, some[:, 1], -1)
+            at = suffixes[np.cumsum(mark[:-1]) > 0]
+            cover = np.zeros(total + 1, np.int32)
+            np.add.at(cover, at, 1)
+            np.add.at(cover, at + size, -1)
+            hit |= np.cumsum(cover) > 0
+        # the longest match of each place: ranges by length, so that longer ones overwrite
+        depth = length[matched]
+        spans, which = np.unique(np.column_stack([depth, low[matched], high[matched]]), axis=0, return_index=True)
+        longest, whose = np.zeros(len(suffixes), np.int32), np.zeros(len(suffixes), np.int32)
+        for (size, a, b), k in zip(spans.tolist(), which.tolist()):
+            longest[a:b], whose[a:b] = size, test.item[matched[k]]
+        slot = np.flatnonzero(longest)
         at = suffixes[slot]
-        cover = np.zeros(total + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + test.window[which], -1)
-        hit |= np.cumsum(cover) > 0
-        pairs = np.unique(doc_of[at] * len(test.names) + test.item[which])
-        for d, i in zip((pairs // len(test.names)).tolist(), (pairs % len(test.names)).tolist()):
-            items[d].add(test.names[i])
-        matched = np.flatnonzero(window[:, 1] > window[:, 0])
-        which, slot = _expand(low[matched], high[matched])
-        at, size = suffixes[slot], length[matched][which]
-        order = np.lexsort((at, -size, doc_of[at]))
+        order = np.lexsort((at, -longest[slot], doc_of[at]))
         for k in order[np.append(True, np.diff(doc_of[at][order]) > 0)].tolist():
-            d = int(doc_of[at[k]])
-            if size[k] > best[d][0]:
-                best[d] = (int(size[k]), int(at[k] - first[d]), test.names[int(test.item[matched[which[k]]])])
+            d, size = int(doc_of[at[k]]), int(longest[slot[k]])
+            if size > best[d][0]:
+                best[d] = (size, int(at[k] - first[d]), test.names[int(whose[slot[k]])])
     n_hit = np.bincount(doc_of[np.flatnonzero(hit[:total])], minlength=len(raw))
     return n_words, n_hit, best, items
 
 
-def test_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list:
-    """Broadcasts the items in blocks; the driver holds one at a time."""
-    context, blocks, items, size = benchmark.sparkSession.sparkContext, [], [], 0
+class Blocks:
+    """The blocks of a test set in the shared folder, read one after another."""
+
+    held: tuple[str, TestSet] | None = None  # a worker's last block
+
+    def __init__(self, where: str):
+        self.where, self.names = where, []
+
+    def add(self, block: TestSet) -> None:
+        self.names.append(f"block-{len(self.names):06d}")
+        save(self.where, self.names[-1], pickle.dumps(block))
+
+    def __iter__(self):
+        for name in self.names:
+            place = f"{self.where}/{name}"
+            if Blocks.held is None or Blocks.held[0] != place:
+                Blocks.held = None  # goes before the next one comes
+                Blocks.held = (place, pickle.loads(load_file(self.where, name)))
+            yield Blocks.held[1]
+
+
+def test_blocks(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Blocks:
+    """Writes the items in blocks; the driver holds one at a time."""
+    blocks, items, size = Blocks(shared_dir(benchmark.sparkSession)), [], 0
     for name, text in benchmark.select(id_col, text_col).toLocalIterator():
         raw = (text or "").encode()
         if items and size + len(raw) > BLOCK:
-            blocks.append(context.broadcast(TestSet(items, window)))
+            blocks.add(TestSet(items, window))
             items, size = [], 0
         items.append((name, raw))
         size += len(raw)
     if items:
-        blocks.append(context.broadcast(TestSet(items, window)))
+        blocks.add(TestSet(items, window))
     return blocks
 
 
@@ -256,4 +289,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str
                 n_words, n_hit, _, _ = _shard(texts(batch.column(place)), blocks)
                 yield batch.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= n_words))))
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
