@@ -19,7 +19,8 @@ row. How many distinct lines can share a variant is bounded by the alphabet and
 Defined results: blank lines always stay; lines under 16 characters are dropped for equal lines only;
 a null text stays null and has no lines; a document that loses all lines keeps an empty text; rows
 that repeat an id with another text are documents of their own, ordered by a hash of the text; rows
-that repeat both share their decisions; other columns are kept as they are.
+that repeat both share their decisions; null ids come before all others; other columns are
+kept as they are, but for n_lines and n_kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import small_batches, written
+from .common import written
 
 #: Characters from which lines are compared by edits; white characters of a blank line; documents that are worked on at once.
 FUZZY, WHITE, ROWS = 16, " \t\n\v\f\r", 256
@@ -140,15 +141,18 @@ def _later(near: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with their columns; ``text_col`` holds the lines that stay, and n_lines and n_kept are added."""
+    """The rows of ``docs`` with their columns; ``text_col`` holds the lines that stay, and n_lines and n_kept are added.
+
+    Columns of the input that have these two names are replaced.
+    """
+    docs = docs.drop("n_lines", "n_kept")
     keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"))
     lines = _lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("doc")))
-    small_batches(docs)
     hashes = [F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("line"), "s").alias("h2")]
-    distinct = written(lines.groupBy(*hashes).agg(F.min(F.struct("id", "doc", "line")).alias("place"), F.first(_anchors(F.col("s"), F.length("s"))).alias("anchors")).drop("h2"))
+    distinct = written(lines.groupBy(*hashes).agg(F.min(F.struct("id", "doc", "line")).alias("place"), F.first(_anchors(F.col("s"), F.length("s"))).alias("anchors")).withColumn("name", F.struct("h1", "h2")).drop("h1", "h2"))
     # anchors that more than one distinct line has
-    anchored = distinct.where("anchors is not null").select("h1", "place", F.explode("anchors").alias("a")).select("h1", "place", "a.*")
-    shared = anchored.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low != high").select("key")
+    anchored = distinct.where("anchors is not null").select("name", "place", F.explode("anchors").alias("a")).select("name", "place", "a.*")
+    shared = anchored.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low != high").select("key")
     entries = anchored.join(shared, "key").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set(F.struct(F.col("place.line").alias("line"), "key", "m", "head")).alias("entries"))
     rests = _rests(keyed.join(entries, "doc"), text_col)
     closer = rests.groupBy("key").agg(F.min(F.struct("id", "doc", "line")).alias("low"), F.max(F.struct("id", "doc", "line")).alias("high")).where("low != high").select("key")
