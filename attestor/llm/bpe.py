@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import ByteBPE, load, pre_tokenizer
+from .byte_bpe import ByteBPE, load, pre_tokenizer, special_pattern
 from .common import documents, slices, utf8
 from .units import cut, doubtful
 
@@ -58,6 +58,7 @@ class Encoder:
         for i in table.plain:
             self.automaton.add_word(table.tokens[i].decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.special = special_pattern(table)
         self.whole = {table.tokens[i]: i.to_bytes(4, "little") for i in table.plain}
         self.pieces = _Kept(self._piece)
         self.first = _Kept(self._unit)
@@ -97,10 +98,12 @@ class Encoder:
 
     def encode(self, raw: bytes, doubt: bool = True) -> bytes:
         """Packed ids of a whole text. ``doubt``: it may have spaces that are no place to cut."""
-        for content, i in self.table.special.items():
-            if content in raw:
-                inner = [self.encode(part) for part in raw.split(content)]
-                return i.to_bytes(4, "little").join(inner)
+        if self.special is not None and self.special.search(raw):
+            special = self.table.special
+            return b"".join(special[part].to_bytes(4, "little") if k % 2 else self._plain(part, True) for k, part in enumerate(self.special.split(raw)))
+        return self._plain(raw, doubt)
+
+    def _plain(self, raw: bytes, doubt: bool) -> bytes:
         if not raw:
             return b""
         head, *rest = cut(raw, doubt)
