@@ -8,9 +8,10 @@ radius are skipped; all others are compared exactly.
 
 Only distinct fingerprints are compared. A pair of tiles returns a spanning forest of its links, so a
 group of thousands of near copies gives thousands of rows and not their square; the forests meet in a
-distributed search for components. Nothing but the table of bit counts (17^4 rows at most) reaches
-the driver. The number of comparisons grows with the square of the number of distinct fingerprints;
-that is the method's nature.
+distributed search for components. The table of bit counts (17^4 rows at most) and the tiles' bounds
+(eight small numbers for each 131,072 fingerprints) reach the driver; which pairs of tiles meet is
+worked out in tasks. The number of comparisons grows with the square of the number of distinct
+fingerprints; that is the method's nature.
 
 Defined results: null, empty and white texts have fingerprint zero and are linked like others; texts
 with fewer words than a shingle are one shingle; repeated rows each get their row; other columns are
@@ -179,28 +180,37 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     for v, t, p in zip(vector, dealt["tile"], dealt["parts"]):
         low[t : t + p] = np.minimum(low[t : t + p], v)
         high[t : t + p] = np.maximum(high[t : t + p], v)
-    pairs = []
-    for t in range(n_tiles):
-        gap = np.maximum(0, np.maximum(low - high[t], low[t] - high)).sum(axis=1)
-        pairs += [(t, int(o)) for o in np.flatnonzero(gap <= radius) if o >= t]
-    meets: dict[int, list[tuple[int, bool]]] = {t: [] for t in range(n_tiles)}
-    for k, (t, o) in enumerate(pairs):
-        meets[t].append((k, True))
-        if o != t:
-            meets[o].append((k, False))
+    bounds = spark.sparkContext.broadcast((low.astype(np.int8), high.astype(np.int8)))
+
+    def meet(batches):
+        """Each fingerprint with the pairs of tiles that its tile is part of."""
+        low, high = bounds.value
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            fp, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for t in np.unique(tile).tolist():
+                if t not in known:
+                    gap = np.maximum(0, np.maximum(low - high[t], low[t] - high)).astype(np.int64).sum(axis=1)
+                    known[t] = np.flatnonzero(gap <= radius)
+                some = fp[tile == t]
+                for others in np.array_split(known[t], max(1, len(some) * len(known[t]) >> 20)):
+                    pair = np.minimum(others, t) * n_tiles + np.maximum(others, t)
+                    columns = [np.tile(some, len(others)), np.repeat(pair, len(some)), np.repeat(others >= t, len(some))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fp", "pair", "here"])
+
     of_class = spark.createDataFrame(dealt[["q", "tile", "parts"]].astype("int32"))
-    of_tile = spark.createDataFrame([(t, m) for t, m in meets.items()], "tile int, meets array<struct<pair:int,here:boolean>>")
     tiled = classed.join(F.broadcast(of_class), "q").select("fp", (F.col("tile") + F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).alias("tile"))
-    sent = tiled.join(F.broadcast(of_tile) if n_tiles <= 2048 else of_tile, "tile").select("fp", F.explode("meets").alias("m")).select("fp", "m.pair", "m.here")
-    alone = {k for k, (t, o) in enumerate(pairs) if t == o}
+    sent = tiled.mapInArrow(meet, "fp long, pair long, here boolean")
 
     def run(pair, frame):
         fp = frame["fp"].to_numpy().view(np.uint64)
         here = frame["here"].to_numpy()
-        u, v = compare(np.sort(fp[here]), None if pair[0] in alone else np.sort(fp[~here]), radius)
+        alone = pair[0] // n_tiles == pair[0] % n_tiles
+        u, v = compare(np.sort(fp[here]), None if alone else np.sort(fp[~here]), radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return sent.repartition(max(partitions(spark), min(len(pairs), 4 * partitions(spark))), "pair").groupBy("pair").applyInPandas(run, "u long, v long")
+    n = partitions(spark)
+    return sent.repartition(max(n, min(n_tiles * (n_tiles + 1) // 2, 4 * n)), "pair").groupBy("pair").applyInPandas(run, "u long, v long")
 
 
 def components(fps: DataFrame, radius: int) -> DataFrame:
