@@ -7,19 +7,23 @@ by how much the number of tokens changes, which is the transition's output. Stat
 are made when first met and kept for the life of the worker. A start of a piece of the pre-tokenizer
 leads back to the first state from anywhere.
 
-A slice of texts is cut into chunks of equal length that run side by side. A chunk's state map sends
-every state to the same state once a piece starts in it, so the maps compose by a prefix scan that
-takes the last such state; with the states so found, the bytes before each chunk's first piece run
-in a second pass. Chunks in which no piece starts pass their states on one after another.
+A slice of texts is cut into chunks of equal length that run side by side. A chunk's state map is
+known as far as it has been run: for every entry state if a piece starts in the chunk, since all lead
+to the same state then, else for the one entry state it was run from. Such partial maps compose, and a
+prefix scan composes them over all chunks. A chunk without a piece start is first run from the state
+that a warm-up over the bytes before it reaches, which mostly is the right one, since BPE forgets what
+is far back; after the scan, chunks that turn out to be entered in another state run again, all at
+once, and the scan is repeated until every entry is known. So text without spaces runs side by side as
+well. The bytes before a chunk's first piece run last, from the entries so found.
 
 Defined results: null and empty texts have no bytes and no tokens; special tokens inside a text count
 one each, as in the library; repeated rows each get their result; other columns are ignored. Memory
-is bounded by the slice (8 MB of text, or one longer text) and by the tables, emptied when full.
+is bounded by the slice (8 MB of text, or one longer text) and by the tables: when they are full, only
+the states in use stay.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -27,11 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .byte_bpe import ByteBPE, load
+from .byte_bpe import ByteBPE, load, special_pattern
 from .common import documents, slices, utf8
 
-#: Bytes of a chunk, states after which the tables are emptied, and tokens below a trie node up to which they are told apart.
-CHUNK, MOST_STATES, FEW = 1024, 100_000, 32
+#: Bytes of a chunk and of its warm-up, states after which the tables are emptied, and tokens below a trie node up to which they are told apart.
+CHUNK, WARM, MOST_STATES, FEW = 1024, 64, 100_000, 32
 #: Bytes of text of a slice: enough chunks to run side by side.
 SLICE = 8 << 20
 
@@ -152,11 +156,27 @@ class Transducer:
                 self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
         self.next[state, byte], self.gain[state, byte] = new, gain
 
+    def shrink(self, *used: np.ndarray) -> None:
+        """Empties full tables but for the states that the arrays hold, which are renumbered in place."""
+        if len(self.states) <= MOST_STATES:
+            return
+        keep = [self.states[s] for s in np.unique(np.concatenate([np.zeros(1, np.int32), *used])).tolist()]
+        old = np.unique(np.concatenate([np.zeros(1, np.int32), *used]))
+        self.clear()
+        for key in keep[1:]:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+        while len(self.next) < len(self.states):
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+            self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
+        for states in used:
+            states[:] = np.searchsorted(old, states)
+
     def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and outputs of many lanes."""
         code = (state << 8) | byte
         nxt = self.next.ravel().take(code)
-        if nxt.min() < 0:
+        if nxt.min(initial=0) < 0:
             for c in np.unique(code[nxt < 0]).tolist():
                 self.extend(c >> 8, c & 255)
             nxt = self.next.ravel().take(code)
@@ -165,55 +185,70 @@ class Transducer:
     def gains(self, data: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The change of the token count at every byte; ``start`` says where pieces start."""
         n = len(data)
-        if len(self.states) > MOST_STATES:
-            self.clear()
         lanes = -(-n // CHUNK)
         byte, fresh = np.zeros(lanes * CHUNK, np.int32), np.ones(lanes * CHUNK, bool)
         byte[:n], fresh[:n] = data, start
         byte, fresh = np.ascontiguousarray(byte.reshape(lanes, CHUNK).T), np.ascontiguousarray(fresh.reshape(lanes, CHUNK).T)
         out = np.zeros((CHUNK, lanes), np.int16)
-        # first pass: from each chunk's first piece on
-        state, awake = np.zeros(lanes, np.int32), np.zeros(lanes, bool)
-        for k in range(CHUNK):
-            awake |= fresh[k]
-            state[fresh[k]] = 0
-            if awake.all():
-                state, out[k] = self.step(state, byte[k])
-            elif awake.any():
-                state[awake], out[k, awake] = self.step(state[awake], byte[k, awake])
-        # scan: the state in which each chunk is entered, as far as a chunk before it settles it
         head = np.where(fresh.any(axis=0), fresh.argmax(axis=0), CHUNK)
-        settled, exits = scan(awake, state)
-        entry, ready = np.zeros(lanes, np.int32), np.ones(lanes, bool)
-        entry[1:], ready[1:] = exits[:-1], settled[:-1]
-        # second pass: what lies before the first piece; a chunk without one passes its last state on
-        waiting = np.flatnonzero(head > 0)
-        entry_known = ready & np.append(True, awake[:-1])
-        while len(waiting):
-            now = waiting[entry_known[waiting]]
-            at, lengths = entry[now], head[now]
-            for k in range(int(lengths.max())):
-                going = lengths > k
-                at[going], out[k, now[going]] = self.step(at[going], byte[k, now[going]])
-            whole = now[(lengths == CHUNK) & (now + 1 < lanes)]
-            entry[whole + 1], entry_known[whole + 1] = at[(lengths == CHUNK) & (now + 1 < lanes)], True
-            waiting = waiting[~np.isin(waiting, now)]
+        constant = head < CHUNK
+        entry, exits = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        whole = np.flatnonzero(~constant)
+
+        def run(chosen: np.ndarray, states: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            """Runs chunks from places ``first`` to ``last``, a piece starting at the first of them or not; returns their last states."""
+            for k in range(int(first.min(initial=CHUNK)), int(last.max(initial=0))):
+                self.shrink(states, entry, exits)
+                going = (first <= k) & (k < last)
+                if going.all():
+                    states[fresh[k, chosen]] = 0
+                    states[:], out[k, chosen] = self.step(states, byte[k, chosen])
+                elif going.any():
+                    states[going & fresh[k, chosen]] = 0
+                    states[going], out[k, chosen[going]] = self.step(states[going], byte[k, chosen[going]])
+            return states
+
+        # maps of chunks with a piece start: from there on all states lead to one
+        some = np.flatnonzero(constant)
+        exits[some] = run(some, np.zeros(len(some), np.int32), head[some], np.full(len(some), CHUNK))
+        # maps of the others, for the state that the last bytes before them lead to
+        if len(whole):
+            guess = np.zeros(len(whole), np.int32)
+            for k in range(CHUNK - WARM, CHUNK):
+                self.shrink(guess, entry, exits)
+                guess[fresh[k, whole - 1]] = 0
+                guess[:], _ = self.step(guess, byte[k, whole - 1])
+            again = whole
+            entry[again] = guess
+            while len(again):
+                exits[again] = run(again, entry[again], np.zeros(len(again), np.int64), np.full(len(again), CHUNK))
+                known, prefix = scan(constant, entry, exits)
+                # the first chunk of each stretch that is not settled: what it is really entered in is known
+                again = whole[known[whole - 1] & ~known[whole]]
+                entry[again] = prefix[again - 1]
+        # what lies before the first piece of a chunk
+        before = np.flatnonzero(constant & (head > 0))
+        if len(before):
+            run(before, exits[before - 1], np.zeros(len(before), np.int64), head[before])
         return np.ascontiguousarray(out.T).reshape(-1)[:n]
 
 
-def scan(constant: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix compositions of chunk maps, in log2(chunks) rounds.
+def scan(constant: np.ndarray, entry: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix compositions of partial chunk maps, in log2(chunks) rounds: which are known of the first chunk's entry on, and the state they lead to.
 
-    A map is constant (all states lead to ``exits``) or not; of two maps in a row the later decides
-    where it is constant, else the earlier.
+    A map sends all states (``constant``) or one (``entry``) to ``exits``; the first chunk's map is
+    constant. Of two maps in a row the later decides if it is constant; else they compose where the
+    earlier leads to the later's entry, and nowhere else.
     """
-    constant, exits, step = constant.copy(), exits.copy(), 1
+    constant, entry, exits, some, step = constant.copy(), entry.copy(), exits.copy(), np.ones(len(exits), bool), 1
     while step < len(exits):
-        take = ~constant[step:]
-        exits[step:] = np.where(take, exits[:-step], exits[step:])
-        constant[step:] |= constant[:-step]
+        fits = some[:-step] & some[step:] & (exits[:-step] == entry[step:])
+        joined = constant[step:] | fits
+        some[step:] = np.where(constant[step:], some[step:], fits)
+        entry[step:] = np.where(constant[step:], entry[step:], entry[:-step])
+        constant[step:] = constant[step:] | (joined & constant[:-step])
         step *= 2
-    return constant, exits
+    return constant & some, exits
 
 
 @lru_cache(maxsize=1)
@@ -232,10 +267,9 @@ def count_slice(path: str, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     begins[at] = True
     raw = data.tobytes()
     specials = []
-    if machine.table.special:
-        pattern = re.compile(b"|".join(re.escape(s) for s in sorted(machine.table.special, key=len, reverse=True)))
+    if special_pattern(machine.table) is not None:
         ends = at[1:]
-        for m in pattern.finditer(raw):
+        for m in special_pattern(machine.table).finditer(raw):
             a, b = m.span()
             if b <= ends[np.searchsorted(ends, a, side="right")]:
                 specials.append((a, b))

@@ -62,12 +62,26 @@ def test_token_counts(spark, library, sample):
 
 def test_scan_composes_maps():
     rng = np.random.default_rng(1)
-    constant, exits = rng.random(37) < 0.3, rng.integers(0, 9, 37)
-    known, states = token_counts.scan(constant, exits)
-    last = None
-    for i in range(37):
-        last = int(exits[i]) if constant[i] else last
-        assert bool(known[i]) == (last is not None) and (last is None or states[i] == last)
+    for _ in range(200):
+        constant, entry, exits = rng.random(37) < 0.3, rng.integers(0, 2, 37), rng.integers(0, 2, 37)
+        constant[0] = True
+        known, states = token_counts.scan(constant, entry, exits)
+        last = None
+        for i in range(37):
+            last = int(exits[i]) if constant[i] or last == entry[i] else None
+            assert bool(known[i]) == (last is not None) and (last is None or states[i] == last)
+
+
+def test_token_counts_of_long_pieces(library, monkeypatch):
+    rng = random.Random(9)
+    texts = ["x" * 40_000, "".join(rng.choice("abcdefgh") for _ in range(60_000)), "".join(rng.choice("日本語のテキストを書く") for _ in range(30_000)), "ab" * 20_000 + " c", "é1" * 9000]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert token_counts.count_slice(PATH, data, at).tolist() == want
+    monkeypatch.setattr(token_counts, "MOST_STATES", 60)
+    token_counts.transducer(PATH).clear()
+    assert token_counts.count_slice(PATH, data, at).tolist() == want
 
 
 def test_token_files(spark, library, sample, tmp_path):
