@@ -14,11 +14,16 @@ rest on; a key's value is the rank of its bit. A lookup reads one bit per level
 the number of keys), one slot, whose fingerprint turns foreign keys away, and one row.
 
 Documents are range-partitioned by key, so shards in the order of their names hold ascending keys.
-A shard is written under a name of its own attempt and then moved, so a task that is run again
-replaces its shard by the same bytes. Shards go to the shared folder through pyarrow's file systems.
+The manifest has a row for each shard, with its least and greatest key. Keyed access first finds the
+shards whose range holds the key (a search in the ordered manifest), then the slot by the hash.
+
+A shard is written once, under a name of its task attempt, and nothing is moved or replaced: the
+manifest, which Spark commits, lists the shards of the attempts that counted. Shards go to the shared
+folder through pyarrow's file systems.
 
 Defined results: null and empty texts have the end id only; null keys come first; documents with equal
-keys keep a row each, ordered by a hash of their text; an empty table gives no shard.
+keys keep a row each, ordered by a hash of their text; an empty table gives no shard. Keys are
+integers of up to 64 bits; other types are refused with a TypeError.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .byte_bpe import load
-from .common import partitions, shared_dir, slices, small_batches, utf8, written
+from .byte_bpe import load, special_pattern
+from .common import load_file, partitions, save, shared_dir, slices, utf8, written
 from .units import cut, doubtful
 
 MAGIC = b"IDSHARD1"
@@ -143,13 +148,18 @@ class Shard:
         here &= self.rows["key"][self.slots["row"][at]] == np.asarray(keys)
         return np.where(here, at, -1)
 
+    def locate(self, keys: np.ndarray) -> np.ndarray:
+        """The rows of the documents with the keys, in the order of the keys; keys that aren't here have none."""
+        slot = self.find(keys)
+        slot = slot[slot >= 0]
+        if not len(slot):
+            return np.zeros(0, np.int64)
+        first, n = self.slots["row"][slot].astype(np.int64), self.slots["rows"][slot].astype(np.int64)
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
     def get(self, key: int) -> list[np.ndarray]:
         """The ids of the documents with that key."""
-        slot = int(self.find(np.array([key]))[0])
-        if slot < 0:
-            return []
-        first, n = int(self.slots["row"][slot]), int(self.slots["rows"][slot])
-        return [self.ids[int(r["start"]) : int(r["start"]) + int(r["n"])] for r in self.rows[first : first + n]]
+        return [self.ids[int(r["start"]) : int(r["start"]) + int(r["n"])] for r in self.rows[self.locate(np.array([key]))]]
 
 
 # ---------------------------------------------------------------- encoding with the library
@@ -165,7 +175,7 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.library, self.special = Tokenizer.from_file(path), load(path).special
+        self.library, self.special, self.pattern = Tokenizer.from_file(path), load(path).special, special_pattern(load(path))
         self.dtype = f"<u{width}"
         self.heads: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
@@ -184,14 +194,14 @@ class LibraryEncoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Packed ids of texts given as joined UTF-8 bytes and offsets."""
         doubt, raw, ends = doubtful(data, at), data.tobytes(), at.tolist()
-        marks = [(s, np.array([i], self.dtype).tobytes()) for s, i in self.special.items()]
+        packed = {s: np.array([i], self.dtype).tobytes() for s, i in self.special.items()}
         heads, tails, texts = set(), set(), []
         for k in range(len(ends) - 1):
             text = raw[ends[k] : ends[k + 1]]
             parts = [(b"", text)]  # what stands before a part, and the part
-            for mark, packed in marks:
-                if mark in text:
-                    parts = [(packed if j else before, p) for before, whole in parts for j, p in enumerate(whole.split(mark))]
+            if self.pattern is not None and self.pattern.search(text):
+                found = self.pattern.split(text)
+                parts = [(packed[found[j - 1]] if j else b"", found[j]) for j in range(0, len(found), 2)]
             cuts = []
             for before, part in parts:
                 head, *rest = cut(part, bool(doubt[k]) or len(parts) > 1)
@@ -213,41 +223,36 @@ def library_encoder(path: str, width: int) -> LibraryEncoder:
 # ---------------------------------------------------------------- writing and reading
 
 
-def _save(where: str, name: str, data: bytes) -> None:
-    store, base = fs.FileSystem.from_uri(where)
-    store.create_dir(base, recursive=True)
-    trial = f"{base}/_{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(trial) as f:
-        f.write(data)
-    store.move(trial, f"{base}/{name}")
-
-
 def read_shard(where: str, name: str) -> Shard:
-    store, base = fs.FileSystem.from_uri(where)
-    with store.open_input_stream(f"{base}/{name}") as f:
-        return Shard(f.read())
+    return Shard(load_file(where, name))
 
 
 def write(docs: DataFrame, path: str, where: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes shards of ``docs`` below ``where``; the manifest: name, rows, ids and base (ids of all shards before)."""
+    """Writes shards of ``docs`` below ``where``; the manifest: name, part, n (their order), rows, ids, least, greatest (keys) and base (ids of all shards before)."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col}: keys are integers, not {docs.schema[id_col].dataType.simpleString()}")
     size = len(load(path).tokens)
     width = 2 if max(size - 1, end_id) < 1 << 16 else 4
     end = np.array([end_id], f"<u{width}").tobytes()
-    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     ordered = docs.repartitionByRange(partitions(spark), F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
     ordered = ordered.select(F.spark_partition_id().alias("part"), "id", "text")
 
+    schema = pa.schema([("name", pa.string()), ("part", pa.int32()), ("n", pa.int32()), *((c, pa.int64()) for c in ("rows", "ids", "least", "greatest"))])
+
     def run(batches):
         keys, ids, bytes_, part, n = [], [], 0, 0, 0
         encoder = library_encoder(path, width)
 
         def flush():
             nonlocal keys, ids, bytes_, n
-            name = f"shard-{part:06d}-{n:06d}"
-            _save(where, name, pack(keys, ids, width, end_id))
-            row = pa.RecordBatch.from_pydict({"name": [name], "rows": pa.array([len(keys)], pa.int64()), "ids": pa.array([bytes_ // width], pa.int64())})
+            name = f"shard-{part:06d}-{n:06d}-{uuid.uuid4().hex}"
+            save(where, name, pack(keys, ids, width, end_id))
+            real = [k for k in keys if k is not None]
+            values = [name, part, n, len(keys), bytes_ // width, min(real, default=None), max(real, default=None)]
+            row = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types)], schema.names)
             keys, ids, bytes_, n = [], [], 0, n + 1
             return row
 
@@ -263,13 +268,13 @@ def write(docs: DataFrame, path: str, where: str, end_id: int, id_col: str = "do
         if keys:
             yield flush()
 
-    manifest = written(ordered.mapInArrow(run, "name string, rows long, ids long"), f"{where}-manifest")
-    before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
+    manifest = written(ordered.mapInArrow(run, "name string, part int, n int, rows long, ids long, least long, greatest long"), f"{where}-manifest")
+    before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
     return manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
 def read(manifest: DataFrame, where: str, id_col: str = "doc_id") -> DataFrame:
-    """Rows (id, start, n_tokens, ids_crc32) of all documents, found through each shard's index.
+    """Rows (id, start, n_tokens, ids_crc32) of all documents: each key's rows as the index finds them.
 
     ``start`` counts the ids of all documents before; the checksum is over the ids as little-endian
     unsigned 32-bit integers.
@@ -279,10 +284,11 @@ def read(manifest: DataFrame, where: str, id_col: str = "doc_id") -> DataFrame:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = read_shard(where, name)
-                rows = shard.rows
-                slots = shard.find(np.unique(rows["key"][rows["null"] == 0]))
-                if (slots < 0).any() or int(shard.slots["rows"][slots].sum()) != int((rows["null"] == 0).sum()):
+                null = shard.rows["null"] == 1  # rows without a key come first and no index has them
+                found = shard.locate(np.unique(shard.rows["key"][~null]))
+                if len(found) != int((~null).sum()):
                     raise ValueError(f"{name}: the index misses keys")
+                rows = shard.rows[np.concatenate([np.flatnonzero(null), found])]
                 ids = shard.ids.astype("<u4")
                 start, n = rows["start"].astype(np.int64), rows["n"].astype(np.int64)
                 crc = [zlib.crc32(ids[a : a + b].tobytes()) for a, b in zip(start.tolist(), n.tolist())]
@@ -293,6 +299,29 @@ def read(manifest: DataFrame, where: str, id_col: str = "doc_id") -> DataFrame:
     return dealt.mapInArrow(run, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(manifest: DataFrame, where: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
+    """Rows (key, ids array<int>) of the documents with the ``keys``, once for each distinct key and document.
+
+    A key meets the partitions of the writing job whose range holds it (one row for each of them is
+    broadcast), then by equality their shards, of which those whose range holds it are opened; there a
+    key costs one lookup.
+    """
+    asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
+    inside = F.col("key").between(F.col("least"), F.col("greatest"))
+    parts = manifest.groupBy("part").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    dealt = asked.join(F.broadcast(parts), inside).select("key", "part").join(manifest.select("part", "name", "least", "greatest"), "part").where(inside).groupBy("name").agg(F.collect_list("key").alias("keys"))
+
+    def run(batches):
+        for batch in batches:
+            for name, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard = read_shard(where, name)
+                rows = shard.rows[shard.locate(np.array(some, np.int64))]
+                ids = [shard.ids[a : a + n].astype(np.int32) for a, n in zip(rows["start"].astype(np.int64).tolist(), rows["n"].astype(np.int64).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(ids, pa.list_(pa.int32()))], [key_col, "ids"])
+
+    return dealt.mapInArrow(run, f"{key_col} long, ids array<int>")
+
+
 def write_and_read(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", where: str | None = None) -> DataFrame:
     """Writes the shards, by default to a new shared folder, and returns what is read back."""
     where = where or shared_dir(docs.sparkSession)
