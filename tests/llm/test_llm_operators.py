@@ -3,7 +3,6 @@
 import hashlib
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestor.llm import ann, bpe, components, decontaminate, langid, line_dedup, lm_score, simhash, token_counts, token_files, url_filter
+from attestor.llm import ann, bpe, components, decontaminate, langid, line_dedup, simhash, token_counts, token_files, url_filter
 from attestor.llm.byte_bpe import vocabulary_path
 from attestor.llm.common import LOWER
 
@@ -259,74 +258,6 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
 
 
-def test_lm_score(spark, sample):
-    texts = [*sample, "the cat", "THE cat sat", "cat the"]
-    docs = documents(spark, texts)
-    got = {r["doc_id"]: r for r in lm_score.score(docs, langid.held_out("doc_id", 7, 2)).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
-    count = Counter(w for i, t in enumerate(texts) if not held[i] for w in [*words(t), None])
-    n, v = sum(count.values()), len(count)
-    for i, t in enumerate(texts):
-        tokens = [*words(t), None]
-        base = sum(np.log10((count[w] + 1) / (n + v + 1)) for w in tokens)
-        r = got[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens), sum(count[w] > 0 for w in tokens), n)
-        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0
-    assert lm_score.score(docs.limit(0), F.lit(False)).count() == 0
-
-
-def test_tree_is_a_distribution():
-    grams, n = lm_score.ngrams([b"the cat sat on the mat\n", b"the hat\n"] * 300)
-    import pandas as pd
-
-    rows = [(k, int(g) & ((1 << 8 * (k + 1)) - 1), int(c)) for k in range(lm_score.DEPTH + 1) for g, c in zip(grams, n)]
-    counts = pd.DataFrame(rows, columns=["k", "gram", "n"]).groupby(["k", "gram"], as_index=False)["n"].sum()
-    tree = lm_score.grow(counts, int(n.sum()))
-    unseen = 256 - (tree.successor.shape[1] - 1)
-    p = 10.0 ** tree.logp.astype(float)
-    assert len(p) > 5 and np.allclose(p[:, :-1].sum(axis=1) + unseen * p[:, -1], 1, atol=1e-4)
-    # scoring in stretches equals walking the longest kept context byte by byte
-    data = np.frombuffer(b"the cat\nthat mat sat\n" * 90, np.uint8)
-    begin = np.zeros(len(data), bool)
-    begin[0] = True
-    begin[np.flatnonzero(data[:-1] == 10) + 1] = True
-    state, want = tree.start, []
-    for b, new in zip(data.tolist(), begin.tolist()):
-        state = tree.start if new else state
-        want.append(tree.logp[state, tree.column[b]])
-        state = tree.successor[state, tree.column[b]]
-    assert np.allclose(tree.score(data, begin), want)
-
-
-def _lm_texts():
-    rng = random.Random(5)
-    filler = ["".join(rng.choice("abcdefghij ") for _ in range(60_000)) for _ in range(140)]
-    rare = "vwxyz zyxwv wvzxy 日本語 テキスト"
-    return [*filler, *[rare] * 14], rare
-
-
-def test_lm_score_keeps_rare_contexts_of_a_large_corpus(spark):
-    texts, rare = _lm_texts()  # 8 MB, in which the rare text's contexts occur fewer than 15 times
-    docs = documents(spark, texts).unionByName(documents(spark, [rare], 10_000))
-    got = lm_score.score(docs, F.col("doc_id") == 10_000).where("held_out").collect()
-    assert len(got) == 1 and got[0]["score"] > -0.4 * len(rare.encode())
-
-
-def test_lm_slices_equal_the_whole_tree(spark, sample):
-    import pandas as pd
-
-    docs = documents(spark, sample)
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(sample))}
-    normal = [b" ".join((t or "").encode().translate(LOWER).split()) + b"\n" for t in sample]
-    grams, n = lm_score.ngrams([t for i, t in enumerate(normal) if not held[i]])
-    rows = [(k, int(g) & ((1 << 8 * (k + 1)) - 1), int(c)) for k in range(lm_score.DEPTH + 1) for g, c in zip(grams, n)]
-    tree = lm_score.grow(pd.DataFrame(rows, columns=["k", "gram", "n"]).groupby(["k", "gram"], as_index=False)["n"].sum(), int(n.sum()))
-    for r in lm_score.score(docs, langid.held_out("doc_id", 7, 2)).collect():
-        data = np.frombuffer(normal[r["doc_id"]], np.uint8)
-        want = tree.score(data, np.arange(len(data)) == 0).sum()
-        assert abs(r["score"] - want) < 1e-4 * max(1, abs(want))
-
-
 def test_pipeline_drops_near_copies(spark, sample):
     import corpus_pipeline
 
