@@ -177,6 +177,7 @@ class LibraryEncoder:
 
         self.library, self.special, self.pattern = Tokenizer.from_file(path), load(path).special, special_pattern(load(path))
         self.dtype = f"<u{width}"
+        self.lengths = np.array([len(t) for t in load(path).tokens], np.int64)
         self.heads: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
 
@@ -188,8 +189,18 @@ class LibraryEncoder:
         new = list(new)
         for k in range(0, len(new), 10_000):
             some = new[k : k + 10_000]
-            for unit, got in zip(some, self.library.encode_batch_fast([space + u.decode() for u in some], add_special_tokens=False)):
-                kept[unit] = np.array(got.ids, self.dtype).tobytes()
+            if not space:
+                for unit, got in zip(some, self.library.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)):
+                    kept[unit] = np.array(got.ids, self.dtype).tobytes()
+                continue
+            # units that follow a space are encoded as one text; where each ends is told by the tokens' lengths
+            [got] = self.library.encode_batch_fast([" " + b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(got.ids, self.dtype)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            packed, last, at = ids.tobytes(), 0, np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right") * ids.itemsize
+            for unit, end in zip(some, at.tolist()):
+                kept[unit] = packed[last:end]
+                last = end
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Packed ids of texts given as joined UTF-8 bytes and offsets."""
