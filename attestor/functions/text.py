@@ -19,27 +19,18 @@ NAME_SUFFIXES = ["ex", "gx", "vmax", "vstar", "v", "mega"]
 # Characters that stand for digits in numeric slots (from, to).
 SLOT_FROM, SLOT_TO = "OoQDIl|i!jJ[]Zz+SsB", "0000111111111224558"
 
-# Misread promo prefixes by what they mean.
+# Misread promo prefixes and what they mean.
 PREFIX_MEANS = {
-    "XY": ["X0", "XO", "XQ", "XYEN", "XYE"],
-    "SV": ["5V", "S5"],
-    "SWSH": ["S50", "550", "5WSH", "SW5H", "SWSHEN", "SWSHE"],
-    "SVP": [
-        "5VP", "SVPE", "SVPEM", "SVPW", "SVPEN", "SVPEX", "SVPI", "SVPIH", "SVRE", "EVPI", "EVPE", "GVPE", "EVPW", "SVPR", "5VPE", "5VPEN",
-        "SV-P", "S-P", "EVW", "SVW", "EVN", "SVN", "EVP", "EV",
-    ],
-    "SM": ["5M", "SMEN", "SME"],
-    "BW": ["8W", "BWEN", "BWE"],
-    "HGSS": ["HG55", "HGS5", "HSP", "HGSSEN"],
-    "DP": ["DPP", "DPEN"],
-    "PROMO": ["PR0M0", "PR"],
+    "X0": "XY", "XO": "XY", "XQ": "XY", "XYEN": "XY", "XYE": "XY", "5V": "SV", "S5": "SV", "S50": "SWSH", "550": "SWSH", "5WSH": "SWSH",
+    "SW5H": "SWSH", "SWSHEN": "SWSH", "SWSHE": "SWSH", "5VP": "SVP", "SVPE": "SVP", "SVPEM": "SVP", "SVPW": "SVP", "SVPEN": "SVP", "SVPEX": "SVP",
+    "SVPI": "SVP", "SVPIH": "SVP", "SVRE": "SVP", "EVPI": "SVP", "EVPE": "SVP", "GVPE": "SVP", "EVPW": "SVP", "SVPR": "SVP", "5VPE": "SVP",
+    "5VPEN": "SVP", "SV-P": "SVP", "S-P": "SVP", "EVW": "SVP", "SVW": "SVP", "EVN": "SVP", "SVN": "SVP", "EVP": "SVP", "EV": "SVP", "5M": "SM",
+    "SMEN": "SM", "SME": "SM", "8W": "BW", "BWEN": "BW", "BWE": "BW", "HG55": "HGSS", "HGS5": "HGSS", "HSP": "HGSS", "HGSSEN": "HGSS", "DPP": "DP",
+    "DPEN": "DP", "PR0M0": "PROMO", "PR": "PROMO",
 }
 
 # The grammars of printed ids.
-PROMO = (
-    r"(?i)(?:^|[^a-zA-Z0-9])(?:[A-Z]\s+)?(SVP|5VP|SVPE|SVPEN|SVPEM|SVPW|SVPI|SVPIH|SVRE|EVPI|EVPE|GVPE|EVPW|EVW|SVW|EVN|SVN|EVP|SWSH|5WSH|SW5H|S50|550|SM|5M|XY|X[0OQ]|BW|8W|HGSS|HG55|DP|DPP|S-P|SV-P|PROMO|PR0M0)"
-    r"(?:[-_\s]*(?:EN|ENG|US|JP|JPN|E|EM|W|EX|e|ex))?[\s\]\)\}:]*([0-9OISBols|!+]{1,4})(?:$|[^a-zA-Z0-9])"
-)
+PROMO = r"(?i)(?:^|[^a-zA-Z0-9])(?:[A-Z]\s+)?(SVP|5VP|SVPE|SVPEN|SVPEM|SVPW|SVPI|SVPIH|SVRE|EVPI|EVPE|GVPE|EVPW|EVW|SVW|EVN|SVN|EVP|SWSH|5WSH|SW5H|S50|550|SM|5M|XY|X[0OQ]|BW|8W|HGSS|HG55|DP|DPP|S-P|SV-P|PROMO|PR0M0)(?:[-_\s]*(?:EN|ENG|US|JP|JPN|E|EM|W|EX|e|ex))?[\s\]\)\}:]*([0-9OISBols|!+]{1,4})(?:$|[^a-zA-Z0-9])"
 SUBSET = r"(?i)(?:^|[^a-zA-Z0-9/])(TG|GG|SV|RC|CRZ|H|SH|SL|CL)\s*([0-9OISBols|!+]{1,4})\s*(?:[/\\|]|\bof\b)\s*([A-Z]{0,3})\s*([0-9OISBols|!+]{1,4})(?:$|[^a-zA-Z0-9/])"
 FRACTION = r"(?i)(?:^|[^a-zA-Z0-9/])([0-9OISBols|!+]{1,4}[a-z]?)\s*(?:[/\\|]|\bof\b|\bOF\b)\s*([0-9OISBols|!+]{1,4}[a-z]?)(?:$|[^a-zA-Z0-9/])"
 SUFFIX = r"(?i)\b([A-Z]{1,3}[0-9]{1,4}[a-z])\b"
@@ -51,10 +42,9 @@ MISSING_SLASH = r"\b([A-Za-z0-9]{2,5})[7l1I|](\d{2,4})\b"
 # Set totals known from the start, misread totals, and totals that one digit may be corrected to.
 KNOWN_TOTALS = ["165", "198", "197", "182", "086", "088", "091", "078", "207", "159", "084", "236", "162", "106", "180", "186", "068", "108", "070", "30", "70", "25", "94", "122"]
 MISREAD_TOTALS = {
-    "086": ["056", "066", "56", "66", "090", "055", "085", "065", "058", "059", "089", "O86", "0B6", "0S6"],
-    "198": ["190", "195", "196"],
-    "165": ["185", "155"],
-}
+    "056": "086", "066": "086", "56": "086", "66": "086", "090": "086", "055": "086", "085": "086", "065": "086", "058": "086", "059": "086",
+    "089": "086", "O86": "086", "0B6": "086", "0S6": "086", "190": "198", "195": "198", "196": "198", "185": "165", "155": "165",
+}
 TOTAL_TARGETS = ["086", "088", "198", "168", "180", "186", "108", "078", "068"]
 
 # Restricted alphabets, and the characters read as digits there (from, to).
@@ -127,14 +117,17 @@ def closed_root(name: Column) -> Column:
     return clean_key(_root(name, CLOSED_SUFFIXES))
 
 
+def _map(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def numeric_slot(s: Column) -> Column:
     return F.translate(s, SLOT_FROM, SLOT_TO)
 
 
 def known_prefix(prefix: Column) -> Column:
     """What a prefix, perhaps misread, means."""
-    pairs = [F.lit(x) for good, bad in PREFIX_MEANS.items() for b in bad for x in (b, good)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), prefix), prefix)
+    return F.coalesce(F.try_element_at(_map(PREFIX_MEANS), prefix), prefix)
 
 
 def _found(chunk: Column, pattern: str, *groups: int) -> Column:
@@ -217,14 +210,19 @@ def hp(text: Column) -> Column:
     return F.coalesce(*[F.get(c, 0) for c in choices])
 
 
-def set_total(total: Column) -> Column:
-    """A set total with misread digits corrected; known totals stay."""
-    misread = F.create_map(*[F.lit(x) for good, bad in MISREAD_TOTALS.items() for b in bad for x in (b, good)])
+def _known(total: Column, catalogue: Column | None) -> Column:
+    """Whether a total is known from the start, or one of the catalogue's (an array of strings)."""
+    known = total.isin(KNOWN_TOTALS)
+    return known if catalogue is None else known | F.coalesce(F.array_contains(catalogue, total), F.lit(False))
+
+
+def set_total(total: Column, catalogue: Column | None = None) -> Column:
+    """A set total with misread digits corrected; totals that are known, from the start or from the catalogue, stay."""
     tries = F.transform(
         F.sequence(F.lit(1), F.greatest(F.length(total), F.lit(1))),
         lambda i: F.when(F.substring(total, i, F.lit(1)).isin("0", "5", "6", "9"), F.concat(F.substring(total, F.lit(1), i - 1), F.lit("8"), F.substring(total, i + 1, F.length(total)))),
     )
-    return F.when(total.isin(KNOWN_TOTALS), total).otherwise(F.coalesce(F.try_element_at(misread, total), F.get(F.filter(tries, lambda t: t.isin(TOTAL_TARGETS)), 0), total))
+    return F.when(_known(total, catalogue), total).otherwise(F.coalesce(F.try_element_at(_map(MISREAD_TOTALS), total), F.get(F.filter(tries, lambda t: t.isin(TOTAL_TARGETS)), 0), total))
 
 
 def with_slash(text: Column) -> Column:
@@ -250,24 +248,24 @@ def _fraction_number(s: Column) -> Column:
     return F.when(starts("TG", "GG", "RC", "SV", "SWSH", "SVP"), o0).otherwise(F.translate(o0, "Il|", "111"))
 
 
-def fraction_score(number: Column, total: Column) -> Column:
+def fraction_score(number: Column, total: Column, catalogue: Column | None = None) -> Column:
     """How plausible a fraction is as a printed id, up to 105."""
     n, t = F.coalesce(digits(number).try_cast("int"), F.lit(0)), F.coalesce(digits(total).try_cast("int"), F.lit(0))
-    points = [(t.between(20, 800), 40.0), (n.between(1, 999), 20.0), ((n > t) & (t >= 30), 25.0), (total.isin(KNOWN_TOTALS), 20.0)]
+    points = [(t.between(20, 800), 40.0), (n.between(1, 999), 20.0), ((n > t) & (t >= 30), 25.0), (_known(total, catalogue), 20.0)]
     return sum((F.when(ok, p).otherwise(0.0) for ok, p in points), F.lit(0.0))
 
 
-def collector_id(text: Column) -> Column:
-    """The id by the grammars, else by looser fallback rules; null if none fits."""
+def collector_id(text: Column, catalogue: Column | None = None) -> Column:
+    """The id by the grammars, else by looser fallback rules; null if none fits. ``catalogue`` is an array of its set totals."""
     fixed = with_slash(text)
     scored = lambda i, s: F.struct(i.alias("id"), s.cast("double").alias("score"))
 
     def fraction(m):
         one, two = _fraction_number(F.get(m, 0)), _fraction_number(F.get(m, 1))
         ok = _whole(one) & _whole(two) & one.try_cast("int").between(1, 999) & two.try_cast("int").between(10, 999)
-        total = set_total(two)
+        total = set_total(two, catalogue)
         number = F.when(one.rlike("^4[0-9]{2}$"), F.concat(F.lit("1"), F.substring(one, 2, 2))).otherwise(one)
-        return F.when(ok, scored(F.concat(number, F.lit("/"), total), fraction_score(number, total)))
+        return F.when(ok, scored(F.concat(number, F.lit("/"), total), fraction_score(number, total, catalogue)))
 
     lists = [
         F.transform(_found(fixed, FALLBACK_SUBSET, 1, 2, 3), lambda m: scored(F.concat(F.upper(F.get(m, 0)), F.get(m, 1), F.lit("/"), F.upper(F.get(m, 2))), F.lit(90.0))),

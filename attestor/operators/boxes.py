@@ -26,14 +26,43 @@ def regions(height: Column, width: Column) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("name"), cut(height, a).alias("y1"), cut(height, b).alias("y2"), cut(width, c).alias("x1"), cut(width, d).alias("x2")) for n, (a, b, c, d) in REGIONS.items()])
 
 
+# The classes of a detector.
+CLASSES = ["card", "header_region", "id_region"]
+
+
 def best_boxes(boxes: DataFrame, least: float = 0.6) -> DataFrame:
-    """Rows (image, label, x1, y1, x2, y2, confidence): the surest box of each label from ``least`` on, of equals the first, cut to its image.
+    """Rows (image, label, confidence, width, height, x1, y1, x2, y2): the surest box of each class from ``least`` on, of equals the first.
 
-    ``boxes`` has image, ord, label, x1, y1, x2, y2, confidence, height and width.
+    ``boxes`` has image, ord, label, x1, y1, x2, y2, confidence and the image's image_width and
+    image_height; other labels than ``CLASSES`` are ignored. Confidences that agree in four digits are
+    equal. width and height are the box's own, not below 0; the coordinates are those of the crop, inside
+    the image and null where it is empty.
     """
-    best = boxes.where(F.col("confidence") >= least).groupBy("image", "label").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "confidence", "height", "width"), F.struct("confidence", -F.col("ord"))).alias("b"))
-    inside = lambda c, side: F.greatest(F.lit(0), F.least(F.col(f"b.{c}"), F.col(f"b.{side}")))
-    return best.select("image", "label", inside("x1", "width").alias("x1"), inside("y1", "height").alias("y1"), inside("x2", "width").alias("x2"), inside("y2", "height").alias("y2"), F.col("b.confidence").alias("confidence"))
+    four = F.floor(F.col("confidence") * 10000 + 0.5) / F.lit(10000.0)
+    able = boxes.where((F.col("confidence") >= least) & F.col("label").isin(CLASSES)).withColumn("confidence", four)
+    best = able.groupBy("image", "label").agg(F.max_by(F.struct("x1", "y1", "x2", "y2", "confidence", "image_height", "image_width"), F.struct("confidence", -F.col("ord"))).alias("b")).select("image", "label", "b.*")
+    cut = crop(*map(F.col, ("x1", "y1", "x2", "y2", "image_width", "image_height")))
+    span = lambda a, b: F.greatest(F.lit(0), F.col(b) - F.col(a))
+    return best.select("image", "label", "confidence", span("x1", "x2").alias("width"), span("y1", "y2").alias("height"), cut.alias("c")).select("image", "label", "confidence", "width", "height", "c.x1", "c.y1", "c.x2", "c.y2")
+
+
+def crop(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
+    """Struct (x1, y1, x2, y2) of a box inside its image, ends excluded; null where nothing is left."""
+    inside = lambda v, most: F.greatest(F.lit(0), F.least(v, most))
+    box = F.struct(inside(x1, width - 1).alias("x1"), inside(y1, height - 1).alias("y1"), inside(x2, width).alias("x2"), inside(y2, height).alias("y2"))
+    return F.when((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]), box)
+
+
+def left_to_right(boxes: Column) -> Column:
+    """An array of boxes (structs with x1) in reading order; boxes that start together keep their order."""
+    placed = F.transform(boxes, lambda b, i: F.struct(b["x1"].alias("k"), i.alias("i"), b.alias("b")))
+    return F.transform(F.array_sort(placed), lambda p: p["b"])
+
+
+def line_box(boxes: Column) -> Column:
+    """The box around an array of boxes, as a struct; null for none."""
+    edge = lambda f, c: f(F.transform(boxes, lambda b: b[c])).alias(c)
+    return F.when(F.size(boxes) > 0, F.struct(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2")))
 
 
 def corners(points: Column) -> Column:

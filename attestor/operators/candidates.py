@@ -1,7 +1,8 @@
 """Candidate generation: which catalogue cards each scan is held against.
 
 The catalogue's keys are exploded once and joined by equality. Names that no key finds are compared
-once for each distinct spelling; only lengths that can reach the similarity bound are joined.
+once for each distinct spelling, and only with names that share enough characters to reach the
+similarity bound.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def compact(cards: DataFrame) -> DataFrame:
-    """The catalogue's columns, each card with its set, ordered by id."""
-    sets = cards.groupBy("set_id").agg(F.min("set_name").alias("set_name"), F.max("printed_total").alias("set_total"))
-    kept = cards.select("id", "name", "hp", "number", "rarity", "set_id", "printed_total")
-    return kept.join(sets, "set_id", "left").select("id", "name", "hp", "number", "rarity", "set_id", "set_name", F.coalesce("printed_total", "set_total").alias("printed_total")).orderBy("id")
+def compact(cards: DataFrame, sets: DataFrame) -> DataFrame:
+    """The catalogue's columns, ordered by id.
+
+    A card keeps its own set (set_id, set_name, set_series, printed_total) whole; only one without a set
+    gets that of its file (``stem``) from ``sets`` (id, name, series, printed_total).
+    """
+    own = F.struct("set_id", "set_name", "set_series", "printed_total")
+    found = sets.select(F.col("id").alias("stem"), F.struct(F.col("id").alias("set_id"), F.col("name").alias("set_name"), F.col("series").alias("set_series"), "printed_total").alias("listed"))
+    attached = cards.withColumn("own", F.when(F.coalesce("set_id", "set_name", "set_series", F.col("printed_total").cast("string")).isNotNull(), own))
+    return attached.join(found, "stem", "left").select("id", "name", "hp", "number", "rarity", F.coalesce("own", "listed").alias("s")).select("id", "name", "hp", "number", "rarity", "s.*").orderBy("id")
 
 
 def number_query(collector_id):
@@ -35,7 +41,7 @@ def number_query(collector_id):
 
 def total_query(collector_id):
     """The total asked for, if there is a slash and something behind it."""
-    total = F.trim(F.expr("substring(collector_id, locate('/', collector_id) + 1)"))
+    total = F.trim(F.substring(collector_id, F.call_function("locate", F.lit("/"), collector_id) + 1, F.length(collector_id)))
     return F.when(collector_id.contains("/") & (total != ""), total)
 
 
@@ -53,15 +59,15 @@ def by_number(scans: DataFrame, cards: DataFrame) -> DataFrame:
 def fuzzy_names(scans: DataFrame, cards: DataFrame) -> DataFrame:
     """Rows (root, known, score, place): for each distinct root that the catalogue lacks, its most similar roots.
 
-    At most MOST with a similarity of LEAST or more, equal ones in descending order of the name. The
-    similarity bounds the lengths: twice the shorter is at least 64.5 % of both together.
+    At most MOST with a similarity of LEAST or more, equal ones in descending order of the name. A
+    similarity that rounds to LEAST is at least half a percent less, which bounds what two roots share.
+    The catalogue's roots are prepared once each, so a pair costs a few operations for each character.
     """
     known = cards.select(F.lower(text.catalog_root(F.col("name"))).alias("known")).where("known != ''").distinct()
     asked = scans.where("ocr_name is not null").select(F.lower(text.catalog_root(F.col("ocr_name"))).alias("root")).where("root != ''").distinct()
     missing = asked.join(known, asked.root == known.known, "left_anti")
-    size = F.length("root")
-    spread = missing.select("root", F.explode(F.sequence(F.ceil(size * 0.476).cast("int"), F.floor(size * 2.101).cast("int"))).alias("size"))
-    pairs = spread.join(known.withColumn("size", F.length("known")), "size").repartition(_parts(cards)).select("root", "known", similarity.ratio(F.col("root"), F.col("known")).alias("score"))
+    met = similarity.alike_pairs(missing, known, "root", "known", (LEAST - 0.5) / 100)
+    pairs = met.repartition(_parts(cards)).select("root", "known", similarity.ratio(F.col("root"), F.col("known")).alias("score"))
     order = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("known"))
     return pairs.where(F.col("score") >= LEAST).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST)
 
@@ -81,18 +87,14 @@ def candidates(scans: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows (scan_id, id, step): the first of these searches that finds any card.
+    """Rows (scan_id, step, kind, key): the first of these searches that finds any card.
 
-    1 the exact name, 2 names that start with the root, 3 and 4 with its first four and three letters,
-    5 the number, 6 the number's digits.
+    0 the local catalogue (``candidates``), 1 the exact name, 2 names that start with the root, 3 and 4
+    with its first four and three letters, 5 the number, 6 the number's digits. Cards are not listed for
+    each scan: scans with the same search share its result, see ``search_results``.
     """
-    names = cards.select("id", F.lower("name").alias("name"))
-    prefixes = F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))
-    index = (
-        names.select("id", F.lit("name").alias("kind"), F.col("name").alias("key"))
-        .unionByName(names.select("id", F.lit("start").alias("kind"), F.explode(prefixes).alias("key")))
-        .unionByName(cards.select("id", F.lit("number").alias("kind"), F.col("number").alias("key")))
-    )
+    local = candidates(scans, cards).select("scan_id").distinct().select("scan_id", F.lit(0).alias("step"), F.lit("local").alias("kind"), F.lit(None).cast("string").alias("key"))
+    scans = scans.join(local.select("scan_id"), "scan_id", "left_anti")
     root, number = F.col("root"), F.col("number")
     step = lambda n, kind, key, ok: F.when(ok, F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), key.alias("key")))
     asked = scans.select("scan_id", F.lower(text.catalog_root(F.coalesce("ocr_name", F.lit("")))).alias("root"), number_query(F.col("collector_id")).alias("number"))
@@ -105,9 +107,22 @@ def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
         step(6, "number", text.no_zeros(text.digits(number)), number.isNotNull()),
     )
     tried = asked.select("scan_id", F.explode(searches).alias("s")).where("s is not null").select("scan_id", "s.*")
-    # which search is the first to find anything is settled before any card is fetched
-    first = tried.join(index.select("kind", "key").distinct(), ["kind", "key"]).groupBy("scan_id").agg(F.min(F.struct("step", "kind", "key")).alias("f"))
-    return first.select("scan_id", "f.*").join(index, ["kind", "key"]).select("scan_id", "id", "step").distinct()
+    finds = search_results(tried.select("kind", "key"), cards).select("kind", "key").distinct()
+    first = tried.join(finds, ["kind", "key"]).groupBy("scan_id").agg(F.min(F.struct("step", "kind", "key")).alias("f"))
+    return local.unionByName(first.select("scan_id", "f.*"))
+
+
+def search_results(searches: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows (kind, key, id): what each distinct search (kind name, start or number) finds.
+
+    Only beginnings as long as some search's are made of a name.
+    """
+    asked = searches.select("kind", "key").distinct()
+    sizes = asked.where("kind = 'start'").select(F.length("key").alias("size")).distinct()  # as many as names have lengths
+    names = cards.select("id", F.lower("name").alias("name"))
+    starts = names.join(F.broadcast(sizes), F.col("size") <= F.length("name")).select("id", F.lit("start").alias("kind"), F.substring("name", F.lit(1), F.col("size")).alias("key"))
+    index = names.select("id", F.lit("name").alias("kind"), F.col("name").alias("key")).unionByName(starts).unionByName(cards.select("id", F.lit("number").alias("kind"), F.col("number").alias("key")))
+    return asked.join(index, ["kind", "key"]).select("kind", "key", "id")
 
 
 # ---------------------------------------------------------------- closed set of names
@@ -124,33 +139,50 @@ def exact_names(asked: DataFrame, names: DataFrame) -> DataFrame:
     return asked.select("ocr_name", text.clean_key(F.col("ocr_name")).alias("key")).where("key != ''").join(last, "key").select("ocr_name", "match")
 
 
-def name_pool(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows (ocr_name, name, kind): names of the same root (0), the first five of each root with the same three letters (1), or all (2) where there are none."""
+def _pools(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (ocr_name, own, own_root, pool): for each spelling that no key equals, an array of (kind, ord, name, key, root); empty where nothing is near."""
     spelled = asked.select("ocr_name", text.clean_key(F.col("ocr_name")).alias("own"), text.closed_root(F.col("ocr_name")).alias("own_root")).where("own != ''")
     open_ = spelled.join(names.select(F.col("key").alias("own")).distinct(), "own", "left_anti")
     first = Window.partitionBy("root").orderBy("ord")
     placed = names.where("root != ''").withColumn("place", F.row_number().over(first))
-    same = open_.join(placed, F.col("own_root") == F.col("root")).select("ocr_name", "name", F.lit(0).alias("kind"))
-    near = (
-        open_.where("length(own_root) >= 3")
-        .join(placed.where("place <= 5"), F.substring("own_root", 1, 3) == F.substring("root", 1, 3))
-        .where("own_root != root")
-        .select("ocr_name", "name", F.lit(1).alias("kind"))
-    )
-    pool = same.unionByName(near)
-    rest = open_.join(pool.select("ocr_name").distinct(), "ocr_name", "left_anti")
-    # spellings that share nothing with any name meet all of them, once for each distinct spelling
-    every = rest.select("ocr_name").crossJoin(names.select("name")).select("ocr_name", "name", F.lit(2).alias("kind"))
-    return pool.unionByName(every)
+    start = lambda c: F.when(F.length(c) >= 3, F.concat(F.lit("start "), F.substring(c, 1, 3)))
+    keys = lambda c: F.array(F.concat(F.lit("root "), F.col(c)), start(F.col(c)))
+    entry = F.struct(F.when(F.col("by").startswith("root"), 0).otherwise(1).alias("kind"), "ord", "name", "key", "root")
+    known = placed.select("ord", "name", "key", "root", "place", F.explode(F.array(F.concat(F.lit("root "), F.col("root")), F.when(F.col("place") <= 5, F.concat(F.lit("start "), F.substring("root", 1, 3))))).alias("by")).where("by is not null")
+    met = open_.select("ocr_name", "own", "own_root", F.explode(keys("own_root")).alias("by")).join(known.select("by", "root", entry.alias("e")), "by", "left")
+    near = F.when(F.col("by").startswith("root") | (F.col("root") != F.col("own_root")), F.col("e"))
+    return met.groupBy("ocr_name", "own", "own_root").agg(F.collect_list(near).alias("pool"))
+
+
+def name_pool(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (ocr_name, name, kind): names of the same root (0), the first five of each root with the same three letters (1), or one row of kind 2 without a name, which stands for all names, where there are none."""
+    return _pools(asked, names).select("ocr_name", F.explode_outer("pool").alias("e")).select("ocr_name", "e.name", F.coalesce("e.kind", F.lit(2)).alias("kind"))
 
 
 def closed_set(asked: DataFrame, names: DataFrame, least: float = 0.55) -> DataFrame:
-    """Rows (ocr_name, match, confidence) for every distinct spelling; no match has confidence 0."""
+    """Rows (ocr_name, match, confidence) for every distinct spelling; no match has confidence 0.
+
+    A spelling whose pool is all names meets those that can reach ``least``: the windows' ratio counts
+    0.15 at most, so the names share a word, or their ratio or that of their sorted words is at least
+    (least - 0.15) / 0.85, less what rounding gives.
+    """
     exact = exact_names(asked, names).select("ocr_name", "match", F.lit(1.0).alias("confidence"))
-    pool = name_pool(asked, names).join(names, "name").repartition(_parts(names))
-    score = similarity.closed_set_score(text.clean_key(F.col("ocr_name")), F.col("key"))
-    same_root = (text.closed_root(F.col("ocr_name")) == F.col("root")) & (F.col("root") != "")
+    pools = _pools(asked, names)
+    bound = (least - 0.15) / 0.85 - 0.02
+
+    def keys(c, left):
+        words = similarity.tokens(F.col(c))
+        tagged = F.transform(words, lambda w: F.concat(F.lit("word "), w))
+        return F.explode(F.array_union(F.array_union(tagged, similarity.alike_keys(F.col(c), bound, left)), similarity.alike_keys(F.array_join(words, " "), bound, left)))
+
+    open_ = pools.where(F.size("pool") == 0).select("ocr_name", "own", "own_root")
+    known = names.where("key != ''")
+    able = open_.withColumn("by", keys("own", True)).join(known.select("key", keys("key", False).alias("by")), "by").select("ocr_name", "own", "own_root", "key").distinct()
+    rest = able.join(known, "key").select("ocr_name", "own", "own_root", F.lit(2).alias("kind"), "ord", "name", "key", "root")
+    pool = pools.select("ocr_name", "own", "own_root", F.explode("pool").alias("e")).select("ocr_name", "own", "own_root", "e.*").unionByName(rest).repartition(_parts(names))
+    score = similarity.closed_set_score(F.col("own"), F.col("key"))
+    same_root = (F.col("own_root") == F.col("root")) & (F.col("root") != "")
     scored = pool.select("ocr_name", "name", "kind", "ord", F.round(F.when(same_root, F.greatest(score, F.lit(0.85))).otherwise(score), 3).alias("score"))
-    order = Window.partitionBy("ocr_name").orderBy(F.desc("score"), "kind", "ord")
-    best = scored.withColumn("n", F.row_number().over(order)).where("n = 1").where(F.col("score") >= least).select("ocr_name", F.col("name").alias("match"), F.col("score").alias("confidence"))
-    return asked.select("ocr_name").join(exact.unionByName(best), "ocr_name", "left").select("ocr_name", "match", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    best = scored.groupBy("ocr_name").agg(F.max_by(F.struct("name", "score"), F.struct("score", (-F.col("kind")).alias("k"), (-F.col("ord")).alias("o"))).alias("b"))
+    chosen = best.where(F.col("b.score") >= least).select("ocr_name", F.col("b.name").alias("match"), F.col("b.score").alias("confidence"))
+    return asked.select("ocr_name").join(exact.unionByName(chosen), "ocr_name", "left").select("ocr_name", "match", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))

@@ -88,9 +88,9 @@ def burst_consensus(frames: DataFrame) -> DataFrame:
 
 
 def capture_confidence(passed: Column, total: Column, id_agree: Column, name_agree: Column, hp_agree: Column, db: Column) -> Column:
-    """Confidence of a burst from 0 to 100; ``db`` is the catalogue's confidence, as a share or in percent."""
+    """Confidence of a burst from 0 to 100, of two digits; ``db`` is the catalogue's confidence, as a share or in percent."""
     share = F.when(db > 1, db / 100).otherwise(db)
-    return F.round(100 * (0.15 * passed / total + 0.30 * id_agree + 0.15 * name_agree + 0.10 * hp_agree + 0.30 * share), 4)
+    return F.floor(100 * (0.15 * passed / total + 0.30 * id_agree + 0.15 * name_agree + 0.10 * hp_agree + 0.30 * share) * 100 + 0.5) / F.lit(100.0)
 
 
 def history_vote(votes: DataFrame, least: int = 3, most: int = 10, quality: float = 50.0) -> DataFrame:
@@ -98,7 +98,7 @@ def history_vote(votes: DataFrame, least: int = 3, most: int = 10, quality: floa
 
     Votes with an id and enough frame quality enter a history of the last ``most``. The most frequent
     id (of equals the first there) is accepted from ``least`` votes on with their mean confidence;
-    exactly two are ambiguous with 0.50; else it is rejected.
+    exactly two are ambiguous, with the id and 0.50; else it is rejected, without an id.
     """
     admitted = votes.where(F.col("printed_id").isNotNull() & (F.col("frame_quality") >= quality))
     last = Window.partitionBy("session").orderBy("seq").rowsBetween(-(most - 1), 0)
@@ -111,7 +111,7 @@ def history_vote(votes: DataFrame, least: int = 3, most: int = 10, quality: floa
     n = F.col("best.n")
     return best.select(
         "session", "seq",
-        F.when(n >= least, F.col("best.id")).alias("printed_id"),
+        F.when((n >= least) | (n == 2), F.col("best.id")).alias("printed_id"),
         F.when(n >= least, F.round(mean, 6)).when(n == 2, 0.5).otherwise(0.0).alias("confidence"),
         F.when(n >= least, "accepted").when(n == 2, "ambiguous").otherwise("rejected").alias("status"),
     )

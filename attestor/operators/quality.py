@@ -15,21 +15,22 @@ SHARP, PRESENT, MARKS = 350.0, 0.45, (0.45, 0.30, 0.25)
 
 
 def reason(lap: Column, glare: Column, area: Column, card_like: Column, ml_blurry: Column, ml_glare: Column) -> Column:
-    """Why a frame is turned away, by the first rule that fits; null if it passes."""
+    """Why a frame is turned away, by the first rule that fits; null if it passes. A frame without measurements is empty."""
     return (
-        F.when(lap < BLUR, "blurry")
+        F.when(lap.isNull() | glare.isNull() | area.isNull(), "empty")
+        .when(lap < BLUR, "blurry")
         .when((ml_blurry > ML_BLUR) & (lap < MAYBE_BLUR), "probably blurry")
         .when(glare > GLARE, "glare")
         .when((ml_glare > ML_GLARE) & (glare > MAYBE_GLARE), "probably glare")
-        .when((area < AREA) & ~card_like, "no card")
+        .when((area < AREA) & ~F.coalesce(card_like, F.lit(False)), "no card")
     )
 
 
 def score(lap: Column, glare: Column, area: Column, card_like: Column) -> Column:
-    """Marks from 0 to 100 of a frame that passes."""
+    """Marks from 0 to 100 of a frame that passes, of two digits."""
     sharp, clear = F.least(lap / SHARP, F.lit(1.0)), F.greatest(F.lit(0.0), 1 - glare / GLARE)
     present = F.when(card_like, 1.0).otherwise(F.least(area / PRESENT, F.lit(1.0)))
-    return F.round(100 * (sharp * MARKS[0] + clear * MARKS[1] + present * MARKS[2]), 4)
+    return F.floor(100 * (sharp * MARKS[0] + clear * MARKS[1] + present * MARKS[2]) * 100 + 0.5) / F.lit(100.0)
 
 
 def gate(frames: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ SPECIAL_ENDINGS = ["tg", "gg", "sv"]
 FAMILY_STARTS = {"SWSH": "swsh", "SM": "sm", "XY": "xy", "BW": "bw"}
 FAMILY_ENDINGS = {"TG": "tg", "GG": "gg", "SV": "sv"}
 
+#: Further columns of cards that are passed on where the catalogue has them.
+DISPLAY = ["set_series", "rarity", "image_url", "tcgplayer_url", "holofoil", "normal", "reverse_holofoil", "first_edition"]
 #: Weights of total, number, name and hp; least name score that is evidence; least score that may verify.
 WEIGHTS, NAME_EVIDENCE, ACCEPT = (0.30, 0.30, 0.25, 0.15), 60, 58.0
 
@@ -36,9 +38,7 @@ def _total_score() -> Column:
     asked, has = F.col("total_query"), F.col("printed_total").cast("string")
     asked_digits = text.digits(asked)
     gap = F.abs(asked_digits.try_cast("long") - F.col("printed_total"))
-    one_off = (F.length(asked_digits) == F.length(has)) & (
-        F.aggregate(F.sequence(F.lit(1), F.length(has)), F.lit(0), lambda n, i: n + F.when(F.substring(has, i, F.lit(1)) != F.substring(asked_digits, i, F.lit(1)), 1).otherwise(0)) == 1
-    )
+    one_off = (F.length(asked_digits) == F.length(has)) & (F.levenshtein(asked_digits, has, 1) == 1)  # of equal length, so one digit differs
     both = (
         F.when((F.upper(asked) == F.upper(has)) | ((asked_digits != "") & (asked_digits == has)), 100.0)
         .when(F.col("special"), 90.0)
@@ -76,7 +76,8 @@ def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
     Names are compared once for each pair of spellings.
     """
     asked = scans.select("scan_id", "collector_id", "ocr_name", "ocr_hp", number_query(F.col("collector_id")).alias("num_query"), total_query(F.col("collector_id")).alias("total_query"))
-    pairs = candidates(scans, cards).join(asked, "scan_id").join(cards.select("id", "name", "hp", "number", "set_id", "set_name", "printed_total"), "id")
+    facts = ["id", "name", "hp", "number", "set_id", "set_name", "printed_total", *(c for c in DISPLAY if c in cards.columns)]
+    pairs = candidates(scans, cards).join(asked, "scan_id").join(cards.select(*facts), "id")
     spelled = pairs.where("ocr_name is not null").select(F.lower("ocr_name").alias("a"), F.lower("name").alias("b")).distinct().repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     alike = spelled.select("a", "b", F.greatest(similarity.ratio(F.col("a"), F.col("b")), similarity.token_set_ratio(F.col("a"), F.col("b"))).cast("double").alias("alike"))
     joined = pairs.join(alike, (F.lower(pairs.ocr_name) == alike.a) & (F.lower(pairs.name) == alike.b), "left")
@@ -94,7 +95,7 @@ def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
     hit = F.col("hp_score") > 0
     strong = (F.col("num_score") == 100) & (F.col("total_score") >= 90) & ((F.col("name_score") >= NAME_EVIDENCE) | (F.col("hp_score") == 100))
     return scored.select(
-        "scan_id", "id", "name", "hp", "number", "printed_total", "total_score", "num_score", "name_score", "hp_score",
+        "scan_id", "id", "name", "hp", "number", "printed_total", "set_name", *facts[7:], "total_score", "num_score", "name_score", "hp_score",
         F.round(F.col("total_score") * w[0] + F.col("num_score") * w[1] + F.col("name_score") * w[2] + F.col("hp_score") * w[3], 6).alias("final_score"),
         (collector.cast("int") + named.cast("int") + hit.cast("int")).alias("n_evidence"),
         strong.alias("strong"),
@@ -109,28 +110,53 @@ def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
     return placed if most is None else placed.where(F.col("place") <= most)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Halves up, by the same arithmetic as in SQL; for numbers that aren't negative."""
+    return F.floor(x * 10**places + 0.5) / F.lit(float(10**places))
+
+
+def confidence(score: Column) -> Column:
+    """A score from 0 to 100 as a share of two digits."""
+    return rounded(F.least(F.greatest(score / 100, F.lit(0.0)), F.lit(1.0)), 2)
+
+
+def unique_id(number: Column, total: Column) -> Column:
+    """The printed id: number and total, or the number alone where the set has no total."""
+    return F.when(total.isNotNull(), F.concat(number, F.lit("/"), total.cast("string"))).otherwise(number)
+
+
+def judged(scored: DataFrame) -> DataFrame:
+    """The best candidate of each scan, with ``verified``: it matches strongly, or has a set identity, the least score and two pieces of evidence."""
+    verified = F.col("strong") | (F.col("set_identity") & (F.col("final_score") >= ACCEPT) & (F.col("n_evidence") >= 2))
+    return ranked(scored, 1).withColumn("verified", verified)
+
+
 def decide(scans: DataFrame, scored: DataFrame) -> DataFrame:
-    """Rows (scan_id, id, best_score, n_evidence, verified, confidence), one for each scan.
+    """Rows (scan_id, id, best_id, best_score, n_evidence, verified, confidence), one for each scan.
 
-    Verified if the best candidate matches strongly, or has a set identity, the least score and two
-    pieces of evidence; else the scan abstains, with its best candidate named.
+    A scan that isn't verified abstains: no match and confidence 0. ``best_id`` names its best
+    candidate all the same.
     """
-    best = ranked(scored, 1)
-    verified = F.col("strong") | (F.col("set_identity") & (F.col("final_score") >= ACCEPT) & (F.col("n_evidence") >= 2))
-    judged = best.select("scan_id", "id", F.col("final_score").alias("best_score"), "n_evidence", verified.alias("verified"))
-    return scans.select("scan_id").join(judged, "scan_id", "left").select(
-        "scan_id", "id", F.coalesce("best_score", F.lit(0.0)).alias("best_score"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.coalesce("verified", F.lit(False)).alias("verified"),
-        F.round(F.least(F.coalesce("best_score", F.lit(0.0)) / 100, F.lit(1.0)), 4).alias("confidence"),
+    best = judged(scored).select("scan_id", F.col("id").alias("best_id"), "final_score", "n_evidence", "verified")
+    verified = F.coalesce("verified", F.lit(False))
+    return scans.select("scan_id").join(best, "scan_id", "left").select(
+        "scan_id", F.when(verified, F.col("best_id")).alias("id"), "best_id", rounded(F.coalesce("final_score", F.lit(0.0)), 1).alias("best_score"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), verified.alias("verified"),
+        F.when(verified, confidence(F.col("final_score"))).otherwise(0.0).alias("confidence"),
     )
 
 
+def summaries(scored: DataFrame, most: int = 5) -> DataFrame:
+    """Rows (scan_id, place, id, unique_id, hp, confidence) of the best candidates."""
+    return ranked(scored, most).select("scan_id", "place", "id", unique_id(F.col("number"), F.col("printed_total")).alias("unique_id"), F.col("hp").try_cast("int").alias("hp"), confidence(F.col("final_score")).alias("confidence"))
+
+
 def verified_id(observed: Column, number: Column, total: Column) -> Column:
     """The catalogue's number, padded to the width that was observed, with its total."""
     seen = F.trim(F.substring_index(observed, "/", 1))
     seen_digits = text.digits(seen)
     pad = (F.length(seen_digits) >= 3) & (F.length(number) < F.length(seen_digits)) & number.rlike("^[0-9]+$")
     padded = F.when(pad, F.lpad(number, F.length(seen_digits), F.lit("0"))).otherwise(number)
-    return F.when(total.isNotNull(), F.concat(padded, F.lit("/"), total.cast("string"))).otherwise(padded)
+    return unique_id(padded, total)
 
 
 def market_price(holofoil: Column, normal: Column, reverse: Column, first: Column) -> Column:
@@ -138,18 +164,69 @@ def market_price(holofoil: Column, normal: Column, reverse: Column, first: Colum
     return F.coalesce(F.nullif(holofoil, F.lit(0.0)), F.nullif(normal, F.lit(0.0)), F.nullif(reverse, F.lit(0.0)), first)
 
 
-def visual_gate(scans: DataFrame, seen: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows (scan_id, similarity, disagrees, accepted): what the best visual candidate of a scan decides.
+def visual_gate(scans: DataFrame, seen: DataFrame, cards: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (scan_id, id, similarity, disagrees, accepted): what the best visual candidate of a scan decides.
 
-    ``seen`` has scan_id, card id and similarity. A candidate of 0.80 or more disagrees if its hp is
-    more than 30 off, or else if no part of its name is like the name read. It is accepted from 0.88 on
-    if it doesn't disagree and its name, hp or printed id agree.
+    ``seen`` has scan_id, card id and similarity; ``found`` the scan_id of scans with a catalogue
+    candidate. Without one nothing is weighed and nothing accepted. A candidate of 0.80 or more disagrees
+    if its hp is more than 30 off, or else if no part of its name is like the name read. It is accepted
+    from 0.88 on if it doesn't disagree and its name, hp or printed id agree.
     """
-    joined = seen.join(cards.select("id", "name", "hp", "number", "printed_total"), "id").join(scans, "scan_id")
+    known = found.select("scan_id", F.lit(True).alias("known")).distinct()
+    joined = seen.join(cards.select("id", "name", "hp", "number", "printed_total"), "id").join(scans, "scan_id").join(known, "scan_id", "left")
     name, read = F.lower("name"), F.lower("ocr_name")
     hp = F.col("hp").try_cast("int")
-    far = F.coalesce((F.col("ocr_hp") != 0) & (F.abs(hp - F.col("ocr_hp")) > 30), F.lit(False))
-    unlike = F.coalesce(similarity.partial_ratio(name, read) < 40, F.lit(False))
-    disagrees = (F.col("similarity") >= 0.80) & (far | unlike)
-    agrees = F.coalesce(similarity.ratio(name, read) >= 75, F.lit(False)) | F.coalesce(F.col("ocr_hp") == hp, F.lit(False)) | F.coalesce(F.concat("number", F.lit("/"), F.col("printed_total").cast("string")) == F.col("collector_id"), F.lit(False))
-    return joined.select("scan_id", "similarity", disagrees.alias("disagrees"), ((F.col("similarity") >= 0.88) & ~disagrees & agrees).alias("accepted"))
+    asked = (F.col("ocr_hp") != 0) & (hp != 0)
+    far = F.coalesce(asked & (F.abs(hp - F.col("ocr_hp")) > 30), F.lit(False))
+    unlike = F.coalesce((name != "") & (read != "") & (similarity.partial_ratio(name, read) < 40), F.lit(False))
+    known = F.coalesce("known", F.lit(False))
+    disagrees = known & (F.col("similarity") >= 0.80) & (far | unlike)
+    same_id = F.coalesce((F.col("collector_id") != "") & (unique_id(F.col("number"), F.col("printed_total")) == F.col("collector_id")), F.lit(False))
+    agrees = F.coalesce(similarity.ratio(name, read) >= 75, F.lit(False)) | F.coalesce((F.col("ocr_hp") != 0) & (F.col("ocr_hp") == hp), F.lit(False)) | same_id
+    return joined.select("scan_id", "id", "similarity", disagrees.alias("disagrees"), (known & (F.col("similarity") >= 0.88) & ~disagrees & agrees).alias("accepted"))
+
+
+def responses(scans: DataFrame, cards: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """One response for each scan, with the fields of the scan service and their defaults.
+
+    An accepted visual candidate (``seen``, see ``visual_gate``) decides before the ranking does; else
+    the best candidate if it is verified; else the scan abstains. ``candidates`` lists the best five.
+    """
+    scored = evidence(scans, cards)
+    listed = summaries(scored).groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "unique_id", "hp", "confidence"))), lambda c: F.struct(c["unique_id"], c["hp"], c["confidence"])).alias("candidates"))
+    columns = [c for c in DISPLAY if c in cards.columns]
+    best = judged(scored).select("scan_id", "final_score", "verified", "name", "hp", "number", "printed_total", "set_name", *columns)
+    rows = scans.select("scan_id", "collector_id").join(best, "scan_id", "left").join(listed, "scan_id", "left")
+    if seen is not None:
+        shown = cards.select("id", *(F.col(c).alias(f"v_{c}") for c in ["name", "hp", "number", "printed_total", "set_name", *columns]))
+        rows = rows.join(visual_gate(scans, seen, cards, scored).join(shown, "id").drop("id"), "scan_id", "left")
+    by_eye = F.coalesce("accepted", F.lit(False)) if seen is not None else F.lit(False)
+    by_rank = ~by_eye & F.coalesce("verified", F.lit(False))
+    pick = lambda c: F.when(by_eye, F.col(f"v_{c}") if seen is not None else None).when(by_rank, F.col(c))
+    prices = ["holofoil", "normal", "reverse_holofoil", "first_edition"]
+    eye_score = F.col("similarity") if seen is not None else F.lit(0.0)
+    score = F.coalesce("final_score", F.lit(0.0))
+    eye_id = unique_id(F.col("v_number"), F.col("v_printed_total")) if seen is not None else F.lit(None)
+    message = F.when(by_eye | by_rank, None).when(F.col("candidates").isNull(), "No cards found.").otherwise("No confident match found.")
+    return rows.select(
+        "scan_id", (by_eye | by_rank).alias("verified"),
+        F.when(by_eye, rounded(eye_score, 2)).when(by_rank, confidence(score)).otherwise(0.0).alias("confidence"),
+        F.when(by_eye, rounded(eye_score * 100, 1)).otherwise(rounded(score, 1)).alias("best_score"),
+        pick("name").alias("name"), pick("hp").try_cast("int").alias("hp"),
+        F.when(by_eye, eye_id).when(by_rank, verified_id(F.col("collector_id"), F.col("number"), F.col("printed_total"))).alias("unique_id"),
+        pick("set_name").alias("set_name"), *(pick(c).alias(c) for c in columns if c not in prices and c != "rarity"),
+        F.when(by_eye | by_rank, F.coalesce(pick("rarity"), F.lit("Unknown")) if "rarity" in columns else F.lit("Unknown")).otherwise("Unknown").alias("rarity"),
+        market_price(*(pick(c) for c in prices)).alias("market_price") if set(prices) <= set(columns) else F.lit(None).cast("double").alias("market_price"),
+        by_eye.alias("visual_match_applied"), (F.col("disagrees") & ~by_eye if seen is not None else F.lit(False)).alias("disagreement"),
+        F.coalesce("candidates", F.array().cast("array<struct<unique_id:string,hp:int,confidence:double>>")).alias("candidates"), message.alias("message"),
+    )
+
+
+def response_json(answers: DataFrame) -> DataFrame:
+    """Rows (scan_id, body): each response as a JSON object, nulls included."""
+    return answers.select("scan_id", F.to_json(F.struct(*(c for c in answers.columns if c != "scan_id")), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def request_metrics(requests: DataFrame) -> DataFrame:
+    """Rows (method, path, status, requests, mean_ms, longest_ms) of a request log (method, path, status, ms); requests that failed have no status."""
+    return requests.groupBy("method", "path", "status").agg(F.count("*").alias("requests"), rounded(F.avg("ms"), 2).alias("mean_ms"), F.max("ms").alias("longest_ms"))

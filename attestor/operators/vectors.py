@@ -1,4 +1,4 @@
-"""Exact nearest vectors for a stated set of queries."""
+"""Exact nearest vectors for a stated set of queries, and their normalisation."""
 
 from __future__ import annotations
 
@@ -7,41 +7,85 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most bytes of query vectors in one broadcast block.
-BLOCK = 32 << 20
+#: Query vectors in one broadcast block, and rows that are scored at once.
+BLOCK, ROWS = 8192, 4096
+FOUND = "query_id long, vec_id long, score double"
+
+
+def normalised(v: Column) -> Column:
+    """A vector divided by its length; a zero vector stays, null stays null."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def usable(v: Column) -> Column:
+    """Whether a vector takes part: it isn't null or empty and holds no null."""
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull()), F.lit(False))
+
+
+def _top(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best of each row, ties to the smaller name; only what reaches the k-th best is sorted."""
+    take = min(k, len(names))
+    least = -np.partition(-scores, take - 1, axis=1)[:, take - 1]
+    row, column = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((names[column], -scores[row, column], row))
+    row, column = row[order], column[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < take
+    return row[kept], column[kept]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k vectors with the largest inner product, the query itself included, ties to the smaller id.
 
-    The queries travel in broadcast blocks of bounded size; each task keeps the k best of its own
-    rows, so k rows for each query and task are exchanged.
+    The queries are taken in blocks of bounded size. Each block is broadcast and meets all vectors in a
+    pass of its own, so a task holds one block; it keeps the k best of its rows, and k rows for each
+    query and task are exchanged. Vectors that are null or hold a null take no part; a query meets the
+    vectors of its own length.
     """
     spark = vectors.sparkSession
-    blocks, ids, rows = [], [], []
-    for r in vectors.where(is_query).select("vec_id", "embedding").toLocalIterator():
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    ids, block, passes = [], [], []
+
+    def compare(shared):
+        def run(batches):
+            asked, q = shared.value
+            best = None
+            for batch in batches:
+                batch = batch[batch["embedding"].str.len() == q.shape[1]]
+                for start in range(0, len(batch), ROWS):
+                    some = batch.iloc[start : start + ROWS]
+                    v, names = np.vstack(some["embedding"].to_numpy()), some["vec_id"].to_numpy()
+                    score = np.round(q @ v.T, 6)
+                    row, column = _top(score, names, k)
+                    found = pd.DataFrame({"query_id": asked[row], "vec_id": names[column], "score": score[row, column]})
+                    best = found if best is None else pd.concat([best, found]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            if best is not None:
+                yield best
+
+        return run
+
+    def flush():
+        # blocks of one length each, so that a block is a matrix
+        for size in sorted({len(x) for x in block}):
+            some = [i for i, x in enumerate(block) if len(x) == size]
+            shared = spark.sparkContext.broadcast((np.array([ids[i] for i in some]), np.array([block[i] for i in some], np.float64)))
+            passes.append(rows.mapInPandas(compare(shared), FOUND))
+
+    for r in rows.where(is_query).toLocalIterator():
         ids.append(r[0])
-        rows.append(r[1])
-        if len(rows) * len(r[1]) * 8 >= BLOCK:
-            blocks.append(spark.sparkContext.broadcast((np.array(ids), np.array(rows, np.float64))))
-            ids, rows = [], []
-    if rows:
-        blocks.append(spark.sparkContext.broadcast((np.array(ids), np.array(rows, np.float64))))
-
-    def run(batches):
-        best: dict[int, pd.DataFrame] = {}
-        for batch in batches:
-            v, names = np.vstack(batch["embedding"].to_numpy()).astype(np.float64), batch["vec_id"].to_numpy()
-            for i, block in enumerate(blocks):
-                asked, q = block.value
-                score = np.round(q @ v.T, 6)
-                take = min(k, len(names))
-                top = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :take]
-                found = pd.DataFrame({"query_id": np.repeat(asked, take), "vec_id": names[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
-                found = pd.concat([best[i], found]) if i in best else found
-                best[i] = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield from best.values()
-
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
+        block.append(r[1])
+        if len(block) == BLOCK:
+            flush()
+            ids, block = [], []
+    flush()
+    found = spark.createDataFrame([], FOUND)
+    for some in passes:
+        found = found.unionByName(some)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def with_metadata(found: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Ranked vectors with what the index says of them (vec_id and other columns but the embedding); scores of four digits."""
+    known = metadata.drop("embedding")
+    return found.join(known, "vec_id").withColumn("similarity_score", F.round("score", 4)).drop("score")

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions import text
-from ..operators.boxes import REGIONS
+from ..operators.boxes import CLASSES, REGIONS
+from ..operators import scoring
 from ..sources.fixtures import with_views
 
 
@@ -98,7 +99,7 @@ BY_NAME = """, means AS (SELECT known AS root, known FROM known UNION SELECT roo
 by_name AS (SELECT DISTINCT s.scan_id, r.id FROM spelled s JOIN means m USING (root) JOIN roots r ON r.known = m.known),
 found AS (SELECT * FROM by_number UNION SELECT * FROM by_name)"""
 
-SPECIAL = "TG|GG|SV|RC|SWSH|SVP|SM|XY|BW|HGSS|DP|PROMO|W|NP|POP"
+SPECIAL = "|".join(scoring.SPECIAL_PREFIXES)
 
 
 def _token_set(a: str, b: str) -> tuple[str, str]:
@@ -116,7 +117,7 @@ EVIDENCE = f""", likes AS (SELECT a, b, greatest({_ratio("a", "b")}, {_SET_RATIO
   SELECT DISTINCT lower(s.ocr_name) AS a, lower(c.name) AS b FROM found f JOIN scans s USING (scan_id) JOIN cards c USING (id) WHERE s.ocr_name IS NOT NULL) AS p) AS t),
 facts AS (SELECT f.scan_id, f.id, c.name, c.hp, c.number, c.printed_total, c.set_id, s.ocr_name, s.ocr_hp, s.collector_id, nq, tq, upper(trim(nq)) AS q, upper(trim(c.number)) AS n, CAST(c.printed_total AS VARCHAR) AS st, {_digits("tq")} AS td,
     coalesce(l.alike, 0) AS name_score, CASE WHEN s.ocr_hp <> 0 AND s.ocr_hp = TRY_CAST(c.hp AS INT) THEN 100.0 ELSE 0.0 END AS hp_score,
-    regexp_matches(upper(c.number), '^({SPECIAL})') OR regexp_matches(upper(coalesce(nq, '')), '^({SPECIAL})') OR contains(lower(c.set_name), 'promo') OR c.set_id IN ('svp', 'swshp', 'smp', 'xyp', 'bwp', 'hsp', 'dpp', 'basep', 'np') OR regexp_matches(c.set_id, '(tg|gg|sv)$') AS special
+    regexp_matches(upper(c.number), '^({SPECIAL})') OR regexp_matches(upper(coalesce(nq, '')), '^({SPECIAL})') OR contains(lower(c.set_name), 'promo') OR c.set_id IN ({_list(scoring.SPECIAL_SETS)}) OR regexp_matches(c.set_id, '(tg|gg|sv)$') AS special
   FROM found f JOIN (SELECT *, {NUMBER_QUERY} AS nq, {TOTAL_QUERY} AS tq FROM scans) s USING (scan_id) JOIN cards c USING (id) LEFT JOIN likes l ON l.a = lower(s.ocr_name) AND l.b = lower(c.name)),
 numbered AS (SELECT *, CASE WHEN nq IS NULL THEN 0.0 WHEN n = q OR ({_bare("n")} = {_bare("q")} AND {_bare("n")} <> '') THEN 100.0
     WHEN ((starts_with(q, 'SVP') AND set_id = 'svp') OR (starts_with(q, 'TG') AND ends_with(set_id, 'tg')) OR (starts_with(q, 'SV') AND (ends_with(set_id, 'sv') OR set_id = 'sma'))) AND ({_no_zeros(_digits("q"))}) = ({_no_zeros(_digits("n"))}) THEN 100.0
@@ -132,8 +133,12 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY scan_id ORDER BY final
 
 SCORED = with_views("cards", "scans") + INDEX + FUZZY + BY_NAME + EVIDENCE
 
-CLOSED = f""", names AS (SELECT name, min(k) AS ord, {_clean("name")} AS key, {_closed_root("name")} AS root FROM cards GROUP BY name),
-spellings AS (SELECT ocr_name, {_clean("ocr_name")} AS own, {_closed_root("ocr_name")} AS own_root FROM (SELECT DISTINCT ocr_name FROM scans WHERE ocr_name IS NOT NULL) AS s),
+SPELLINGS = {"scans": "SELECT DISTINCT ocr_name FROM scans WHERE ocr_name IS NOT NULL", "readings": "SELECT DISTINCT name AS ocr_name FROM readings WHERE name IS NOT NULL"}
+
+
+def _closed(source: str) -> str:
+    return f""", names AS (SELECT name, min(k) AS ord, {_clean("name")} AS key, {_closed_root("name")} AS root FROM cards GROUP BY name),
+spellings AS (SELECT ocr_name, {_clean("ocr_name")} AS own, {_closed_root("ocr_name")} AS own_root FROM ({SPELLINGS[source]}) AS s),
 exact AS (SELECT s.ocr_name, arg_max(n.name, n.ord) AS match FROM spellings s JOIN names n ON s.own = n.key WHERE s.own <> '' GROUP BY s.ocr_name),
 placed AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ord) AS place FROM names WHERE root <> ''),
 undecided AS (SELECT * FROM spellings WHERE own <> '' AND ocr_name NOT IN (SELECT ocr_name FROM exact)),
@@ -142,6 +147,16 @@ near_pool AS (SELECT u.ocr_name, p.name, 0 AS kind FROM undecided u JOIN placed
 pool AS (SELECT * FROM near_pool UNION ALL SELECT u.ocr_name, n.name, 2 FROM undecided u, names n WHERE u.ocr_name NOT IN (SELECT ocr_name FROM near_pool))"""
 
 
+CLOSED = _closed("scans")
+MATCHED = f""", ab AS (SELECT DISTINCT s.own AS a, n.key AS b FROM pool p JOIN spellings s USING (ocr_name) JOIN names n USING (name)),
+sets AS (SELECT a, b, {_SET_RATIO} AS t FROM (SELECT a, b, {_SET_COLUMNS} FROM ab) AS z),
+parts AS (SELECT a, b, max({_ratio("sh", "w")}) AS p FROM (SELECT a, b, sh, substr(lo, i, length(sh)) AS w FROM (SELECT a, b, sh, lo, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM ab) AS o) AS x) AS y GROUP BY a, b),
+rated_pairs AS (SELECT a, b, {_ratio("a", "b")} / 100.0::DOUBLE * 0.45::DOUBLE + t / 100.0::DOUBLE * 0.40::DOUBLE + p / 100.0::DOUBLE * 0.15::DOUBLE AS score FROM sets JOIN parts USING (a, b)),
+judged_names AS (SELECT p.ocr_name, p.name, round(CASE WHEN s.own_root = n.root AND n.root <> '' THEN greatest(score, 0.85::DOUBLE) ELSE score END, 3) AS score, p.kind, n.ord FROM pool p JOIN spellings s USING (ocr_name) JOIN names n USING (name) JOIN rated_pairs r ON r.a = s.own AND r.b = n.key),
+best_names AS (SELECT ocr_name, name AS match, score AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY ocr_name ORDER BY score DESC, kind, ord) AS k FROM judged_names) AS j WHERE k = 1 AND score >= 0.55),
+decided AS (SELECT ocr_name, match, 1.0::DOUBLE AS confidence FROM exact UNION ALL SELECT * FROM best_names)"""
+
+
 def _partial(a: str, b: str) -> str:
     one = _ratio("sh", "substr(lo, i, length(sh))")
     return (
@@ -150,9 +165,9 @@ def _partial(a: str, b: str) -> str:
     )
 
 
-_CASES = "lap < 70 THEN 'blurry' WHEN ml_blurry > 0.90 AND lap < 140 THEN 'probably blurry' WHEN glare > 0.08 THEN 'glare' WHEN ml_glare > 0.95 AND glare > 0.03 THEN 'probably glare' WHEN area < 0.10 AND NOT card_like THEN 'no card'"
+_CASES = "lap IS NULL OR glare IS NULL OR area IS NULL THEN 'empty' WHEN lap < 70 THEN 'blurry' WHEN ml_blurry > 0.90 AND lap < 140 THEN 'probably blurry' WHEN glare > 0.08 THEN 'glare' WHEN ml_glare > 0.95 AND glare > 0.03 THEN 'probably glare' WHEN area < 0.10 AND NOT card_like THEN 'no card'"
 REASON = f"CASE WHEN {_CASES} END"
-QUALITY = "round(100 * (least(lap / 350.0::DOUBLE, 1) * 0.45::DOUBLE + greatest(0, 1 - glare / 0.08::DOUBLE) * 0.30::DOUBLE + CASE WHEN card_like THEN 1 ELSE least(area / 0.45::DOUBLE, 1) END * 0.25::DOUBLE), 4)"
+QUALITY = "floor(100 * (least(lap / 350.0::DOUBLE, 1) * 0.45::DOUBLE + greatest(0, 1 - glare / 0.08::DOUBLE) * 0.30::DOUBLE + CASE WHEN card_like THEN 1 ELSE least(area / 0.45::DOUBLE, 1) END * 0.25::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE"
 
 
 def _modal(source: str, group: str, value: str, order: str) -> str:
@@ -174,7 +189,7 @@ burst AS (SELECT z.burst_id, n_frames, n_passed, best_frame, c.name, h.mode AS h
     round(coalesce(h.n, 0) / n_passed, 9) AS hp_agreement, round(coalesce(p.n, 0) / n_passed, 9) AS id_agreement
   FROM sizes z JOIN bests b USING (burst_id) LEFT JOIN chosen c USING (burst_id) LEFT JOIN {_modal("passed", "burst_id", "hp", "frame_no")} h USING (burst_id) LEFT JOIN {_modal("passed", "burst_id", "printed_id", "frame_no")} p USING (burst_id) WHERE n_passed > 0)"""
 
-_MISREAD = " ".join(f"WHEN total IN ({_list(bad)}) THEN '{good}'" for good, bad in text.MISREAD_TOTALS.items())
+_MISREAD = " ".join(f"WHEN total = '{bad}' THEN '{good}'" for bad, good in text.MISREAD_TOTALS.items())
 _TRY = "list_filter(list_transform(list_filter(range(1, length(total) + 1), lambda i: substr(total, i, 1) IN ('0', '5', '6', '9')), lambda i: substr(total, 1, i - 1) || '8' || substr(total, i + 1)), lambda t: t IN (" + _list(text.TOTAL_TARGETS) + "))[1]"
 _LETTERS = "list_transform(range(1, length(txt) + 1), lambda i: substr(txt, i, 1))"
 
@@ -196,28 +211,119 @@ _INTS = lambda pattern: f"list_transform(regexp_extract_all(txt, '{pattern}', 1)
 _NUMBERS = "regexp_extract_all(txt, '([0-9]+)', 1)"
 _WINDOWS = f"flatten(list_transform({_NUMBERS}, lambda s: list_transform(range(1, length(s) - 1), lambda i: TRY_CAST(substr(s, i, 3) AS INT))))"
 
+
+def _two(x: str, places: int = 2) -> str:
+    """Rounded half up, by the same arithmetic as the operators'."""
+    return f"floor({x} * {10**places} + 0.5) / {10**places}.0::DOUBLE"
+
+
+VERIFIED = "coalesce(strong OR (set_identity AND final_score >= 58 AND n_evidence >= 2), false)"
+
+
+def _chain(cards: str) -> str:
+    """The fallback searches; ``found`` are the scans with local candidates, ``cards`` what is searched."""
+    return f""", want AS (SELECT scan_id, lower({_catalog_root("coalesce(ocr_name, '')")}) AS root, {NUMBER_QUERY} AS nq FROM scans WHERE scan_id NOT IN (SELECT scan_id FROM found)),
+tries AS (SELECT scan_id, root, nq, unnest([1, 2, 3, 4, 5, 6]) AS step FROM want),
+asked_for AS (SELECT scan_id, step, CASE step WHEN 1 THEN 'name' WHEN 5 THEN 'number' WHEN 6 THEN 'number' ELSE 'start' END AS kind,
+  CASE step WHEN 1 THEN root WHEN 2 THEN root WHEN 3 THEN substr(root, 1, 4) WHEN 4 THEN substr(root, 1, 3) WHEN 5 THEN nq ELSE {_no_zeros(_digits("nq"))} END AS key
+  FROM tries WHERE CASE step WHEN 1 THEN root <> '' WHEN 2 THEN root <> '' WHEN 3 THEN length(root) >= 4 WHEN 4 THEN length(root) >= 3 ELSE nq IS NOT NULL END),
+finds AS (SELECT scan_id, step, kind, key FROM asked_for a WHERE EXISTS (SELECT 1 FROM {cards} c WHERE (kind = 'name' AND lower(c.name) = key) OR (kind = 'start' AND starts_with(lower(c.name), key)) OR (kind = 'number' AND c.number = key))),
+chain AS (SELECT DISTINCT scan_id, 0 AS step, 'local' AS kind, NULL AS key FROM found UNION ALL SELECT scan_id, step, kind, key FROM (SELECT *, min(step) OVER (PARTITION BY scan_id) AS least FROM finds) AS f WHERE step = least)"""
+
+
+CHAIN = _chain("cards")
+SUBSET_CHAIN = (", some_cards AS (SELECT * FROM cards WHERE k % 3 = 0)" + (INDEX + FUZZY + BY_NAME).replace("FROM cards", "FROM some_cards")) + _chain("some_cards")
+
+_UNIQUE = lambda n, t: f"coalesce({n} || '/' || CAST({t} AS VARCHAR), {n})"
+VISUAL = f""", eyes AS (SELECT s.scan_id, c.id, CAST(s.scan_id % 25 + 75 AS DOUBLE) / 100 AS similarity, c.name, c.hp, c.number, c.printed_total, s.ocr_name, s.ocr_hp, s.collector_id, s.scan_id IN (SELECT scan_id FROM found) AS known
+  FROM scans s, (SELECT count(*) AS n FROM cards) AS z JOIN cards c ON c.k = (s.scan_id * 7 + s.scan_id % 4) % z.n),
+eye_pairs AS (SELECT DISTINCT lower(name) AS a, lower(ocr_name) AS b FROM eyes WHERE ocr_name IS NOT NULL),
+eye_part AS (SELECT a, b, max({_ratio("sh", "w")}) AS p FROM (SELECT a, b, sh, substr(lo, i, length(sh)) AS w FROM (SELECT a, b, sh, lo, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM eye_pairs) AS o) AS x) AS y GROUP BY a, b),
+eye_alike AS (SELECT a, b, p, {_ratio("a", "b")} AS r FROM eye_part),
+eye_tests AS (SELECT e.*, p, r, known AND similarity >= 0.80 AND (coalesce(ocr_hp <> 0 AND TRY_CAST(hp AS INT) <> 0 AND abs(TRY_CAST(hp AS INT) - ocr_hp) > 30, false) OR coalesce(p < 40, false)) AS disagrees
+  FROM eyes e LEFT JOIN eye_alike l ON l.a = lower(e.name) AND l.b = lower(e.ocr_name)),
+gated AS (SELECT *, known AND similarity >= 0.88 AND NOT disagrees AND (coalesce(r >= 75, false) OR coalesce(ocr_hp <> 0 AND ocr_hp = TRY_CAST(hp AS INT), false) OR coalesce({_UNIQUE("number", "printed_total")} = collector_id, false)) AS accepted FROM eye_tests)"""
+
+_PRICE = "coalesce(nullif({0}.holofoil, 0), nullif({0}.normal, 0), nullif({0}.reverse_holofoil, 0), {0}.first_edition)"
+_PADDED = f"CASE WHEN length(w) >= 3 AND length(b.number) < length(w) AND regexp_matches(b.number, '^[0-9]+$') THEN lpad(b.number, CAST(length(w) AS INT), '0') ELSE b.number END"
+RESPONSES = f""", best AS (SELECT s.scan_id, r.id, r.final_score, {VERIFIED} AS ok, coalesce({_digits("trim(split_part(s.collector_id, '/', 1))")}, '') AS w FROM scans s LEFT JOIN ranked r ON r.scan_id = s.scan_id AND r.place = 1),
+firsts AS (SELECT scan_id, count(*) AS n, arg_min({_UNIQUE("number", "printed_total")}, place) AS first_id, arg_min({_two("least(final_score / 100, 1)")}, place) AS first_confidence FROM ranked WHERE place <= 5 GROUP BY scan_id),
+chosen_by AS (SELECT x.*, g.similarity, g.disagrees, coalesce(g.accepted, false) AS eye, NOT coalesce(g.accepted, false) AND ok AS rank_ok, g.id AS eye_id FROM best x LEFT JOIN gated g USING (scan_id))
+SELECT x.scan_id, eye OR rank_ok AS verified, CASE WHEN eye THEN {_two("similarity")} WHEN rank_ok THEN {_two("least(final_score / 100, 1)")} ELSE 0 END AS confidence,
+  CASE WHEN eye THEN {_two("similarity * 100", 1)} ELSE {_two("coalesce(final_score, 0)", 1)} END AS best_score,
+  CASE WHEN eye THEN v.name WHEN rank_ok THEN b.name END AS name, TRY_CAST(CASE WHEN eye THEN v.hp WHEN rank_ok THEN b.hp END AS INT) AS hp,
+  CASE WHEN eye THEN {_UNIQUE("v.number", "v.printed_total")} WHEN rank_ok THEN ({_PADDED}) || coalesce('/' || CAST(b.printed_total AS VARCHAR), '') END AS unique_id,
+  CASE WHEN eye THEN v.set_name WHEN rank_ok THEN b.set_name END AS set_name, CASE WHEN eye THEN v.set_series WHEN rank_ok THEN b.set_series END AS set_series,
+  CASE WHEN eye THEN v.rarity WHEN rank_ok THEN b.rarity ELSE 'Unknown' END AS rarity, CASE WHEN eye THEN {_PRICE.format("v")} WHEN rank_ok THEN {_PRICE.format("b")} END AS market_price,
+  eye AS visual_match_applied, disagrees AND NOT eye AS disagreement, CAST(coalesce(f.n, 0) AS INT) AS n_candidates, f.first_id, f.first_confidence,
+  CASE WHEN eye OR rank_ok THEN NULL WHEN f.n IS NULL THEN 'No cards found.' ELSE 'No confident match found.' END AS message
+FROM chosen_by x LEFT JOIN cards b ON b.id = x.id LEFT JOIN cards v ON v.id = x.eye_id LEFT JOIN firsts f ON f.scan_id = x.scan_id"""
+
+_MEANS = lambda x: "CASE upper(" + x + ") " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in text.PREFIX_MEANS.items()) + f" ELSE upper({x}) END"
+_SLOT = lambda x: f"translate({x}, '{text.SLOT_FROM}', '{text.SLOT_TO}')"
+_WHOLE = lambda x: f"regexp_matches({x}, '^[0-9]+$')"
+
+
+def _matches(source: str, column: str, pattern: str, groups: str) -> str:
+    """A row for each match of a pattern, with its groups a, b, c, d, in order."""
+    lists = ", ".join(f"regexp_extract_all({column}, '{pattern}', {g}) AS l{g}" for g in range(1, len(groups) + 1))
+    return f"(SELECT *, {', '.join(f'l{g}[m] AS {c}' for g, c in enumerate(groups, 1))} FROM (SELECT *, unnest(range(1, len(l1) + 1)) AS m FROM (SELECT *, {lists} FROM {source}) AS x) AS y)"
+
+
+_FORM = "'(?i)^[0-9]{1,4}[a-z]?$'"
+PRINTED = f""", lined AS (SELECT event_id, list_filter(list_transform(string_split(txt, chr(10)), lambda s: trim(s)), lambda s: s <> '') AS ls FROM id_texts),
+chunked AS (SELECT event_id, list_concat(ls, CASE WHEN len(ls) > 1 THEN list_concat(list_transform(range(1, len(ls)), lambda i: ls[i] || ' ' || ls[i + 1]), [array_to_string(ls, ' ')]) ELSE []::VARCHAR[] END) AS cs FROM lined),
+pieces AS (SELECT event_id, ci, cs[ci] AS c FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS ci FROM chunked) AS x),
+promo AS (SELECT event_id, ci, m, {_MEANS("a")} AS p, {_SLOT("b")} AS n FROM {_matches("pieces", "c", text.PROMO, "ab")} AS x),
+subset AS (SELECT event_id, ci, m, {_MEANS("a")} AS p, {_SLOT("b")} AS n, {_MEANS("c_")} AS q, {_SLOT("d")} AS t FROM (SELECT event_id, ci, m, a, b, c_, d FROM (SELECT * RENAME (c AS piece) FROM pieces) AS z, LATERAL (SELECT unnest(range(1, len(l1) + 1)) AS m, l1, l2, l3, l4 FROM (SELECT regexp_extract_all(piece, '{text.SUBSET}', 1) AS l1, regexp_extract_all(piece, '{text.SUBSET}', 2) AS l2, regexp_extract_all(piece, '{text.SUBSET}', 3) AS l3, regexp_extract_all(piece, '{text.SUBSET}', 4) AS l4) AS u) AS w, LATERAL (SELECT l1[m] AS a, l2[m] AS b, l3[m] AS c_, l4[m] AS d) AS g) AS x),
+fraction AS (SELECT event_id, ci, m, n, CASE WHEN t IN ('055', '056') THEN '086' ELSE t END AS t FROM (SELECT event_id, ci, m, {_SLOT("a")} AS n, {_SLOT("b")} AS t FROM {_matches("pieces", "c", text.FRACTION, "ab")} AS x) AS y),
+found_ids AS (
+  SELECT event_id, ci, 1 AS g, m, p || CASE WHEN p IN ('SWSH', 'SVP') AND length(n) <= 2 THEN lpad(n, 3, '0') WHEN p IN ('XY', 'SM', 'BW', 'DP', 'HGSS') AND length(n) = 1 THEN lpad(n, 2, '0') ELSE n END AS id, 0.98::DOUBLE AS confidence, 'promo_prefix' AS pattern FROM promo WHERE {_WHOLE("n")} AND n <> '0'
+  UNION ALL SELECT event_id, ci, 2, m, p || n || '/' || q || t, 0.96, 'subset_fraction' FROM subset WHERE {_WHOLE("n")} AND {_WHOLE("t")} AND TRY_CAST(n AS INT) BETWEEN 1 AND 999 AND TRY_CAST(t AS INT) BETWEEN 10 AND 999
+  UNION ALL SELECT event_id, ci, 3, m, upper(n) || '/' || upper(t), 0.95, 'standard_fraction' FROM fraction WHERE regexp_matches(n, {_FORM}) AND regexp_matches(t, {_FORM}) AND TRY_CAST({_digits("n")} AS INT) BETWEEN 1 AND 999 AND TRY_CAST({_digits("t")} AS INT) BETWEEN 10 AND 999
+  UNION ALL SELECT event_id, ci, 4, m, upper(a), 0.88, 'suffix_id' FROM {_matches("pieces", "c", text.SUFFIX, "a")} AS x),
+printed AS (SELECT event_id, id, confidence, pattern FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY confidence DESC, ci, g, m) AS k FROM found_ids) AS f WHERE k = 1)"""
+
+
+def _half(x: str) -> str:
+    """A fraction's half with misread digits corrected, unless its prefix explains them."""
+    starts = lambda *p: "(" + " OR ".join(f"starts_with({x}, '{q}')" for q in p) + ")"
+    s5 = f"CASE WHEN {starts('SWSH', 'SV', 'SM')} THEN {x} ELSE translate({x}, 'sS', '55') END"
+    b8 = f"CASE WHEN {starts('BW')} THEN {s5} ELSE replace({s5}, 'B', '8') END"
+    o0 = f"CASE WHEN {starts('PROMO', 'TG', 'GG')} THEN {b8} ELSE translate({b8}, 'Oo', '00') END"
+    return f"CASE WHEN {starts('TG', 'GG', 'RC', 'SV', 'SWSH', 'SVP')} THEN {o0} ELSE translate({o0}, 'Il|', '111') END"
+
+
+COLLECTOR = rf""", slashed AS (SELECT event_id, CASE WHEN contains(txt, '/') THEN txt ELSE regexp_replace(txt, '{text.MISSING_SLASH}', '\1/\2', 'g') END AS c FROM id_texts),
+totals AS (SELECT DISTINCT CAST(printed_total AS VARCHAR) AS t FROM cards UNION SELECT unnest([{_list(text.KNOWN_TOTALS)}])),
+halves AS (SELECT event_id, m, {_half("a")} AS n, {_half("b")} AS total FROM {_matches("slashed", "c", text.FALLBACK_FRACTION, "ab")} AS x),
+whole_halves AS (SELECT event_id, m, CASE WHEN regexp_matches(n, '^4[0-9][0-9]$') THEN '1' || substr(n, 2) ELSE n END AS n, CASE WHEN total IN (SELECT t FROM totals) THEN total {_MISREAD} ELSE coalesce({_TRY}, total) END AS total FROM halves
+  WHERE {_WHOLE("n")} AND {_WHOLE("total")} AND TRY_CAST(n AS INT) BETWEEN 1 AND 999 AND TRY_CAST(total AS INT) BETWEEN 10 AND 999),
+guesses AS (
+  SELECT event_id, 1 AS g, m, upper(a) || b || '/' || upper(c_) AS id, 90 AS score FROM (SELECT event_id, m, l1[m] AS a, l2[m] AS b, l3[m] AS c_ FROM (SELECT *, unnest(range(1, len(l1) + 1)) AS m FROM (SELECT *, regexp_extract_all(c, '{text.FALLBACK_SUBSET}', 1) AS l1, regexp_extract_all(c, '{text.FALLBACK_SUBSET}', 2) AS l2, regexp_extract_all(c, '{text.FALLBACK_SUBSET}', 3) AS l3 FROM slashed) AS x) AS y) AS z
+  UNION ALL SELECT event_id, 2, m, upper(a) || b, 95 FROM {_matches("slashed", "c", text.FALLBACK_PROMO, "ab")} AS x
+  UNION ALL SELECT event_id, 3, m, n || '/' || total, CASE WHEN CAST(total AS INT) BETWEEN 20 AND 800 THEN 40 ELSE 0 END + CASE WHEN CAST(n AS INT) BETWEEN 1 AND 999 THEN 20 ELSE 0 END + CASE WHEN CAST(n AS INT) > CAST(total AS INT) AND CAST(total AS INT) >= 30 THEN 25 ELSE 0 END + CASE WHEN total IN (SELECT t FROM totals) THEN 20 ELSE 0 END FROM whole_halves),
+fallback AS (SELECT event_id, id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, g, m) AS k FROM guesses) AS f WHERE k = 1)"""
+
+
 ORACLES: dict[str, str] = {
-    "q01_catalog_compact": with_views("cards") + ", sets AS (SELECT set_id, min(set_name) AS set_name, max(printed_total) AS set_total FROM cards GROUP BY set_id) SELECT id, name, hp, number, rarity, set_id, s.set_name, coalesce(printed_total, set_total) AS printed_total FROM cards LEFT JOIN sets s USING (set_id)",
+    "q01_catalog_compact": with_views("cards") + ", sets AS (SELECT set_id, min(set_name) AS n, min(set_series) AS s, max(printed_total) AS t FROM cards GROUP BY set_id) SELECT id, name, hp, number, rarity, set_id, CASE k % 4 WHEN 0 THEN n WHEN 1 THEN 'own ' || set_name ELSE set_name END AS set_name, CASE k % 4 WHEN 0 THEN s ELSE set_series END AS set_series, CASE k % 4 WHEN 0 THEN t ELSE printed_total END AS printed_total FROM cards LEFT JOIN sets USING (set_id)",
     "q02_number_keys": with_views("cards") + f" SELECT id, array_to_string({_keys('number')}, ',') AS keys, array_to_string({_aliases()}, ',') AS aliases FROM cards",
     "q03_number_candidates": with_views("cards", "scans") + INDEX + " SELECT scan_id, id FROM by_number",
     "q04_root_name": with_views("cards") + f" SELECT id, {_catalog_root('name')} AS catalog_root, {_closed_root('name')} AS closed_root FROM cards",
     "q05_clean_key": with_views("scans") + f" SELECT scan_id, {_clean('ocr_name')} AS key FROM scans",
     "q06_exact_name": with_views("cards", "scans") + CLOSED + " SELECT s.scan_id, e.match FROM scans s LEFT JOIN exact e USING (ocr_name) WHERE s.ocr_name IS NOT NULL",
     "q07_fuzzy_top8": with_views("cards", "scans") + FUZZY + " SELECT root, known, score, CAST(place AS INT) AS place FROM fuzzy",
-    "q08_prefix_block": with_views("cards", "scans") + CLOSED + " SELECT ocr_name, name, kind FROM pool",
+    "q08_prefix_block": with_views("cards", "scans") + CLOSED + " SELECT ocr_name, name, kind FROM near_pool UNION ALL SELECT ocr_name, NULL, 2 FROM undecided WHERE ocr_name NOT IN (SELECT ocr_name FROM near_pool)",
     "q09_indel_ratio": with_views("cards", "scans") + PAIRS + f" SELECT a, b, {_ratio('a', 'b')} AS ratio FROM pairs",
     "q10_token_set_ratio": with_views("cards", "scans") + PAIRS + f" SELECT a, b, {_SET_RATIO} AS ratio FROM (SELECT a, b, {_SET_COLUMNS} FROM pairs) AS t",
     "q11_partial_ratio": with_views("cards", "scans") + PAIRS + f" SELECT a, b, max({_ratio('sh', 'w')}) AS ratio FROM (SELECT a, b, sh, substr(lo, i, length(sh)) AS w FROM (SELECT a, b, sh, lo, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM pairs) AS o) AS x) AS y GROUP BY a, b",
-    "q12_closed_set_match": with_views("cards", "scans") + CLOSED + f""", ab AS (SELECT DISTINCT s.own AS a, n.key AS b FROM pool p JOIN spellings s USING (ocr_name) JOIN names n USING (name)),
-sets AS (SELECT a, b, {_SET_RATIO} AS t FROM (SELECT a, b, {_SET_COLUMNS} FROM ab) AS z),
-parts AS (SELECT a, b, max({_ratio("sh", "w")}) AS p FROM (SELECT a, b, sh, substr(lo, i, length(sh)) AS w FROM (SELECT a, b, sh, lo, unnest(range(1, length(lo) - length(sh) + 2)) AS i FROM (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM ab) AS o) AS x) AS y GROUP BY a, b),
-rated AS (SELECT a, b, {_ratio("a", "b")} / 100.0::DOUBLE * 0.45::DOUBLE + t / 100.0::DOUBLE * 0.40::DOUBLE + p / 100.0::DOUBLE * 0.15::DOUBLE AS score FROM sets JOIN parts USING (a, b)),
-judged AS (SELECT p.ocr_name, p.name, round(CASE WHEN s.own_root = n.root AND n.root <> '' THEN greatest(score, 0.85::DOUBLE) ELSE score END, 3) AS score, p.kind, n.ord FROM pool p JOIN spellings s USING (ocr_name) JOIN names n USING (name) JOIN rated r ON r.a = s.own AND r.b = n.key),
-best AS (SELECT ocr_name, name AS match, score AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY ocr_name ORDER BY score DESC, kind, ord) AS k FROM judged) AS j WHERE k = 1 AND score >= 0.55),
-decided AS (SELECT ocr_name, match, 1.0::DOUBLE AS confidence FROM exact UNION ALL SELECT * FROM best)
-SELECT s.ocr_name, d.match, coalesce(d.confidence, 0) AS confidence FROM spellings s LEFT JOIN decided d USING (ocr_name)""",
+    "q12_closed_set_match": with_views("cards", "scans") + CLOSED + MATCHED + " SELECT s.ocr_name, d.match, coalesce(d.confidence, 0) AS confidence FROM spellings s LEFT JOIN decided d USING (ocr_name)",
+    "q13_resolve_candidates": with_views("cards", "readings") + _closed("readings") + MATCHED + " SELECT burst_id, arg_max(match, (confidence, -frame_no)) AS match, max(confidence) AS confidence FROM readings r JOIN decided d ON r.name = d.ocr_name GROUP BY burst_id",
+    "q14_parse_printed_id": with_views("id_texts") + PRINTED + " SELECT event_id, id, CASE WHEN id IS NULL THEN 0 ELSE confidence END AS confidence, CASE WHEN txt = '' THEN 'empty_text' WHEN id IS NULL THEN 'no_match' ELSE pattern END AS pattern FROM id_texts LEFT JOIN printed USING (event_id)",
+    "q16_parse_collector_id": with_views("cards", "id_texts") + PRINTED + COLLECTOR + " SELECT t.event_id, coalesce(p.id, f.id) AS id FROM id_texts t LEFT JOIN printed p USING (event_id) LEFT JOIN fallback f USING (event_id)",
     "q15_parse_hp": with_views("id_texts") + f" SELECT event_id, coalesce(list_filter({_INTS(chr(40) + '?i)([0-9]{2,3})' + chr(92) + 's*HP' + chr(92) + 'b')}, {_GOOD(30)})[1], list_filter({_INTS(chr(40) + '?i)' + chr(92) + 'bHP' + chr(92) + 's*([0-9]{2,3})')}, {_GOOD(30)})[1], list_filter({_WINDOWS}, {_GOOD(100)})[1], list_filter({_INTS('([0-9]+)')}, {_GOOD(30)})[1]) AS hp FROM id_texts",
-    "q17_correct_set_total": with_views("votes") + f" SELECT session, seq, CASE WHEN total IN ({_list(text.KNOWN_TOTALS)}) THEN total {_MISREAD} ELSE coalesce({_TRY}, total) END AS total FROM (SELECT session, seq, lpad(CAST((session * 7 + seq) % 300 AS VARCHAR), 3, '0') AS total FROM votes) AS t",
+    "q17_correct_set_total": with_views("cards", "votes") + f" SELECT session, seq, CASE WHEN total IN ({_list(text.KNOWN_TOTALS)}) OR total IN (SELECT CAST(printed_total AS VARCHAR) FROM cards) THEN total {_MISREAD} ELSE coalesce({_TRY}, total) END AS total FROM (SELECT session, seq, lpad(CAST((session * 7 + seq) % 300 AS VARCHAR), 3, '0') AS total FROM votes) AS t",
     "q18_fix_slash": with_views("id_texts") + r" SELECT event_id, CASE WHEN contains(txt, '/') THEN txt ELSE regexp_replace(txt, '\b([A-Za-z0-9]{2,5})[7l1I|](\d{2,4})\b', '\1/\2', 'g') END AS fixed FROM id_texts",
     "q19_restricted_alphabet": with_views("id_texts") + f" SELECT event_id, {_restricted('hp')} AS hp, {_restricted('collector_id')} AS collector_id FROM id_texts",
     "q20_token_normalize": with_views("scans") + f""" SELECT scan_id, CASE WHEN ocr_name IS NULL THEN NULL ELSE {_token("(ocr_name || '@x!')")} END AS token,
@@ -229,32 +335,39 @@ SELECT burst_id, printed_id, score, roi FROM (SELECT *, row_number() OVER (PARTI
     "q25_quality_gate": with_views("frames") + f" SELECT burst_id, frame_no, {REASON} AS reason FROM frames",
     "q26_quality_score": with_views("frames") + f" SELECT burst_id, frame_no, {QUALITY} AS quality FROM frames WHERE {REASON} IS NULL",
     "q27_burst_consensus": with_views("readings") + BURST + " SELECT * FROM burst",
-    "q28_capture_confidence": with_views("readings") + BURST + " SELECT burst_id, round(100 * (0.15::DOUBLE * n_passed / n_frames + 0.30::DOUBLE * id_agreement + 0.15::DOUBLE * name_agreement + 0.10::DOUBLE * hp_agreement + 0.30::DOUBLE * CASE WHEN hp IS NULL THEN 0 ELSE CASE WHEN hp / 400.0 > 1 THEN hp / 40000.0::DOUBLE ELSE hp / 400.0::DOUBLE END END), 4) AS confidence FROM burst",
+    "q28_capture_confidence": with_views("readings") + BURST + " SELECT burst_id, floor(100 * (0.15::DOUBLE * n_passed / n_frames + 0.30::DOUBLE * id_agreement + 0.15::DOUBLE * name_agreement + 0.10::DOUBLE * hp_agreement + 0.30::DOUBLE * CASE WHEN hp IS NULL THEN 0 ELSE CASE WHEN hp / 400.0 > 1 THEN hp / 40000.0::DOUBLE ELSE hp / 400.0::DOUBLE END END) * 100 + 0.5) / 100.0::DOUBLE AS confidence FROM burst",
     "q29_evidence_scores": SCORED + " SELECT scan_id, id, total_score::DOUBLE AS total_score, num_score::DOUBLE AS num_score, name_score, hp_score::DOUBLE AS hp_score, final_score, n_evidence, strong, set_identity FROM scored",
-    "q30_verify_decision": SCORED + " SELECT s.scan_id, r.id, coalesce(r.final_score, 0) AS best_score, coalesce(r.n_evidence, 0) AS n_evidence, coalesce(strong OR (set_identity AND final_score >= 58 AND n_evidence >= 2), false) AS verified, round(least(coalesce(r.final_score, 0) / 100, 1), 4) AS confidence FROM scans s LEFT JOIN ranked r ON r.scan_id = s.scan_id AND r.place = 1",
-    "q31_top5_candidates": SCORED + " SELECT scan_id, place, id, number || '/' || st AS unique_id, TRY_CAST(hp AS INT) AS hp, round(least(final_score / 100, 1), 4) AS confidence FROM ranked WHERE place <= 5",
+    "q30_verify_decision": SCORED + f" SELECT scan_id, CASE WHEN ok THEN id END AS id, id AS best_id, {_two('coalesce(final_score, 0)', 1)} AS best_score, coalesce(n_evidence, 0) AS n_evidence, ok AS verified, CASE WHEN ok THEN {_two('least(final_score / 100, 1)')} ELSE 0 END AS confidence FROM (SELECT s.scan_id, r.id, final_score, n_evidence, {VERIFIED} AS ok FROM scans s LEFT JOIN ranked r ON r.scan_id = s.scan_id AND r.place = 1) AS j",
+    "q31_top5_candidates": SCORED + f" SELECT scan_id, place, id, coalesce(number || '/' || st, number) AS unique_id, TRY_CAST(hp AS INT) AS hp, {_two('least(final_score / 100, 1)')} AS confidence FROM ranked WHERE place <= 5",
     "q32_vector_topk": "SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) AS s) AS r WHERE rank <= 5",
     "q34_rejection_mode": with_views("frames") + f", judged AS (SELECT *, {REASON} AS reason FROM frames), lost AS (SELECT * FROM judged WHERE burst_id NOT IN (SELECT burst_id FROM judged WHERE reason IS NULL)) SELECT burst_id, mode AS reason, n FROM {_modal('lost', 'burst_id', 'reason', 'frame_no')} AS m",
     "q35_multi_frame_vote": with_views("votes") + """, admitted AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS r FROM votes WHERE printed_id IS NOT NULL AND frame_quality >= 50),
 held AS (SELECT a.session, a.seq, b.printed_id, count(*) AS n, min(b.r) AS f, avg(b.confidence::DOUBLE) AS mean FROM admitted a JOIN admitted b ON a.session = b.session AND b.r BETWEEN a.r - 9 AND a.r GROUP BY a.session, a.seq, b.printed_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY session, seq ORDER BY n DESC, f) AS k FROM held)
-SELECT session, seq, CASE WHEN n >= 3 THEN printed_id END AS printed_id, CASE WHEN n >= 3 THEN round(mean, 6) WHEN n = 2 THEN 0.5 ELSE 0 END AS confidence, CASE WHEN n >= 3 THEN 'accepted' WHEN n = 2 THEN 'ambiguous' ELSE 'rejected' END AS status FROM best WHERE k = 1""",
+SELECT session, seq, CASE WHEN n >= 2 THEN printed_id END AS printed_id, CASE WHEN n >= 3 THEN round(mean, 6) WHEN n = 2 THEN 0.5 ELSE 0 END AS confidence, CASE WHEN n >= 3 THEN 'accepted' WHEN n = 2 THEN 'ambiguous' ELSE 'rejected' END AS status FROM best WHERE k = 1""",
     "q36_price_chain": with_views("cards") + " SELECT id, coalesce(nullif(holofoil, 0), nullif(normal, 0), nullif(reverse_holofoil, 0), first_edition) AS price FROM cards",
-    "q37_id_format": SCORED + f""" SELECT scan_id, CASE WHEN length(w) >= 3 AND length(number) < length(w) AND regexp_matches(number, '^[0-9]+$') THEN lpad(number, CAST(length(w) AS INT), '0') ELSE number END || '/' || st AS unique_id
+    "q37_id_format": SCORED + f""" SELECT scan_id, CASE WHEN length(w) >= 3 AND length(number) < length(w) AND regexp_matches(number, '^[0-9]+$') THEN lpad(number, CAST(length(w) AS INT), '0') ELSE number END || coalesce('/' || st, '') AS unique_id
 FROM (SELECT *, coalesce({_digits("trim(split_part(collector_id, '/', 1))")}, '') AS w FROM ranked WHERE place = 1) AS r""",
     "q38_known_totals": with_views("cards") + f" SELECT CAST(printed_total AS VARCHAR) AS total FROM cards UNION SELECT unnest([{_list(text.KNOWN_TOTALS)}])",
-    "q39_fallback_chain": with_views("cards", "scans") + f""", want AS (SELECT scan_id, {_catalog_root("coalesce(ocr_name, '')")} AS root, {NUMBER_QUERY} AS nq FROM scans),
-hits AS (SELECT scan_id, id, 1 AS step FROM want JOIN cards ON lower(root) = lower(name) WHERE root <> ''
- UNION ALL SELECT scan_id, id, 2 FROM want JOIN cards ON starts_with(lower(name), lower(root)) WHERE root <> ''
- UNION ALL SELECT scan_id, id, 3 FROM want JOIN cards ON substr(lower(name), 1, 4) = substr(lower(root), 1, 4) WHERE length(root) >= 4
- UNION ALL SELECT scan_id, id, 4 FROM want JOIN cards ON substr(lower(name), 1, 3) = substr(lower(root), 1, 3) WHERE length(root) >= 3
- UNION ALL SELECT scan_id, id, 5 FROM want JOIN cards ON nq = number
- UNION ALL SELECT scan_id, id, 6 FROM want JOIN cards ON ({_no_zeros(_digits("nq"))}) = number WHERE nq IS NOT NULL)
-SELECT DISTINCT scan_id, id, step FROM (SELECT *, min(step) OVER (PARTITION BY scan_id) AS least FROM hits) AS h WHERE step = least""",
-    "q40_bbox_best_per_class": """WITH b AS (SELECT l_orderkey AS image, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS ord, l_returnflag AS label, l_suppkey * 3 - 20 AS x1, l_linenumber * 30 - 40 AS y1, l_suppkey * 9 + 40 AS x2, l_linenumber * 150 AS y2, l_quantity / 50 AS confidence FROM lineitem),
-k AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY confidence DESC, ord) AS n FROM b WHERE confidence >= 0.6)
-SELECT image, label, CAST(greatest(0, least(x1, 630)) AS INT) AS x1, CAST(greatest(0, least(y1, 880)) AS INT) AS y1, CAST(greatest(0, least(x2, 630)) AS INT) AS x2, CAST(greatest(0, least(y2, 880)) AS INT) AS y2, confidence FROM k WHERE n = 1""",
+    "q39_fallback_chain": SCORED + CHAIN + " SELECT scan_id, step, kind, key FROM chain",
+    "q40_bbox_best_per_class": f"""WITH b AS (SELECT l_orderkey AS image, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS ord, CASE l_returnflag WHEN 'A' THEN 'card' WHEN 'N' THEN 'header_region' ELSE 'stray' END AS label, l_suppkey * 3 - 20 AS x1, l_linenumber * 30 - 40 AS y1, l_suppkey * 9 + 40 AS x2, l_linenumber * 150 AS y2, l_quantity / 50 AS c FROM lineitem),
+k AS (SELECT *, floor(c * 10000 + 0.5) / 10000.0::DOUBLE AS confidence FROM b WHERE c >= 0.6 AND label IN ({_list(CLASSES)})),
+n AS (SELECT *, row_number() OVER (PARTITION BY image, label ORDER BY confidence DESC, ord) AS n FROM k),
+cut AS (SELECT *, greatest(0, least(x1, 629)) AS a1, greatest(0, least(y1, 879)) AS b1, greatest(0, least(x2, 630)) AS a2, greatest(0, least(y2, 880)) AS b2 FROM n WHERE n = 1)
+SELECT image, label, confidence, CAST(greatest(0, x2 - x1) AS INT) AS width, CAST(greatest(0, y2 - y1) AS INT) AS height,
+  CAST(CASE WHEN a2 > a1 AND b2 > b1 THEN a1 END AS INT) AS x1, CAST(CASE WHEN a2 > a1 AND b2 > b1 THEN b1 END AS INT) AS y1, CAST(CASE WHEN a2 > a1 AND b2 > b1 THEN a2 END AS INT) AS x2, CAST(CASE WHEN a2 > a1 AND b2 > b1 THEN b2 END AS INT) AS y2 FROM cut""",
     "q43_crop_regions": "WITH sizes AS (SELECT p_partkey, p_size * 17 + 100 AS h, p_size * 11 + 90 AS w FROM part), r(name, a, b, c, d) AS (VALUES "
     + ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, (a, b, c, d) in REGIONS.items())
     + ") SELECT p_partkey, name, CAST(floor(h * a) AS INT) AS y1, CAST(floor(h * b) AS INT) AS y2, CAST(floor(w * c) AS INT) AS x1, CAST(floor(w * d) AS INT) AS x2 FROM sizes, r",
+    "q33_visual_gate": SCORED + VISUAL + " SELECT scan_id, id, similarity, disagrees, accepted FROM gated",
+    "q44_responses": SCORED + VISUAL + RESPONSES,
+    "q45_request_metrics": f"SELECT 'POST' AS method, '/' || event_type AS path, CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 413 ELSE 200 END END AS status, count(*) AS requests, {_two('avg(event_id % 1000 * 8)')} AS mean_ms, CAST(max(event_id % 1000 * 8) AS DOUBLE) AS longest_ms FROM events GROUP BY ALL",
+    "q46_normalised_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 9)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v), w AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS w FROM n)
+SELECT vec_id, round(list_sum(w), 6) AS total, round(list_dot_product(w, w), 6) AS squares FROM w""",
+    "q47_search_results": with_views("cards", "scans") + SUBSET_CHAIN + """, s AS (SELECT DISTINCT kind, key FROM chain WHERE step > 0)
+SELECT kind, key, count(DISTINCT id) AS n, min(id) AS first FROM s JOIN cards c ON (kind = 'name' AND lower(c.name) = key) OR (kind = 'start' AND starts_with(lower(c.name), key)) OR (kind = 'number' AND c.number = key) GROUP BY kind, key""",
+    "q48_corners": "WITH p AS (SELECT vec_id, CAST(embedding[2 * i + 1] AS DOUBLE) AS x, CAST(embedding[2 * i + 2] AS DOUBLE) AS y FROM embeddings, range(4) AS r(i)) SELECT vec_id, "
+    + ", ".join(f"{f}({a}, {k}) AS {c}_{a}" for c, f, k in (("top_left", "arg_min", "x + y"), ("top_right", "arg_min", "y - x"), ("bottom_right", "arg_max", "x + y"), ("bottom_left", "arg_max", "y - x")) for a in ("x", "y"))
+    + " FROM p GROUP BY vec_id",
+    "q49_reading_order": "SELECT l_orderkey, string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_partkey % 50, l_linenumber, l_partkey, l_suppkey) AS names, min(l_partkey % 50) AS x1, min(l_linenumber) AS y1, max(l_partkey % 50 + 10) AS x2, max(l_linenumber + 3) AS y2 FROM lineitem GROUP BY l_orderkey",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..operators import boxes, candidates, consensus, quality, scoring, vectors
+from ..sources import cards as card_files
 from ..sources.fixtures import view
 from .oracles import ORACLES  # noqa: F401 - part of the registry
 
@@ -43,7 +44,12 @@ def _pairs(spark, sf_dir):
 
 @_query
 def q01_catalog_compact(spark, sf_dir):
-    return candidates.compact(view(spark, sf_dir, "cards"))
+    """Every fourth card has no set of its own, and every fourth one with its own name."""
+    cards = view(spark, sf_dir, "cards")
+    sets = cards.groupBy(F.col("set_id").alias("id")).agg(F.min("set_name").alias("name"), F.min("set_series").alias("series"), F.max("printed_total").alias("printed_total"))
+    own = lambda c: F.when(F.col("k") % 4 != 0, F.col(c)).alias(c)
+    name = F.when(F.col("k") % 4 == 1, F.concat(F.lit("own "), "set_name")).when(F.col("k") % 4 != 0, F.col("set_name"))
+    return candidates.compact(cards.select("id", "name", "hp", "number", "rarity", F.col("set_id").alias("stem"), own("set_id"), name.alias("set_name"), own("set_series"), own("printed_total")), sets)
 
 
 _columns("q02_number_keys", "cards", "id", lambda: F.array_join(text.number_keys(F.col("number")), ",").alias("keys"), lambda: F.array_join(text.alias_keys(F.col("set_id"), F.col("number")), ",").alias("aliases"))
@@ -110,8 +116,25 @@ def q13_resolve_candidates(spark, sf_dir):
 
 _columns("q14_parse_printed_id", "id_texts", "event_id", lambda: text.printed_id(F.col("txt"))["id"].alias("id"), lambda: text.printed_id(F.col("txt"))["confidence"].alias("confidence"), lambda: text.printed_id(F.col("txt"))["pattern"].alias("pattern"))
 _columns("q15_parse_hp", "id_texts", "event_id", lambda: text.hp(F.col("txt")).alias("hp"))
-_columns("q16_parse_collector_id", "id_texts", "event_id", lambda: text.collector_id(F.col("txt")).alias("id"))
-_columns("q17_correct_set_total", "votes", "session", "seq", lambda: text.set_total(F.lpad(((F.col("session") * 7 + F.col("seq")) % 300).cast("string"), 3, "0")).alias("total"))
+
+
+def _with_totals(spark, sf_dir, source):
+    """A view beside the catalogue's set totals, a row with one array."""
+    totals = view(spark, sf_dir, "cards").agg(F.collect_set(F.col("printed_total").cast("string")).alias("totals"))  # as many as there are totals of sets
+    return view(spark, sf_dir, source).join(F.broadcast(totals))
+
+
+@_query
+def q16_parse_collector_id(spark, sf_dir):
+    return _with_totals(spark, sf_dir, "id_texts").select("event_id", text.collector_id(F.col("txt"), F.col("totals")).alias("id"))
+
+
+@_query
+def q17_correct_set_total(spark, sf_dir):
+    total = F.lpad(((F.col("session") * 7 + F.col("seq")) % 300).cast("string"), 3, "0")
+    return _with_totals(spark, sf_dir, "votes").select("session", "seq", text.set_total(total, F.col("totals")).alias("total"))
+
+
 _columns("q18_fix_slash", "id_texts", "event_id", lambda: text.with_slash(F.col("txt")).alias("fixed"))
 _columns("q19_restricted_alphabet", "id_texts", "event_id", lambda: text.restricted(F.col("txt"), "hp").alias("hp"), lambda: text.restricted(F.col("txt"), "collector_id").alias("collector_id"))
 _columns("q20_token_normalize", "scans", "scan_id", lambda: text.name_token(F.concat("ocr_name", F.lit("@x!"))).alias("token"), lambda: text.names_something(text.name_token(F.col("ocr_name"))).alias("plausible"))
@@ -178,8 +201,7 @@ def q30_verify_decision(spark, sf_dir):
 
 @_query
 def q31_top5_candidates(spark, sf_dir):
-    top = scoring.ranked(scoring.evidence(*_scans_and_cards(spark, sf_dir)), 5)
-    return top.select("scan_id", "place", "id", F.concat("number", F.lit("/"), F.col("printed_total").cast("string")).alias("unique_id"), F.col("hp").try_cast("int").alias("hp"), F.round(F.least(F.col("final_score") / 100, F.lit(1.0)), 4).alias("confidence"))
+    return scoring.summaries(scoring.evidence(*_scans_and_cards(spark, sf_dir)))
 
 
 @_query
@@ -187,12 +209,17 @@ def q32_vector_topk(spark, sf_dir):
     return vectors.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def _seen(scans, cards):
+    """A visual candidate for each scan: its own card or one of the next three."""
+    n = cards.agg(F.count("*")).scalar()
+    of = scans.select("scan_id", ((F.col("scan_id") * 7 + F.col("scan_id") % 4) % n).alias("k"), ((F.col("scan_id") % 25 + 75) / 100).alias("similarity"))
+    return of.join(cards.select("k", "id"), "k").select("scan_id", "id", "similarity")
+
+
 @_query
 def q33_visual_gate(spark, sf_dir):
     scans, cards = _scans_and_cards(spark, sf_dir)
-    n = cards.count()
-    seen = scans.select("scan_id", ((F.col("scan_id") * 7 + F.col("scan_id") % 4) % n).alias("k"), (0.75 + (F.col("scan_id") % 25) / 100).alias("similarity")).join(cards.select("k", "id"), "k")
-    return scoring.visual_gate(scans, seen.select("scan_id", "id", "similarity"), cards)
+    return scoring.visual_gate(scans, _seen(scans, cards), cards, candidates.candidates(scans, cards))
 
 
 @_query
@@ -231,9 +258,9 @@ def q39_fallback_chain(spark, sf_dir):
 def q40_bbox_best_per_class(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     found = lines.select(
-        F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("label"),
+        F.col("l_orderkey").alias("image"), (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(F.col("l_returnflag") == "A", "card").when(F.col("l_returnflag") == "N", "header_region").otherwise("stray").alias("label"),
         (F.col("l_suppkey") * 3 - 20).cast("int").alias("x1"), (F.col("l_linenumber") * 30 - 40).cast("int").alias("y1"), (F.col("l_suppkey") * 9 + 40).cast("int").alias("x2"), (F.col("l_linenumber") * 150).cast("int").alias("y2"),
-        (F.col("l_quantity") / 50).alias("confidence"), F.lit(630).alias("width"), F.lit(880).alias("height"),
+        (F.col("l_quantity") / 50).alias("confidence"), F.lit(630).alias("image_width"), F.lit(880).alias("image_height"),
     )
     return boxes.best_boxes(found)
 
@@ -254,6 +281,59 @@ def q41_image_metrics(spark, sf_dir):
 
 @_query
 def q42_file_listing(spark, sf_dir):
-    """Names and sizes of the tables' files; by the same reader as images, with another suffix."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(sf_dir).select("path", "length")
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes")).orderBy("name", "size_bytes")
+    """Names and sizes of the tables' files."""
+    return card_files.listing(spark, sf_dir, ("parquet",)).select("name", "size_bytes")
+
+
+@_query
+def q44_responses(spark, sf_dir):
+    """The scan service's answers, the list of candidates as its length and its first entry."""
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    answers = scoring.responses(scans, cards, _seen(scans, cards))
+    first = F.get("candidates", 0)
+    return answers.select(*(c for c in answers.columns if c != "candidates"), F.size("candidates").alias("n_candidates"), first["unique_id"].alias("first_id"), first["confidence"].alias("first_confidence"))
+
+
+@_query
+def q45_request_metrics(spark, sf_dir):
+    """A request log made of events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    log = events.select(F.lit("POST").alias("method"), F.concat(F.lit("/"), "event_type").alias("path"), F.when(F.col("event_id") % 10 != 0, F.when(F.col("event_id") % 7 == 0, 413).otherwise(200)).alias("status"), (F.col("event_id") % 1000 * 8).cast("double").alias("ms"))
+    return scoring.request_metrics(log)
+
+
+@_query
+def q46_normalised_vectors(spark, sf_dir):
+    """Sums of the components of vectors scaled by their id and normalised again; every ninth is zero."""
+    scaled = F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 9))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", vectors.normalised(scaled).alias("v"))
+    total = lambda f: F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + f(x)), 6)
+    return v.select("vec_id", total(lambda x: x).alias("total"), total(lambda x: x * x).alias("squares"))
+
+
+@_query
+def q47_search_results(spark, sf_dir):
+    """How many cards each search of the fallback chain finds."""
+    scans, cards = _scans_and_cards(spark, sf_dir)
+    searches = candidates.fallback_chain(scans, cards.where("k % 3 = 0")).where("step > 0")
+    return candidates.search_results(searches, cards).groupBy("kind", "key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("first"))
+
+
+@_query
+def q48_corners(spark, sf_dir):
+    """Corners of four points made of each vector's first eight numbers."""
+    at = lambda i: F.get("embedding", i).cast("double")
+    points = F.array(*[F.struct(at(2 * i).alias("x"), at(2 * i + 1).alias("y")) for i in range(4)])
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", boxes.corners(points).alias("c"))
+    return found.select("vec_id", *(F.col(f"c.{c}.{a}").alias(f"{c}_{a}") for c in ("top_left", "top_right", "bottom_right", "bottom_left") for a in ("x", "y")))
+
+
+@_query
+def q49_reading_order(spark, sf_dir):
+    """The lines of each order as boxes, from left to right, and the box around them."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    box = F.struct((F.col("l_partkey") % 50).alias("x1"), F.col("l_linenumber").alias("y1"), (F.col("l_partkey") % 50 + 10).alias("x2"), (F.col("l_linenumber") + 3).alias("y2"), F.col("l_suppkey").alias("name"))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", box.alias("b"))
+    grouped = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["b"]).alias("bs"))
+    placed = grouped.select("l_orderkey", F.array_join(F.transform(boxes.left_to_right(F.col("bs")), lambda b: b["name"].cast("string")), ",").alias("names"), boxes.line_box(F.col("bs")).alias("a"))
+    return placed.select("l_orderkey", "names", "a.x1", "a.y1", "a.x2", "a.y2")

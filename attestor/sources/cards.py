@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import time
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CARD = (
@@ -29,15 +35,79 @@ def _fields() -> str:
 
 
 def read_card_files(spark: SparkSession, cards: str, sets: str) -> DataFrame:
-    """Cards of one file for each set, joined with the file of sets by the file's name; ordered by id."""
-    listed = spark.read.schema(CARD.replace("set struct<id:string,name:string,series:string,printedTotal:int,total:int>, ", "")).json(cards, multiLine=True).withColumn("set_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    """Cards of one file for each set, ordered by id; a card without a set of its own gets that of the file's name from the file of sets."""
+    listed = spark.read.schema(CARD).json(cards, multiLine=True).withColumn("stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
     known = spark.read.schema("id string, name string, series string, printedTotal int, total int").json(sets, multiLine=True)
-    return listed.join(known.select(F.col("id").alias("set_id"), F.struct("*").alias("set")), "set_id", "left").drop("set_id").orderBy("id")
+    joined = listed.join(known.select(F.col("id").alias("stem"), F.struct("*").alias("listed")), "stem", "left")
+    return joined.withColumn("set", F.coalesce("set", "listed")).drop("stem", "listed").orderBy("id")
 
 
 def write_catalog(cards: DataFrame, path: str) -> None:
-    """Writes a catalogue as Parquet; the commit replaces the old one as a whole."""
-    cards.write.mode("overwrite").parquet(path)
+    """Writes a catalogue as Parquet below a new name and then points ``path`` to it: readers see the old one or the new one.
+
+    ``path`` holds one file, CURRENT, with the name of the version that counts; ``read_written`` follows it.
+    """
+    spark = cards.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    cards.write.parquet(f"{path}/{version}")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{path}/CURRENT")
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """The last catalogue that ``write_catalog`` finished."""
+    names = spark.read.format("text").load(f"{path}/CURRENT").select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p"))
+    last = names.orderBy(F.desc("t"), F.desc("p")).first()
+    return spark.read.parquet(f"{path}/{last['value']}")
+
+
+def read_index(spark: SparkSession, metadata: str, vectors: str | None = None) -> DataFrame:
+    """An embedding index: metadata rows (a JSON array or lines) with their embeddings.
+
+    ``vectors`` (Parquet: position, embedding) is used if it has as many rows as the metadata; else the
+    embeddings of the metadata themselves, and rows without one are left out.
+    """
+    fields = "card_id string, collector_id string, name string, hp int, set_name string, set_series string, rarity string, image_url string, embedding array<float>"
+    typed = fields.replace(" string", ":string").replace(" int", ":int").replace(" array", ":array").replace(", ", ",")
+    listed = spark.read.text(metadata, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{typed}>>")).alias("position", "m")).select("position", "m.*")
+    if vectors is not None:
+        stored = spark.read.parquet(vectors).select("position", F.col("embedding").alias("stored"))
+        if stored.count() == listed.count():
+            return listed.drop("embedding").join(stored, "position").withColumnRenamed("stored", "embedding")
+    return listed.where("embedding is not null")
+
+
+def fetch_cards(searches: DataFrame, get: Callable[[str], list[dict] | None], attempts: int = 3, wait: float = 0.4) -> DataFrame:
+    """Rows (search, card): the cards that a remote catalogue finds for each distinct ``search``.
+
+    ``get`` asks it and returns the cards as dictionaries; None or an exception is a failure, tried again
+    after ``wait`` seconds, then twice as long, and so on, ``attempts`` times in all. A distinct search is
+    asked once, so the result is the cache of all scans that share it; a search that failed has no row
+    and is asked again next time.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for search in batch["search"]:
+                for n in range(attempts):
+                    try:
+                        found = get(search)
+                    except Exception:  # a remote's failures are of any kind
+                        found = None
+                    if found is not None:
+                        out += [(search, json.dumps(card)) for card in found] or [(search, None)]
+                        break
+                    if n + 1 < attempts:
+                        time.sleep(wait * (n + 1))
+            yield pd.DataFrame(out, columns=["search", "body"])
+
+    asked = searches.select("search").where("search is not null").distinct()
+    return asked.mapInPandas(run, "search string, body string").select("search", F.from_json("body", f"struct<{_fields()}>").alias("card"))
+
+
+def unseen(searches: DataFrame, known: DataFrame) -> DataFrame:
+    """The searches that no earlier ``fetch_cards`` answered."""
+    return searches.select("search").join(known.select("search").distinct(), "search", "left_anti").distinct()
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -47,13 +117,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def uploads(files: DataFrame, most_bytes: int = 15 << 20, most_frames: int = 20) -> DataFrame:
     """Uploads (burst_id, content, ...) within the limits: not empty, not too large, not too many in a burst."""
-    from pyspark.sql import Window
-
     sized = files.where(F.length("content").between(1, most_bytes))
     return sized.withColumn("_n", F.count("*").over(Window.partitionBy("burst_id"))).where(F.col("_n") <= most_frames).drop("_n")
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Image files below a path: name, size and time, by name; contents aren't read."""
+def listing(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("png", "jpg", "jpeg")) -> DataFrame:
+    """Files below a path with one of the suffixes, in either case, images by default: name, size and time, by name; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
-    return files.where(F.lower("path").rlike(r"\.(png|jpg|jpeg)$")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")).orderBy("name")
+    return files.where(F.lower("path").rlike(rf"\.({'|'.join(suffixes)})$")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")).orderBy("name")

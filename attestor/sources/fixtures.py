@@ -5,6 +5,8 @@ The SQL is plain enough for Spark and DuckDB alike, so both sides of a compariso
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 CARDS = """
@@ -29,12 +31,12 @@ SELECT c_custkey AS scan_id,
   CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN substr(name, 1, length(name) - 1) WHEN c_custkey % 5 = 2 THEN concat(name, substr(name, length(name), 1))
     WHEN c_custkey % 5 = 3 THEN upper(name) WHEN c_custkey % 5 = 4 THEN substr(name, 1, 4) ELSE name END AS ocr_name,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(hp AS INT) END AS ocr_hp
-FROM (SELECT c_custkey, n FROM customer CROSS JOIN (SELECT count(*) AS n FROM part) AS sizes) AS numbered JOIN cards ON k = (c_custkey * 7) % n
+FROM (SELECT c_custkey, (c_custkey * 7) % (SELECT count(*) FROM part) AS wanted FROM customer) AS numbered JOIN cards ON k = wanted
 """
 
 FRAMES = """
 SELECT l_orderkey AS burst_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS BIGINT) AS frame_no,
-  min(l_partkey) OVER (PARTITION BY l_orderkey) AS card_key, l_quantity * 8 AS lap, l_discount AS glare, l_tax * 2 AS area,
+  min(l_partkey) OVER (PARTITION BY l_orderkey) AS card_key, CASE WHEN (l_orderkey + l_linenumber) % 97 = 0 THEN NULL ELSE l_quantity * 8 END AS lap, l_discount AS glare, l_tax * 2 AS area,
   l_linenumber % 3 = 0 AS card_like, l_tax * 12 AS ml_blurry, l_discount * 12 AS ml_glare
 FROM lineitem
 """
@@ -76,11 +78,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the tables of ``sf_dir``."""
     above = {n: VIEWS[n] for n in _ABOVE.get(name, [])}
     text = "".join(f"{n} AS ({sql}), " for n, sql in above.items())
-    tables = {}
-    for table in _NEEDS[name]:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-        tables[table] = table
-    return spark.sql(f"WITH {text}{name}_ AS ({VIEWS[name]}) SELECT * FROM {name}_")
+    tables = {table: spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in _NEEDS[name]}
+    query = f"WITH {text}{name}_ AS ({VIEWS[name]}) SELECT * FROM {name}_"
+    for table in tables:  # the frames themselves, so that no view of the session is replaced
+        query = re.sub(rf"\bFROM {table}\b", f"FROM {{{table}}}", query)
+    return spark.sql(query, **tables)
 
 
 def with_views(*names: str) -> str:

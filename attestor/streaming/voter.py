@@ -1,4 +1,4 @@
-"""The history vote as a stream: state by session, one row for each admitted vote."""
+"""The history vote and bursts of frames as streams."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 OUTPUT = "session long, seq long, printed_id string, confidence double, status string"
 STATE = "ids array<string>, confidences array<double>"
@@ -18,17 +19,22 @@ def vote(history: list[tuple[str, float]], least: int) -> tuple[str | None, floa
     n = ids.count(best)
     if n >= least:
         return best, round(sum(c for i, c in history if i == best) / n, 6), "accepted"
-    return (None, 0.5, "ambiguous") if n == 2 else (None, 0.0, "rejected")
+    return (best, 0.5, "ambiguous") if n == 2 else (None, 0.0, "rejected")
 
 
-def stream_votes(votes: DataFrame, least: int = 3, most: int = 10, quality: float = 50.0) -> DataFrame:
+def stream_votes(votes: DataFrame, least: int = 3, most: int = 10, quality: float = 50.0, expire: str | None = None) -> DataFrame:
     """A streaming DataFrame of votes (session, seq, printed_id, confidence, frame_quality) as verdicts.
 
     State is kept for each session: the last ``most`` admitted votes. Votes of one micro-batch are taken
-    in the order of ``seq``.
+    in the order of ``seq``. With ``expire`` (such as "10 minutes" of processing time) the history of a
+    session that is silent for that long is forgotten, so state doesn't grow with all sessions ever seen.
     """
+    lasting = None if expire is None else int(pd.Timedelta(expire).total_seconds() * 1000)
 
     def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         history = list(zip(*state.get)) if state.exists else []
         rows = pd.concat(frames).sort_values("seq")
         out = []
@@ -36,7 +42,27 @@ def stream_votes(votes: DataFrame, least: int = 3, most: int = 10, quality: floa
             history = [*history, (printed_id, float(confidence))][-most:]
             out.append((key[0], int(seq), *vote(history, least)))
         state.update(([i for i, _ in history], [c for _, c in history]))
+        if lasting is not None:
+            state.setTimeoutDuration(lasting)
         yield pd.DataFrame(out, columns=["session", "seq", "printed_id", "confidence", "status"])
 
     admitted = votes.where(votes.printed_id.isNotNull() & (votes.frame_quality >= quality))
-    return admitted.groupBy("session").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout")
+    return admitted.groupBy("session").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout" if lasting is None else "ProcessingTimeTimeout")
+
+
+def stream_bursts(frames: DataFrame, gap: str = "5 seconds", late: str = "10 seconds", most: int = 20) -> DataFrame:
+    """Bursts of a stream of frames (camera, ts, frame_no, reason, quality, printed_id): one row for each burst that has ended.
+
+    A camera's burst ends when no frame comes for ``gap`` of event time; frames later than ``late`` are
+    dropped, and with them the state of ended bursts. Rows (camera, burst_start, n_frames, n_passed,
+    best_frame, printed_ids); bursts of more than ``most`` frames are marked ``oversized``.
+    """
+    timed = frames.withWatermark("ts", late)
+    passed = F.col("reason").isNull()
+    burst = timed.groupBy("camera", F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("n_frames"),
+        F.count(F.when(passed, 1)).alias("n_passed"),
+        F.max_by("frame_no", F.when(passed, F.struct("quality", -F.col("frame_no")))).alias("best_frame"),
+        F.array_sort(F.collect_set(F.when(passed, F.col("printed_id")))).alias("printed_ids"),
+    )
+    return burst.select("camera", F.col("w.start").alias("burst_start"), "n_frames", "n_passed", "best_frame", "printed_ids", (F.col("n_frames") > most).alias("oversized"))

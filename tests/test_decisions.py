@@ -48,7 +48,8 @@ def test_votes_batch_equals_stream(spark, tmp_path):
 
 def test_three_equal_votes_are_accepted(spark):
     votes = spark.createDataFrame([(1, n, "XY124", 0.9, 80.0) for n in (1, 2, 3)], "session long, seq long, printed_id string, confidence double, frame_quality double")
-    assert [r["printed_id"] for r in consensus.history_vote(votes).orderBy("seq").collect()] == [None, None, "XY124"]
+    rows = consensus.history_vote(votes).orderBy("seq").collect()
+    assert [(r["printed_id"], r["confidence"], r["status"]) for r in rows] == [(None, 0.0, "rejected"), ("XY124", 0.5, "ambiguous"), ("XY124", 0.9, "accepted")]
 
 
 def test_name_by_size(spark):
