@@ -21,28 +21,62 @@ DISPLAY = ["set_series", "rarity", "image_url", "tcgplayer_url", "holofoil", "no
 WEIGHTS, NAME_EVIDENCE, ACCEPT = (0.30, 0.30, 0.25, 0.15), 60, 58.0
 
 
-def _any(tests) -> Column:
-    out = F.lit(False)
-    for t in tests:
-        out = out | F.coalesce(t, F.lit(False))
-    return out
+def _bits(tests) -> Column:
+    """A number with a bit for each test that holds."""
+    return sum((F.when(F.coalesce(t, F.lit(False)), 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0))
 
 
-def _special() -> Column:
-    number, asked, set_id = F.upper("number"), F.upper(F.coalesce("num_query", F.lit(""))), F.lower("set_id")
-    pattern = "^(" + "|".join(SPECIAL_PREFIXES) + ")"
-    return number.rlike(pattern) | asked.rlike(pattern) | F.lower("set_name").contains("promo") | set_id.isin(SPECIAL_SETS) | _any(set_id.endswith(e) for e in SPECIAL_ENDINGS)
+def _is_special(number: Column) -> Column:
+    return number.rlike("^(" + "|".join(SPECIAL_PREFIXES) + ")")
+
+
+def _families(q: Column) -> Column:
+    """Bits of the families of sets that a number asked for names by its prefix."""
+    return _bits([q.startswith("SVP"), q.startswith("SV"), *(q.startswith(p) for p in FAMILY_STARTS), *(q.startswith(p) for p in FAMILY_ENDINGS)])
+
+
+def _in_families(set_id: Column) -> Column:
+    """The same bits for a card's set."""
+    return _bits([set_id == "svp", set_id == "sma", *(set_id.startswith(s) for s in FAMILY_STARTS.values()), *(set_id.endswith(e) for e in FAMILY_ENDINGS.values())])
+
+
+def _number_digits(number: Column) -> Column:
+    found = text.no_zeros(text.digits(number))
+    return F.when(found == "", "0").otherwise(found)
+
+
+def _asked(scans: DataFrame) -> DataFrame:
+    """What of a scan is compared, each piece made once for a scan."""
+    base = scans.select("scan_id", "collector_id", "ocr_name", "ocr_hp", number_query(F.col("collector_id")).alias("num_query"), total_query(F.col("collector_id")).alias("total_query"))
+    q = F.upper(F.trim("num_query"))
+    total_digits = text.digits(F.col("total_query"))
+    return base.select(
+        "*", F.lower("ocr_name").alias("q_name"), q.alias("q"), F.regexp_replace(q, "^0+", "").alias("q_bare"), _number_digits(q).alias("q_digits"), _families(q).alias("q_families"), _is_special(F.upper(F.coalesce("num_query", F.lit("")))).alias("q_special"),
+        F.upper("total_query").alias("t"), total_digits.alias("t_digits"), total_digits.try_cast("long").alias("t_number"),
+    )
+
+
+def _facts(cards: DataFrame) -> DataFrame:
+    """What of a card is compared, each piece made once for a card."""
+    c, set_id = F.upper(F.trim("number")), F.lower("set_id")
+    special = _is_special(F.upper("number")) | F.coalesce(F.lower("set_name").contains("promo"), F.lit(False)) | F.coalesce(set_id.isin(SPECIAL_SETS), F.lit(False))
+    for ending in SPECIAL_ENDINGS:
+        special = special | F.coalesce(set_id.endswith(ending), F.lit(False))
+    kept = ["id", "name", "hp", "number", "printed_total", "set_name", *(x for x in DISPLAY if x in cards.columns)]
+    return cards.select(
+        *kept, F.lower("name").alias("c_name"), c.alias("c"), F.regexp_replace(c, "^0+", "").alias("c_bare"), _number_digits(c).alias("c_digits"), _in_families(set_id).alias("c_families"), special.alias("c_special"),
+        F.upper(F.col("printed_total").cast("string")).alias("has"), F.col("hp").try_cast("int").alias("c_hp"),
+    )
 
 
 def _total_score() -> Column:
-    asked, has = F.col("total_query"), F.col("printed_total").cast("string")
-    asked_digits = text.digits(asked)
-    gap = F.abs(asked_digits.try_cast("long") - F.col("printed_total"))
-    one_off = (F.length(asked_digits) == F.length(has)) & (F.levenshtein(asked_digits, has, 1) == 1)  # of equal length, so one digit differs
+    asked, has, digits = F.col("t"), F.col("has"), F.col("t_digits")
+    gap = F.abs(F.col("t_number") - F.col("printed_total"))
+    one_off = (F.length(digits) == F.length(has)) & (F.levenshtein(digits, has, 1) == 1)  # of equal length, so one digit differs
     both = (
-        F.when((F.upper(asked) == F.upper(has)) | ((asked_digits != "") & (asked_digits == has)), 100.0)
+        F.when((asked == has) | ((digits != "") & (digits == has)), 100.0)
         .when(F.col("special"), 90.0)
-        .when(asked_digits == "", 0.0)
+        .when(digits == "", 0.0)
         .when(gap <= 2, 60.0)
         .when(one_off, 50.0)
         .otherwise(0.0)
@@ -51,20 +85,13 @@ def _total_score() -> Column:
 
 
 def _number_score() -> Column:
-    q, c, set_id = F.upper(F.trim("num_query")), F.upper(F.trim("number")), F.lower("set_id")
-    bare = lambda s: F.regexp_replace(s, "^0+", "")
-    q_digits, c_digits = text.no_zeros(text.digits(q)), text.no_zeros(text.digits(c))
-    q_digits, c_digits = F.when(q_digits == "", "0").otherwise(q_digits), F.when(c_digits == "", "0").otherwise(c_digits)
-    family = _any(
-        [q.startswith("SVP") & (set_id == "svp"), q.startswith("SV") & (set_id == "sma")]
-        + [q.startswith(p) & set_id.startswith(s) for p, s in FAMILY_STARTS.items()]
-        + [q.startswith(p) & set_id.endswith(s) for p, s in FAMILY_ENDINGS.items()]
-    )
+    q, c = F.col("q"), F.col("c")
+    same_digits = F.col("q_digits") == F.col("c_digits")
     return (
-        F.when(F.col("num_query").isNull(), 0.0)
-        .when((c == q) | ((bare(c) == bare(q)) & (bare(c) != "")), 100.0)
-        .when(family & (q_digits == c_digits), 100.0)
-        .when((q_digits == c_digits) & (F.col("special") | F.col("total_query").isNull()), 95.0)
+        F.when(q.isNull(), 0.0)
+        .when((c == q) | ((F.col("c_bare") == F.col("q_bare")) & (F.col("c_bare") != "")), 100.0)
+        .when(same_digits & (F.col("q_families").bitwiseAND(F.col("c_families")) != 0), 100.0)
+        .when(same_digits & (F.col("special") | F.col("total_query").isNull()), 95.0)
         .when(c.endswith(q) | q.endswith(c), 80.0)
         .otherwise(0.0)
     )
@@ -73,18 +100,17 @@ def _number_score() -> Column:
 def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
     """Scores and pieces of evidence of every candidate of every scan.
 
-    Names are compared once for each pair of spellings.
+    What is compared is made ready once for each scan and each card, before they meet; names are
+    compared once for each pair of spellings.
     """
-    asked = scans.select("scan_id", "collector_id", "ocr_name", "ocr_hp", number_query(F.col("collector_id")).alias("num_query"), total_query(F.col("collector_id")).alias("total_query"))
-    facts = ["id", "name", "hp", "number", "set_id", "set_name", "printed_total", *(c for c in DISPLAY if c in cards.columns)]
-    pairs = candidates(scans, cards).join(asked, "scan_id").join(cards.select(*facts), "id")
-    spelled = pairs.where("ocr_name is not null").select(F.lower("ocr_name").alias("a"), F.lower("name").alias("b")).distinct().repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = candidates(scans, cards).join(_asked(scans), "scan_id").join(_facts(cards), "id")
+    spelled = pairs.where("q_name is not null").select(F.col("q_name").alias("a"), F.col("c_name").alias("b")).distinct().repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     alike = spelled.select("a", "b", F.greatest(similarity.ratio(F.col("a"), F.col("b")), similarity.token_set_ratio(F.col("a"), F.col("b"))).cast("double").alias("alike"))
-    joined = pairs.join(alike, (F.lower(pairs.ocr_name) == alike.a) & (F.lower(pairs.name) == alike.b), "left")
+    joined = pairs.join(alike, (pairs.q_name == alike.a) & (pairs.c_name == alike.b), "left")
     scored = (
-        joined.withColumn("special", _special())
+        joined.withColumn("special", F.col("q_special") | F.coalesce("c_special", F.lit(False)))
         .withColumn("name_score", F.coalesce("alike", F.lit(0.0)))
-        .withColumn("hp_score", F.when((F.col("ocr_hp") != 0) & (F.col("ocr_hp") == F.col("hp").try_cast("int")), 100.0).otherwise(0.0))
+        .withColumn("hp_score", F.when((F.col("ocr_hp") != 0) & (F.col("ocr_hp") == F.col("c_hp")), 100.0).otherwise(0.0))
         .withColumn("num_score", _number_score())
         .withColumn("total_score", F.when((F.col("num_score") == 100) & (F.col("special") | F.col("total_query").isNull()), 100.0).otherwise(_total_score()))
     )
@@ -95,7 +121,7 @@ def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
     hit = F.col("hp_score") > 0
     strong = (F.col("num_score") == 100) & (F.col("total_score") >= 90) & ((F.col("name_score") >= NAME_EVIDENCE) | (F.col("hp_score") == 100))
     return scored.select(
-        "scan_id", "id", "name", "hp", "number", "printed_total", "set_name", *facts[7:], "total_score", "num_score", "name_score", "hp_score",
+        "scan_id", "id", "name", "hp", "number", "printed_total", "set_name", *(x for x in DISPLAY if x in cards.columns), "total_score", "num_score", "name_score", "hp_score",
         F.round(F.col("total_score") * w[0] + F.col("num_score") * w[1] + F.col("name_score") * w[2] + F.col("hp_score") * w[3], 6).alias("final_score"),
         (collector.cast("int") + named.cast("int") + hit.cast("int")).alias("n_evidence"),
         strong.alias("strong"),
