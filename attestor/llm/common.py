@@ -69,17 +69,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _made[-1]
 
 
+def drop(where: str) -> None:
+    """Deletes a folder of an intermediate table; one that isn't there, or in a store that only Spark knows, stays."""
+    try:
+        store, path = fs.FileSystem.from_uri(where)
+        store.delete_dir(path)
+    except (OSError, ValueError, pa.ArrowException):
+        pass
+
+
 @atexit.register
 def release() -> None:
     """Deletes the intermediate tables made so far; results that were not saved can't be computed any more."""
     while _made:
         where = _made.pop()
         for name in (where, f"{where}-manifest"):
-            try:
-                store, path = fs.FileSystem.from_uri(name)
-                store.delete_dir(path)
-            except (OSError, ValueError, pa.ArrowException):  # never written, or a store that only Spark knows
-                pass
+            drop(name)
 
 
 def written(df: DataFrame, where: str | None = None) -> DataFrame:
