@@ -63,7 +63,7 @@ def common_length(a: Column, b: Column) -> Column:
 
     def of(short, long):
         fits = F.length(short) <= WORD
-        return F.when(F.length(short) == 0, 0).when(fits, common_with(places(short), F.length(short), letters(long))).otherwise(_by_rows(short, long))
+        return F.when(F.length(short) == 0, 0).when(fits, bound(common_with, places(short), F.length(short), letters(long))).otherwise(_by_rows(short, long))
 
     return bound(of, F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a))
 
@@ -84,7 +84,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 def tokens(s: Column) -> Column:
     """Distinct lower-case words of letters and digits, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "), " "), lambda t: t != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "), " "), lambda t: t != "")))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
@@ -106,8 +106,8 @@ def partial_ratio(a: Column, b: Column) -> Column:
     def of(short, long):
         n = F.length(short)
         starts = F.sequence(F.lit(1), F.length(long) - n + 1)
-        windows = lambda m: F.array_max(F.transform(starts, lambda i: common_with(m, n, letters(F.substring(long, i, n)))))
-        best = F.when(n <= WORD, bound(windows, places(short))).otherwise(F.array_max(F.transform(starts, lambda i: _by_rows(short, F.substring(long, i, n)))))
+        windows = lambda m, size: F.array_max(F.transform(starts, lambda i: common_with(m, size, letters(F.substring(long, i, size)))))
+        best = F.when(n <= WORD, bound(windows, places(short), n)).otherwise(F.array_max(F.transform(starts, lambda i: _by_rows(short, F.substring(long, i, n)))))
         return F.when(n == 0, 0).when(F.contains(long, short), 100).otherwise(_share(best, n, n))
 
     return bound(of, F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a))
@@ -120,7 +120,7 @@ RARE_FIRST = "qzxjkvbpygfwmucldrhsnioate "
 def _ordered(s: Column) -> Column:
     """A string's characters from rare to frequent, those outside RARE_FIRST before all, each with its number among equals."""
     ordered = lambda chars: F.transform(chars, lambda c, i: F.concat(c, F.lit(":"), (i - F.array_position(chars, c)).cast("string")))
-    return bound(ordered, F.array_sort(F.transform(letters(s), lambda c: F.format_string("%02d%s", F.call_function("locate", c, F.lit(RARE_FIRST)), c))))
+    return bound(ordered, F.sort_array(F.transform(letters(s), lambda c: F.format_string("%02d%s", F.call_function("locate", c, F.lit(RARE_FIRST)), c))))
 
 
 def alike_keys(s: Column, least: float, left: bool) -> Column:

@@ -1,6 +1,9 @@
 """Ranking, abstention, consensus and votes on hand-made rows."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.operators import boxes, consensus, quality, scoring
 from attestor.sources import cards as sources
@@ -65,3 +68,28 @@ def test_catalog_reader(spark, tmp_path):
     for name in ("bare", "whole"):
         assert sources.read_catalog(spark, str(tmp_path / f"{name}.json")).select("id", "set.printedTotal").collect() == [("x-1", 10)]
     assert sources.read_catalog(spark, str(tmp_path / "absent.json")).count() == 0
+
+
+def test_name_by_size_equals_a_loop(spark):
+    from attestor.functions import text
+
+    rng = random.Random(5)
+    words = ["Mew", "ex", "Basic", "Char", "izard", "VMAX", "12", "aa", "Tera"]
+    rows = [(s, n, rng.choice(words), x := rng.uniform(0, 300), x + rng.uniform(5, 80), y := rng.uniform(0, 40), y + rng.choice([10.0, 20.0, 40.0])) for s in range(60) for n in range(rng.randint(1, 7))]
+    df = spark.createDataFrame(rows, "scan_id long, ord int, text string, x1 double, x2 double, y1 double, y2 double")
+    got = {r["scan_id"]: r["name"] for r in boxes.name_by_size(df).collect()}
+    kept = {r["w"] for r in spark.createDataFrame([(w,) for w in words], "w string").where(text.names_something(text.name_token(F.col("w")))).collect()}
+    want = {}
+    for s in range(60):
+        tokens = sorted((r for r in rows if r[0] == s and r[2] in kept), key=lambda r: (-(r[6] - r[5]), r[1]))
+        if not tokens:
+            continue
+        first, taken = tokens[0], tokens[:1]
+        for r in tokens[1:]:
+            gap = min(max(r[3] - a[4], a[3] - r[4], 0) / max(a[4] - a[3], 1) for a in taken)
+            tall = first[6] - first[5]
+            alike = r[6] - r[5] >= tall * 0.55 and abs((r[5] + r[6]) / 2 - (first[5] + first[6]) / 2) < tall * 0.9
+            if gap <= 2.5 and (r[2].lower() in text.NAME_SUFFIXES or alike):
+                taken.append(r)
+        want[s] = " ".join(r[2] for r in sorted(taken, key=lambda r: ((r[3] + r[4]) / 2, -(r[6] - r[5]), r[1])))
+    assert got == want

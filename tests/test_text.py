@@ -1,5 +1,7 @@
 """Grammars, keys and similarities on literal cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,3 +51,43 @@ def test_ratio(spark, a, b, want):
 def test_matching_blocks_is_not_symmetric(spark):
     df = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "a string, b string")
     assert [r[0] for r in df.select(similarity.matching_blocks("a", "b")).collect()] == [0.25, 0.5]
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def _ratio(a, b):
+    return 0 if not a or not b else 100 if a == b else round(200.0 * _common(a, b) / (len(a) + len(b)))
+
+
+def test_ratios_equal_the_table(spark):
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("abcdé x") for _ in range(n))
+    rows = [(word(rng.randint(0, 14)), word(rng.randint(0, 14))) for _ in range(150)] + [("a" * 70, "ab" * 50), ("ab" * 31, "ba" * 40), ("x" * 63, "x" * 62), ("日本語", "本日語")]
+    x, y = F.col("a"), F.col("b")
+    for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity.ratio(x, y).alias("r"), similarity.partial_ratio(x, y).alias("p")).collect():
+        short, long = sorted((r["a"], r["b"]), key=len)
+        assert r["r"] == _ratio(r["a"], r["b"])
+        assert r["p"] == (max(_ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)) if short else 0)
+
+
+@pytest.mark.parametrize("least", [0.645, 0.45])
+def test_alike_pairs_lose_none(spark, least):
+    rng = random.Random(2)
+    names = [sorted({"".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 12))) for _ in range(80)}) for _ in range(2)]
+    left, right = (spark.createDataFrame([(n,) for n in some], f"{c} string") for some, c in zip(names, "ab"))
+    got = {(r["a"], r["b"]) for r in similarity.alike_pairs(left, right, "a", "b", least).collect()}
+    want = {(a, b) for a in names[0] for b in names[1] if a and b and 2 * _common(a, b) >= least * (len(a) + len(b))}
+    assert want <= got and len(got) < len(names[0]) * len(names[1])
+
+
+def test_totals_of_the_catalogue_stay(spark):
+    df = spark.createDataFrame([("156", ["156", "200"]), ("156", ["200"]), ("156", None)], "t string, known array<string>")
+    assert [r[0] for r in df.select(text.set_total(F.col("t"), F.col("known"))).collect()] == ["156", "186", "186"]
