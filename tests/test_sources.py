@@ -95,13 +95,14 @@ def test_fetching_tries_again_and_asks_once(spark, tmp_path):
 
 def test_answers(spark):
     cards = spark.createDataFrame([MEW, MEWTWO], CARDS)
-    scans = spark.createDataFrame([(1, "0151/165", "Mewe", 180), (2, None, "Mewtwo", None), (3, None, None, None), (4, "151/165", "Mewtwo", 120)], SCANS)
-    seen = spark.createDataFrame([(4, "b-151", 0.93), (2, "a-151", 0.95), (3, "a-151", 0.99)], "scan_id long, id string, similarity double")
+    scans = spark.createDataFrame([(1, "0151/165", "Mewe", 180), (2, None, "Mewtwo", None), (3, None, None, None), (4, "151/165", "Mewtwo", 120), (5, None, "Mew ex", 60)], SCANS)
+    seen = spark.createDataFrame([(4, "b-151", 0.93), (2, "a-151", 0.95), (3, "a-151", 0.99), (5, "a-151", 0.9)], "scan_id long, id string, similarity double")
     got = {r["scan_id"]: r for r in scoring.responses(scans, cards, seen).collect()}
     one = got[1]
     assert (one["verified"], one["name"], one["hp"], one["unique_id"], one["market_price"], one["confidence"], one["message"]) == (True, "Mew ex", 180, "0151/165", 4.5, 0.95, None)
     assert [c["unique_id"] for c in one["candidates"]] == ["151/165", "151"]
-    assert (got[2]["verified"], got[2]["name"], got[2]["confidence"], got[2]["disagreement"], got[2]["message"]) == (False, None, 0.0, True, "No confident match found.")
+    assert (got[2]["verified"], got[2]["name"], got[2]["confidence"], got[2]["disagreement"], got[2]["message"]) == (False, None, 0.0, False, "No confident match found.")
+    assert (got[5]["verified"], got[5]["disagreement"]) == (False, True)
     assert (got[3]["verified"], got[3]["best_score"], got[3]["message"], got[3]["rarity"]) == (False, 0.0, "No cards found.", "Unknown")
     assert (got[4]["verified"], got[4]["visual_match_applied"], got[4]["name"], got[4]["unique_id"], got[4]["best_score"]) == (True, True, "Mewtwo", "151", 93.0)
     body = {r["scan_id"]: json.loads(r["body"]) for r in scoring.response_json(scoring.responses(scans, cards, seen)).collect()}
