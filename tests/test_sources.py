@@ -182,7 +182,6 @@ def test_bursts_of_a_stream(spark, tmp_path):
 def test_votes_can_expire(spark, tmp_path):
     schema = "session long, seq long, printed_id string, confidence double, frame_quality double"
     spark.createDataFrame([(1, n, "XY1", 0.9, 80.0) for n in (1, 2, 3)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = stream_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), expire="10 minutes").writeStream.format("memory").queryName("expiring_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), expire="10 minutes").writeStream.format("memory").queryName("expiring_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert [r["status"] for r in spark.table("expiring_out").orderBy("seq").collect()] == ["rejected", "ambiguous", "accepted"]
