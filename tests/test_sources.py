@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attestor.operators import boxes, candidates, quality, scoring, vectors
 from attestor.plans import registry
 from attestor.sources import cards as sources
-from attestor.streaming.voter import stream_bursts, stream_votes
+from attestor.streaming.voter import stream_bursts
 
 CARDS = "k long, id string, name string, hp string, number string, set_id string, set_name string, printed_total int, rarity string, holofoil double, normal double, reverse_holofoil double, first_edition double"
 SCANS = "scan_id long, collector_id string, ocr_name string, ocr_hp int"
@@ -177,11 +177,3 @@ def test_bursts_of_a_stream(spark, tmp_path):
     query.stop()
     got = sorted((r["n_frames"], r["n_passed"], r["best_frame"], r["printed_ids"], r["oversized"]) for r in spark.table("bursts_out").collect())
     assert got == [(1, 1, 4, ["XY1"], False), (3, 2, 2, ["XY1", "XY2"], False)]
-
-
-def test_votes_can_expire(spark, tmp_path):
-    schema = "session long, seq long, printed_id string, confidence double, frame_quality double"
-    spark.createDataFrame([(1, n, "XY1", 0.9, 80.0) for n in (1, 2, 3)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = stream_votes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), expire="10 minutes").writeStream.format("memory").queryName("expiring_out").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert query.awaitTermination(60)
-    assert [r["status"] for r in spark.table("expiring_out").orderBy("seq").collect()] == ["rejected", "ambiguous", "accepted"]
