@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, line_dedup, lm_score, simhash, token_counts, token_files, url_filter
+from . import ann, bpe, decontaminate, langid, line_dedup, lm_score, simhash, token_counts, token_files, url_filter, warc
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -99,6 +99,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"), langid.held_out("doc_id", 7, 2))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(_table(spark, sf_dir, "pages"))
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 parts AS (SELECT page_id, url, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -110,6 +114,13 @@ fits AS (SELECT k.n, r.host || r.path AS rule, r.verdict, row_number() OVER (PAR
 SELECT k.page_id, k.host, k.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM keyed k LEFT JOIN fits f ON f.n = k.n AND f.place = 1
 """
 
+OP11_SQL = """
+WITH facts AS (SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages),
+sized AS (SELECT page_id, url, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM facts),
+placed AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first_id FROM sized WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to FROM placed
+"""
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -121,10 +132,12 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
+    "op11_warc": op11_warc,
 }
 
 ORACLES = {
     "op2_decontaminate": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_url_filter": OP8_SQL,
+    "op11_warc": OP11_SQL,
 }
