@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, langid, line_dedup, lm_score, simhash, token_counts, token_files, url_filter, warc
+from . import ann, bpe, collocations, decontaminate, langid, lexical, line_dedup, lm_score, simhash, token_counts, token_files, url_filter, warc
 from .byte_bpe import vocabulary_path
 
 #: The URL rules (host, path, verdict).
@@ -103,6 +103,14 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(_table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'block'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
 parts AS (SELECT page_id, url, CASE WHEN url IS NOT NULL AND strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -121,6 +129,37 @@ placed AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w A
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to FROM placed
 """
 
+OP12_SQL = r"""
+WITH lowered AS (SELECT doc_id, row_number() OVER () AS d, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
+docs AS (SELECT doc_id, d, words, CAST(len(words) AS BIGINT) AS n FROM lowered WHERE len(words) > 0),
+sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs),
+items AS (SELECT item_id, row_number() OVER () AS i, list_distinct(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS words FROM benchmark),
+asked AS (SELECT i, item_id, unnest(words) AS term FROM items),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(words) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM df, sums),
+adds AS (SELECT tf.d, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (10 + (90 * x.n * s.docs) // s.words))) AS add FROM tf JOIN docs x USING (d) JOIN weights w USING (term), sums s),
+scores AS (SELECT i, item_id, d, CAST(sum(add) AS BIGINT) AS score FROM asked JOIN adds USING (term) GROUP BY ALL),
+ranked AS (SELECT s.i, s.item_id, x.doc_id, s.score, row_number() OVER (PARTITION BY s.i ORDER BY s.score DESC, x.doc_id NULLS LAST) AS rank FROM scores s JOIN docs x USING (d) WHERE s.score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+grams AS (SELECT lang, size, array_to_string(ws[p : p + size - 1], ' ') AS phrase FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS p FROM split, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(ws) >= size)),
+counted AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+sizes AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM split GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counted WHERE size >= 2),
+cuts AS (SELECT lang, size, phrase, a, k, array_to_string(ws[1 : k], ' ') AS head, array_to_string(ws[k + 1 : size], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (SELECT c.*, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score FROM cuts c JOIN counted x ON c.lang = x.lang AND c.head = x.phrase JOIN counted y ON c.lang = y.lang AND c.tail = y.phrase),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored) WHERE place = 1),
+inner_ AS (SELECT lang, array_to_string(ws[p : p + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, size - m + 2)) AS p FROM candidates, (SELECT unnest([2, 3]) AS m) WHERE m < size) GROUP BY ALL),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inner_ i ON s.lang = i.lang AND s.phrase = i.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, z.n, CAST(r.score AS BIGINT) AS score FROM ranked r JOIN sizes z USING (lang) WHERE r.rank <= 2000
+"""
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_decontaminate": op2_decontaminate,
@@ -133,6 +172,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_lm_score": op10_lm_score,
     "op11_warc": op11_warc,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -140,4 +181,6 @@ ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op8_url_filter": OP8_SQL,
     "op11_warc": OP11_SQL,
+    "op12_lexical_search": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
