@@ -80,6 +80,16 @@ def number_keys(value: Column) -> Column:
     return F.when(raw == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.concat(plain, of_digits, of_prefix))))
 
 
+def number_key(value: Column) -> Column:
+    """One key for all of ``number_keys``: two numbers share one of those, or an alias, if and only if this is equal.
+
+    All keys of a number have its digits, and those alone are one of them; a number without digits has
+    its text only.
+    """
+    raw = F.upper(F.trim(F.coalesce(value, F.lit(""))))
+    return F.when(digits(raw) != "", no_zeros(digits(raw))).otherwise(F.nullif(raw, F.lit("")))
+
+
 def alias_keys(set_id: Column, number: Column) -> Column:
     """Further keys of cards in promo and special sets, sorted."""
     s, d = F.lower(set_id), digits(number)

@@ -7,6 +7,8 @@ similarity bound.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@cache
+def _ratio(a: str, b: str):
+    return similarity.ratio(F.col(a), F.col(b))
+
+
 def compact(cards: DataFrame, sets: DataFrame) -> DataFrame:
     """The catalogue's columns, ordered by id.
 
@@ -45,15 +52,10 @@ def total_query(collector_id):
     return F.when(collector_id.contains("/") & (total != ""), total)
 
 
-def number_index(cards: DataFrame) -> DataFrame:
-    """Rows (key, id) of every key of every card."""
-    return cards.select("id", F.explode(F.array_union(text.number_keys(F.col("number")), text.alias_keys(F.col("set_id"), F.col("number")))).alias("key"))
-
-
 def by_number(scans: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows (scan_id, id): cards that share a key with the scan's number."""
-    asked = scans.select("scan_id", F.explode(text.number_keys(number_query(F.col("collector_id")))).alias("key"))
-    return asked.join(number_index(cards), "key").select("scan_id", "id").distinct()
+    """Rows (scan_id, id): cards that share a number key or an alias with the scan's number (see ``text.number_key``)."""
+    asked = scans.select("scan_id", text.number_key(number_query(F.col("collector_id"))).alias("key"))
+    return asked.join(cards.select("id", text.number_key(F.col("number")).alias("key")), "key").select("scan_id", "id").distinct()
 
 
 def fuzzy_names(scans: DataFrame, cards: DataFrame) -> DataFrame:
@@ -67,7 +69,7 @@ def fuzzy_names(scans: DataFrame, cards: DataFrame) -> DataFrame:
     asked = scans.where("ocr_name is not null").select(F.lower(text.catalog_root(F.col("ocr_name"))).alias("root")).where("root != ''").distinct()
     missing = asked.join(known, asked.root == known.known, "left_anti")
     met = similarity.alike_pairs(missing, known, "root", "known", (LEAST - 0.5) / 100)
-    pairs = met.repartition(_parts(cards)).select("root", "known", similarity.ratio(F.col("root"), F.col("known")).alias("score"))
+    pairs = met.repartition(_parts(cards)).select("root", "known", _ratio("root", "known").alias("score"))
     order = Window.partitionBy("root").orderBy(F.desc("score"), F.desc("known"))
     return pairs.where(F.col("score") >= LEAST).withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST)
 
@@ -86,6 +88,15 @@ def candidates(scans: DataFrame, cards: DataFrame) -> DataFrame:
     return by_number(scans, cards).unionByName(by_name(scans, cards)).distinct()
 
 
+def with_any(scans: DataFrame, cards: DataFrame) -> DataFrame:
+    """Rows (scan_id): the scans that have a candidate. Keys decide; no pair of scan and card is made."""
+    asked = scans.select("scan_id", text.number_key(number_query(F.col("collector_id"))).alias("key"), F.lower(text.catalog_root(F.col("ocr_name"))).alias("root"))
+    numbers = cards.select(text.number_key(F.col("number")).alias("key")).where("key is not null").distinct()
+    known = cards.select(F.lower(text.catalog_root(F.col("name"))).alias("root")).where("root != ''").distinct()
+    roots = known.unionByName(fuzzy_names(scans, cards).select("root").distinct())
+    return asked.join(numbers, "key", "left_semi").select("scan_id").unionByName(asked.join(roots, "root", "left_semi").select("scan_id")).distinct()
+
+
 def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
     """Rows (scan_id, step, kind, key): the first of these searches that finds any card.
 
@@ -93,7 +104,7 @@ def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
     with its first four and three letters, 5 the number, 6 the number's digits. Cards are not listed for
     each scan: scans with the same search share its result, see ``search_results``.
     """
-    local = candidates(scans, cards).select("scan_id").distinct().select("scan_id", F.lit(0).alias("step"), F.lit("local").alias("kind"), F.lit(None).cast("string").alias("key"))
+    local = with_any(scans, cards).select("scan_id", F.lit(0).alias("step"), F.lit("local").alias("kind"), F.lit(None).cast("string").alias("key"))
     scans = scans.join(local.select("scan_id"), "scan_id", "left_anti")
     root, number = F.col("root"), F.col("number")
     step = lambda n, kind, key, ok: F.when(ok, F.struct(F.lit(n).alias("step"), F.lit(kind).alias("kind"), key.alias("key")))
@@ -115,12 +126,11 @@ def fallback_chain(scans: DataFrame, cards: DataFrame) -> DataFrame:
 def search_results(searches: DataFrame, cards: DataFrame) -> DataFrame:
     """Rows (kind, key, id): what each distinct search (kind name, start or number) finds.
 
-    Only beginnings as long as some search's are made of a name.
+    A beginning is found among all beginnings of the names.
     """
     asked = searches.select("kind", "key").distinct()
-    sizes = asked.where("kind = 'start'").select(F.length("key").alias("size")).distinct()  # as many as names have lengths
     names = cards.select("id", F.lower("name").alias("name"))
-    starts = names.join(F.broadcast(sizes), F.col("size") <= F.length("name")).select("id", F.lit("start").alias("kind"), F.substring("name", F.lit(1), F.col("size")).alias("key"))
+    starts = names.where("name != ''").select("id", F.lit("start").alias("kind"), F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring("name", F.lit(1), n))).alias("key"))
     index = names.select("id", F.lit("name").alias("kind"), F.col("name").alias("key")).unionByName(starts).unionByName(cards.select("id", F.lit("number").alias("kind"), F.col("number").alias("key")))
     return asked.join(index, ["kind", "key"]).select("kind", "key", "id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +99,22 @@ def _number_score() -> Column:
     )
 
 
-def evidence(scans: DataFrame, cards: DataFrame) -> DataFrame:
-    """Scores and pieces of evidence of every candidate of every scan.
+@cache
+def _alike(a: str, b: str) -> Column:
+    """The better of two similarities of two named columns; made once, since it takes many calls to the JVM."""
+    return F.greatest(similarity.ratio(F.col(a), F.col(b)), similarity.token_set_ratio(F.col(a), F.col(b))).cast("double")
+
+
+def evidence(scans: DataFrame, cards: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Scores and pieces of evidence of every candidate of every scan, or of the given ``pairs`` (scan_id, id).
 
     What is compared is made ready once for each scan and each card, before they meet; names are
     compared once for each pair of spellings.
     """
-    pairs = candidates(scans, cards).join(_asked(scans), "scan_id").join(_facts(cards), "id")
+    met = candidates(scans, cards) if pairs is None else pairs
+    pairs = met.join(_asked(scans), "scan_id").join(_facts(cards), "id")
     spelled = pairs.where("q_name is not null").select(F.col("q_name").alias("a"), F.col("c_name").alias("b")).distinct().repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    alike = spelled.select("a", "b", F.greatest(similarity.ratio(F.col("a"), F.col("b")), similarity.token_set_ratio(F.col("a"), F.col("b"))).cast("double").alias("alike"))
+    alike = spelled.select("a", "b", _alike("a", "b").alias("alike"))
     joined = pairs.join(alike, (pairs.q_name == alike.a) & (pairs.c_name == alike.b), "left")
     scored = (
         joined.withColumn("special", F.col("q_special") | F.coalesce("c_special", F.lit(False)))
@@ -151,10 +160,14 @@ def unique_id(number: Column, total: Column) -> Column:
     return F.when(total.isNotNull(), F.concat(number, F.lit("/"), total.cast("string"))).otherwise(number)
 
 
+def with_verdict(scored: DataFrame) -> DataFrame:
+    """With ``verified``: the candidate matches strongly, or has a set identity, the least score and two pieces of evidence."""
+    return scored.withColumn("verified", F.col("strong") | (F.col("set_identity") & (F.col("final_score") >= ACCEPT) & (F.col("n_evidence") >= 2)))
+
+
 def judged(scored: DataFrame) -> DataFrame:
-    """The best candidate of each scan, with ``verified``: it matches strongly, or has a set identity, the least score and two pieces of evidence."""
-    verified = F.col("strong") | (F.col("set_identity") & (F.col("final_score") >= ACCEPT) & (F.col("n_evidence") >= 2))
-    return ranked(scored, 1).withColumn("verified", verified)
+    """The best candidate of each scan, with its verdict."""
+    return with_verdict(ranked(scored, 1))
 
 
 def decide(scans: DataFrame, scored: DataFrame) -> DataFrame:
@@ -218,14 +231,19 @@ def responses(scans: DataFrame, cards: DataFrame, seen: DataFrame | None = None)
     An accepted visual candidate (``seen``, see ``visual_gate``) decides before the ranking does; else
     the best candidate if it is verified; else the scan abstains. ``candidates`` lists the best five.
     """
-    scored = evidence(scans, cards)
-    listed = summaries(scored).groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "unique_id", "hp", "confidence"))), lambda c: F.struct(c["unique_id"], c["hp"], c["confidence"])).alias("candidates"))
+    from .contenders import best_evidence
+
     columns = [c for c in DISPLAY if c in cards.columns]
-    best = judged(scored).select("scan_id", "final_score", "verified", "name", "hp", "number", "printed_total", "set_name", *columns)
-    rows = scans.select("scan_id", "collector_id").join(best, "scan_id", "left").join(listed, "scan_id", "left")
+    shown_of = ["name", "hp", "number", "printed_total", "set_name", *columns]
+    top = ranked(with_verdict(best_evidence(scans, cards)), 5)
+    entry = F.struct("place", unique_id(F.col("number"), F.col("printed_total")).alias("unique_id"), F.col("hp").try_cast("int").alias("hp"), confidence(F.col("final_score")).alias("confidence"))
+    # at most five rows of each scan: the list, and the first as the best
+    listed = top.groupBy("scan_id").agg(F.array_sort(F.collect_list(entry)).alias("l"), F.min_by(F.struct("final_score", "verified", *shown_of), "place").alias("best"))
+    found = listed.select("scan_id", "best.*", F.transform("l", lambda c: F.struct(c["unique_id"], c["hp"], c["confidence"])).alias("candidates"))
+    rows = scans.select("scan_id", "collector_id").join(found, "scan_id", "left")
     if seen is not None:
-        shown = cards.select("id", *(F.col(c).alias(f"v_{c}") for c in ["name", "hp", "number", "printed_total", "set_name", *columns]))
-        rows = rows.join(visual_gate(scans, seen, cards, scored).join(shown, "id").drop("id"), "scan_id", "left")
+        shown = cards.select("id", *(F.col(c).alias(f"v_{c}") for c in shown_of))
+        rows = rows.join(visual_gate(scans, seen, cards, found).join(shown, "id").drop("id"), "scan_id", "left")
     by_eye = F.coalesce("accepted", F.lit(False)) if seen is not None else F.lit(False)
     by_rank = ~by_eye & F.coalesce("verified", F.lit(False))
     pick = lambda c: F.when(by_eye, F.col(f"v_{c}") if seen is not None else None).when(by_rank, F.col(c))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import boxes, candidates, consensus, quality, scoring, vectors
+from ..operators import boxes, candidates, consensus, contenders, quality, scoring, vectors
 from ..sources import cards as card_files
 from ..sources.fixtures import view
 from .oracles import ORACLES  # noqa: F401 - part of the registry
@@ -196,12 +196,12 @@ def q29_evidence_scores(spark, sf_dir):
 @_query
 def q30_verify_decision(spark, sf_dir):
     scans, cards = _scans_and_cards(spark, sf_dir)
-    return scoring.decide(scans, scoring.evidence(scans, cards))
+    return scoring.decide(scans, contenders.best_evidence(scans, cards, 1))
 
 
 @_query
 def q31_top5_candidates(spark, sf_dir):
-    return scoring.summaries(scoring.evidence(*_scans_and_cards(spark, sf_dir)))
+    return scoring.summaries(contenders.best_evidence(*_scans_and_cards(spark, sf_dir)))
 
 
 @_query
@@ -219,7 +219,7 @@ def _seen(scans, cards):
 @_query
 def q33_visual_gate(spark, sf_dir):
     scans, cards = _scans_and_cards(spark, sf_dir)
-    return scoring.visual_gate(scans, _seen(scans, cards), cards, candidates.candidates(scans, cards))
+    return scoring.visual_gate(scans, _seen(scans, cards), cards, candidates.with_any(scans, cards))
 
 
 @_query
@@ -239,7 +239,7 @@ _columns("q36_price_chain", "cards", "id", lambda: scoring.market_price(F.col("h
 def q37_id_format(spark, sf_dir):
     """The printed id of each scan's best candidate."""
     scans, cards = _scans_and_cards(spark, sf_dir)
-    best = scoring.ranked(scoring.evidence(scans, cards), 1)
+    best = scoring.ranked(contenders.best_evidence(scans, cards, 1), 1)
     return best.join(scans.select("scan_id", "collector_id"), "scan_id").select("scan_id", scoring.verified_id(F.col("collector_id"), F.col("number"), F.col("printed_total")).alias("unique_id"))
 
 
