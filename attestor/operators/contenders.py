@@ -73,7 +73,7 @@ def scan_lists(scans: DataFrame, cards: DataFrame) -> DataFrame:
     one_off = F.when(F.length("t_digits").between(1, 11), F.flatten(F.transform(F.sequence(F.lit(1), F.length("t_digits")), changed))).otherwise(none)
     near = F.when(F.col("t_digits") != "", F.concat(off, one_off)).otherwise(none)
     exact = F.when(F.col("t").isNotNull(), F.array("t", F.nullif("t_digits", F.lit("")))).otherwise(none)
-    endings = F.transform(F.sequence(F.lit(1), F.length("q") + 1), lambda i: F.substring("q", i, F.length("q")))
+    endings = F.when(F.col("q").isNotNull(), F.transform(F.sequence(F.lit(1), F.length("q") + 1), lambda i: F.substring("q", i, F.length("q")))).otherwise(none)
 
     wt, wn, wm, wh = (100 * w for w in scoring.WEIGHTS)
     base = asked.select(
@@ -108,7 +108,7 @@ def scan_lists(scans: DataFrame, cards: DataFrame) -> DataFrame:
         ),
     )
     # rows are few and much is made of each, which adaptive execution would put into one task
-    ready = base.repartition(candidates._parts(scans), "scan_id").select("scan_id", F.concat(F.array(F.struct(F.lit("N").alias("way"), F.col("k").alias("key"))), F.transform("roots", lambda r: F.struct(F.lit("R").alias("way"), r.alias("key")))).alias("ways"), F.filter(F.coalesce(pieces, F.array()), lambda p: p["value"].isNotNull()).alias("pieces"))
+    ready = base.repartition(candidates._parts(scans), "scan_id").select("scan_id", F.concat(F.array(F.struct(F.lit("N").alias("way"), F.col("k").alias("key"))), F.transform("roots", lambda r: F.struct(F.lit("R").alias("way"), r.alias("key")))).alias("ways"), F.filter(pieces, lambda p: p["value"].isNotNull()).alias("pieces"))
     entry = lambda w, p: F.struct(_key(w["way"], p["kind"], w["key"], p["value"]).alias("key"), F.when(w["way"] == "N", p["n"]).otherwise(p["r"]).alias("bound"), p["first"].alias("first"))
     lists = F.flatten(F.transform(F.filter("ways", lambda w: w["key"].isNotNull()), lambda w: F.transform("pieces", lambda p: entry(w, p))))
     return ready.select("scan_id", F.filter(lists, lambda e: e["bound"].isNotNull()).alias("lists"))

@@ -28,7 +28,7 @@ def odd_rows(seed, n_cards=400, n_scans=250):
     return cards, scans
 
 
-@pytest.mark.parametrize("seed,most", [(1, 5), (2, 1), (3, 3)])
+@pytest.mark.parametrize("seed,most", [(1, 5), (2, 1)])
 def test_best_are_those_of_the_full_ranking(spark, seed, most):
     cards, scans = odd_rows(seed)
     cards, scans = spark.createDataFrame(cards, CARDS), spark.createDataFrame(scans, SCANS)
