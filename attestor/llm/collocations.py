@@ -23,6 +23,7 @@ equal score and count are ordered by their bytes; other columns are ignored; an
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -133,7 +134,7 @@ def grouped(cols: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(blocks: DataFrame, hot, routes: int) -> DataFrame:
-    """Rows (lang, route, body) of suffixes, and (lang, phrase, f) of hot phrases; ``hot``: a broadcast dict of arrays of hashes by language and length."""
+    """Rows (lang, route, body) of suffixes, and (lang, route, phrase, f) of hot phrases; ``hot``: a broadcast dict of arrays of hashes by language and length."""
 
     def run(batches):
         kinds, names = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64()], ["lang", "route", "body", "phrase", "f"]
@@ -156,7 +157,7 @@ def _dealt(blocks: DataFrame, hot, routes: int) -> DataFrame:
                     if len(kept):  # sorted, so equal phrases lie side by side
                         new = np.flatnonzero(np.append(True, (cols[: d + 1, kept[1:]] != cols[: d + 1, kept[:-1]]).any(axis=0)))
                         for at, n in zip(kept[new].tolist(), np.add.reduceat(counts[kept], new).tolist()):
-                            out.append((lang, None, None, b" ".join(words[w - 1] for w in cols[: d + 1, at].tolist()).decode(), n))
+                            out.append((lang, int(prefix[at] >> np.uint64(20)) % routes, None, b" ".join(words[w - 1] for w in cols[: d + 1, at].tolist()).decode(), n))
                     if d == 0:
                         routed = ends.copy()
                     else:
@@ -247,7 +248,7 @@ def frequent(cols: np.ndarray, weight: np.ndarray, least: int):
 
 
 def _counted(dealt: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, phrase, f) of the phrases of each route that occur ``least`` times or more."""
+    """Rows (lang, phrase, f) of the phrases of each route, hot ones among them, that occur ``least`` times or more."""
     names = ["lang", "phrase", "f"]
 
     def count(lang, bodies):
@@ -271,19 +272,29 @@ def _counted(dealt: DataFrame, least: int) -> DataFrame:
                 phrases = [b" ".join(x).decode() for x in zip(*some)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases)), pa.array(phrases, pa.string()), pa.array(f[j : j + 4096], pa.int64())], names)
 
-    def run(batches):
-        held, bodies = None, []
-        for batch in batches:
-            for lang, route, body in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, route) != held and bodies:
-                    yield from count(held[0], bodies)
-                    bodies = []
-                held = lang, route
-                bodies.append(body)
+    def finish(lang, bodies, sums):
         if bodies:
-            yield from count(held[0], bodies)
+            yield from count(lang, bodies)
+        common = [(p, f) for p, f in sums.items() if f >= least]
+        if common:
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(common)), *map(pa.array, zip(*common))], names)
 
-    rows = dealt.where("body is not null").select("lang", "route", "body").repartition(partitions(dealt.sparkSession), "lang", "route").sortWithinPartitions("lang", "route")
+    def run(batches):
+        held, bodies, sums = None, [], Counter()
+        for batch in batches:
+            for lang, route, body, phrase, f in zip(*(c.to_pylist() for c in batch.columns)):
+                if (lang, route) != held:
+                    if held is not None:
+                        yield from finish(held[0], bodies, sums)
+                    held, bodies, sums = (lang, route), [], Counter()
+                if body is None:
+                    sums[phrase] += f  # a route has few hot phrases
+                else:
+                    bodies.append(body)
+        if held is not None:
+            yield from finish(held[0], bodies, sums)
+
+    rows = dealt.repartition(partitions(dealt.sparkSession), "lang", "route").sortWithinPartitions("lang", "route")
     return rows.mapInArrow(run, "lang string, phrase string, f long")
 
 
@@ -300,9 +311,7 @@ def phrase_counts(blocks: DataFrame, least: int) -> DataFrame:
     for r in many:
         hot.setdefault((r["lang"], r["d"]), []).append(phrase_hash(r["phrase"]))
     shared = spark.sparkContext.broadcast({k: np.array(sorted(v), np.uint64) for k, v in hot.items()})
-    dealt = _dealt(blocks, shared, routes)
-    common = dealt.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return written(_counted(dealt, least).unionByName(common))
+    return written(_counted(_dealt(blocks, shared, routes), least))
 
 
 # ---------------------------------------------------------------- candidates
