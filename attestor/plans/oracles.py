@@ -306,6 +306,28 @@ guesses AS (
 fallback AS (SELECT event_id, id FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, g, m) AS k FROM guesses) AS f WHERE k = 1)"""
 
 
+_BURST_OK = f"{_two('least(x.final_score / 100, 1)')}"
+BURST_ANSWERS = (
+    with_views("cards", "readings")
+    + BURST.replace("means", "burst_means")
+    + ", scans AS (SELECT burst_id AS scan_id, printed_id AS collector_id, name AS ocr_name, hp AS ocr_hp FROM burst)"
+    + INDEX
+    + FUZZY
+    + BY_NAME
+    + EVIDENCE
+    + f""", best AS (SELECT s.scan_id, r.id, r.final_score, {VERIFIED} AS ok, coalesce({_digits("trim(split_part(s.collector_id, '/', 1))")}, '') AS w FROM scans s LEFT JOIN ranked r ON r.scan_id = s.scan_id AND r.place = 1),
+firsts AS (SELECT scan_id, count(*) AS n FROM ranked WHERE place <= 5 GROUP BY scan_id),
+answered AS (SELECT z.*, ok, x.final_score, CASE WHEN ok THEN {_BURST_OK} ELSE 0.0::DOUBLE END AS sure, b.name AS card_name, TRY_CAST(b.hp AS INT) AS card_hp, b.set_name, b.rarity, ({_PADDED}) || coalesce('/' || CAST(b.printed_total AS VARCHAR), '') AS card_id, coalesce(f.n, 0) AS n
+  FROM burst z JOIN best x ON x.scan_id = z.burst_id LEFT JOIN cards b ON b.id = x.id LEFT JOIN firsts f ON f.scan_id = z.burst_id),
+lost AS (SELECT * FROM judged WHERE burst_id NOT IN (SELECT burst_id FROM passed))
+SELECT burst_id, true AS success, ok AS verified, sure AS confidence, floor(100 * (0.15::DOUBLE * n_passed / n_frames + 0.30::DOUBLE * id_agreement + 0.15::DOUBLE * name_agreement + 0.10::DOUBLE * hp_agreement + 0.30::DOUBLE * sure) * 100 + 0.5) / 100.0::DOUBLE AS capture_confidence,
+  n_frames AS total_frames, n_passed AS passed_frames, NULL AS rejection_reason, coalesce(CASE WHEN ok THEN card_name END, name) AS name, coalesce(CASE WHEN ok THEN card_hp END, hp) AS hp, coalesce(CASE WHEN ok THEN card_id END, printed_id) AS unique_id,
+  CASE WHEN ok THEN set_name END AS set_name, CASE WHEN ok THEN coalesce(rarity, 'Unknown') ELSE 'Unknown' END AS rarity, {_two('coalesce(final_score, 0)', 1)} AS best_score,
+  {_two('name_agreement')} AS name_agreement, {_two('hp_agreement')} AS hp_agreement, {_two('id_agreement')} AS id_agreement, CASE WHEN ok THEN NULL WHEN n = 0 THEN 'No cards found.' ELSE 'No confident match found.' END AS message, CAST(n AS INT) AS n_candidates FROM answered
+UNION ALL SELECT m.burst_id, false, false, 0, 0, z.n_frames, 0, m.mode, NULL, NULL, NULL, NULL, 'Unknown', 0, 0, 0, 0, m.mode, 0 FROM {_modal("lost", "burst_id", "reason", "frame_no")} m JOIN sizes z USING (burst_id)"""
+)
+
+
 ORACLES: dict[str, str] = {
     "q01_catalog_compact": with_views("cards") + ", sets AS (SELECT set_id, min(set_name) AS n, min(set_series) AS s, max(printed_total) AS t FROM cards GROUP BY set_id) SELECT id, name, hp, number, rarity, set_id, CASE k % 4 WHEN 0 THEN n WHEN 1 THEN 'own ' || set_name ELSE set_name END AS set_name, CASE k % 4 WHEN 0 THEN s ELSE set_series END AS set_series, CASE k % 4 WHEN 0 THEN t ELSE printed_total END AS printed_total FROM cards LEFT JOIN sets USING (set_id)",
     "q02_number_keys": with_views("cards") + f" SELECT id, array_to_string({_keys('number')}, ',') AS keys, array_to_string({_aliases()}, ',') AS aliases FROM cards",
@@ -361,6 +383,7 @@ SELECT image, label, confidence, CAST(greatest(0, x2 - x1) AS INT) AS width, CAS
     + ") SELECT p_partkey, name, CAST(floor(h * a) AS INT) AS y1, CAST(floor(h * b) AS INT) AS y2, CAST(floor(w * c) AS INT) AS x1, CAST(floor(w * d) AS INT) AS x2 FROM sizes, r",
     "q33_visual_gate": SCORED + VISUAL + " SELECT scan_id, id, similarity, disagrees, accepted FROM gated",
     "q44_responses": SCORED + VISUAL + RESPONSES,
+    "q50_burst_answers": BURST_ANSWERS,
     "q45_request_metrics": f"SELECT 'POST' AS method, '/' || event_type AS path, CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 413 ELSE 200 END END AS status, count(*) AS requests, {_two('avg(event_id % 1000 * 8)')} AS mean_ms, CAST(max(event_id % 1000 * 8) AS DOUBLE) AS longest_ms FROM events GROUP BY ALL",
     "q46_normalised_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 9)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v), w AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS w FROM n)
 SELECT vec_id, round(list_sum(w), 6) AS total, round(list_dot_product(w, w), 6) AS squares FROM w""",

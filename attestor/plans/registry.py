@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import boxes, candidates, consensus, contenders, quality, scoring, vectors
+from ..operators import answers, boxes, candidates, consensus, contenders, quality, scoring, vectors
 from ..sources import cards as card_files
 from ..sources.fixtures import view
 from .oracles import ORACLES  # noqa: F401 - part of the registry
@@ -337,3 +337,11 @@ def q49_reading_order(spark, sf_dir):
     grouped = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["b"]).alias("bs"))
     placed = grouped.select("l_orderkey", F.array_join(F.transform(boxes.left_to_right(F.col("bs")), lambda b: b["name"].cast("string")), ",").alias("names"), boxes.line_box(F.col("bs")).alias("a"))
     return placed.select("l_orderkey", "names", "a.x1", "a.y1", "a.x2", "a.y2")
+
+
+@_query
+def q50_burst_answers(spark, sf_dir):
+    """The answers to all bursts, the list of candidates as its length."""
+    found = answers.burst_answers(quality.gate(view(spark, sf_dir, "readings")), view(spark, sf_dir, "cards"))
+    columns = ["burst_id", "success", "verified", "confidence", "capture_confidence", "total_frames", "passed_frames", "rejection_reason", "name", "hp", "unique_id", "set_name", "rarity", "best_score", "name_agreement", "hp_agreement", "id_agreement", "message"]
+    return found.select(*columns, F.size("candidates").alias("n_candidates"))

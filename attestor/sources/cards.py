@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import time
 import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .json_records import read_records, with_positions
+
 CARD = (
     "id string, name string, hp string, number string, rarity string, set struct<id:string,name:string,series:string,printedTotal:int,total:int>, "
     "images struct<small:string,large:string>, tcgplayer struct<url:string,prices:map<string,struct<market:double>>>"
@@ -18,16 +24,17 @@ CARD = (
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Cards of a catalogue file: an object with ``cards``, or a bare list; an absent file gives no cards."""
+    """Cards of a catalogue file: an object with ``cards``, or a bare list; an absent file gives no cards.
+
+    A large file is read by many tasks (see ``read_records``), so cards come in no order.
+    """
     try:
-        raw = spark.read.text(path, wholetext=True)
-    except Exception as e:
+        found = read_records(spark, path, "cards")
+    except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], CARD)
-    wrapped = F.from_json("value", f"struct<cards:array<struct<{_fields()}>>>")["cards"]
-    bare = F.from_json("value", f"array<struct<{_fields()}>>")
-    return raw.select(F.explode(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)).alias("c")).select("c.*")
+    return found.select(F.from_json("body", f"struct<{_fields()}>").alias("c")).select("c.*")
 
 
 def _fields() -> str:
@@ -42,22 +49,90 @@ def read_card_files(spark: SparkSession, cards: str, sets: str) -> DataFrame:
     return joined.withColumn("set", F.coalesce("set", "listed")).drop("stem", "listed").orderBy("id")
 
 
-def write_catalog(cards: DataFrame, path: str) -> None:
-    """Writes a catalogue as Parquet below a new name and then points ``path`` to it: readers see the old one or the new one.
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one of that name; whether it did. Of several writers one succeeds."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(conf)
+    if store.getUri().getScheme() == "file":  # Hadoop's own check for local files isn't atomic
+        try:
+            with os.fdopen(os.open(target.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY), "w") as f:
+                f.write(text)
+            return True
+        except FileExistsError:
+            return False
+    try:
+        out = store.create(target, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _commits(spark: SparkSession, path: str) -> dict[int, str]:
+    """The commits of a catalogue: the version's folder by number."""
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    store = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(log):
+        return {}
+    names = sorted(f.getPath().getName() for f in store.listStatus(log) if re.fullmatch("[0-9]{20}", f.getPath().getName()))
+    if not names:
+        return {}
+    read = spark.read.text([f"{path}/_commits/{n}" for n in names]).select(F.input_file_name().alias("file"), "value").collect()  # a line for each commit
+    return {int(r["file"].rsplit("/", 1)[1]): r["value"] for r in read}
+
 
-    ``path`` holds one file, CURRENT, with the name of the version that counts; ``read_written`` follows it.
+class CommitConflict(Exception):
+    """Another writer has committed since the version that a write is based on."""
+
+
+def last_version(spark: SparkSession, path: str) -> int | None:
+    """The number of the last commit; None where there is none."""
+    return max(_commits(spark, path), default=None)
+
+
+def write_catalog(cards: DataFrame, path: str, based_on: int | None = None) -> int:
+    """Writes a catalogue as Parquet to a folder of its own and commits it; returns the commit's number.
+
+    A commit is a small file, numbered and created only if absent, that names the folder; readers follow
+    the highest number, so they see the old catalogue or the new one. With ``based_on`` (a number that
+    ``last_version`` gave) the write holds only if nothing was committed since, else CommitConflict;
+    without it a writer that loses the race takes the next number.
     """
     spark = cards.sparkSession
     version = f"version-{uuid.uuid4().hex}"
     cards.write.parquet(f"{path}/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{path}/CURRENT")
-
-
-def read_written(spark: SparkSession, path: str) -> DataFrame:
-    """The last catalogue that ``write_catalog`` finished."""
-    names = spark.read.format("text").load(f"{path}/CURRENT").select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_path").alias("p"))
-    last = names.orderBy(F.desc("t"), F.desc("p")).first()
-    return spark.read.parquet(f"{path}/{last['value']}")
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_commits")
+    log.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(log)
+    number = (last_version(spark, path) or 0) + 1 if based_on is None else based_on + 1
+    while not _create(spark, f"{path}/_commits/{number:020d}", version + "\n"):
+        if based_on is not None:
+            raise CommitConflict(f"{path}: commit {number} is another writer's")
+        number += 1
+    return number
+
+
+def read_written(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The catalogue of the last commit, or of the one with a number."""
+    found = _commits(spark, path)
+    if not found:
+        raise FileNotFoundError(f"{path}: no commit")
+    return spark.read.parquet(f"{path}/{found[max(found) if number is None else number]}")
+
+
+def expire_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:
+    """Deletes the folders of all but the last ``keep`` commits; returns their numbers. The commits stay, so numbers aren't given again."""
+    found = _commits(spark, path)
+    gone = []
+    for n in sorted(found)[:-keep]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{found[n]}")
+        store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if store.delete(folder, True):
+            gone.append(n)
+    return gone
 
 
 def read_index(spark: SparkSession, metadata: str, vectors: str | None = None) -> DataFrame:
@@ -68,7 +143,7 @@ def read_index(spark: SparkSession, metadata: str, vectors: str | None = None) -
     """
     fields = "card_id string, collector_id string, name string, hp int, set_name string, set_series string, rarity string, image_url string, embedding array<float>"
     typed = fields.replace(" string", ":string").replace(" int", ":int").replace(" array", ":array").replace(", ", ",")
-    listed = spark.read.text(metadata, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{typed}>>")).alias("position", "m")).select("position", "m.*")
+    listed = with_positions(read_records(spark, metadata)).select("position", F.from_json("body", f"struct<{typed}>").alias("m")).select("position", "m.*")
     if vectors is not None:
         stored = spark.read.parquet(vectors).select("position", F.col("embedding").alias("stored"))
         if stored.count() == listed.count():

@@ -1,15 +1,27 @@
-"""The history vote and bursts of frames as streams."""
+"""The history vote over a stream of ids, with state for each session.
+
+Needs the RocksDB state store (``rocksdb``); Spark's arbitrary state needs it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "session long, seq long, printed_id string, confidence double, status string"
-STATE = "ids array<string>, confidences array<double>"
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """Makes queries that start from now on keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+
+
+def milliseconds(span: str) -> int:
+    return int(pd.Timedelta(span).total_seconds() * 1000)
 
 
 def vote(history: list[tuple[str, float]], least: int) -> tuple[str | None, float, str]:
@@ -22,47 +34,55 @@ def vote(history: list[tuple[str, float]], least: int) -> tuple[str | None, floa
     return (best, 0.5, "ambiguous") if n == 2 else (None, 0.0, "rejected")
 
 
-def stream_votes(votes: DataFrame, least: int = 3, most: int = 10, quality: float = 50.0, expire: str | None = None) -> DataFrame:
-    """A streaming DataFrame of votes (session, seq, printed_id, confidence, frame_quality) as verdicts.
+class History(StatefulProcessor):
+    """The last ``most`` admitted votes of a session, as a list; forgotten ``expire`` milliseconds after the last one."""
 
-    State is kept for each session: the last ``most`` admitted votes. Votes of one micro-batch are taken
-    in the order of ``seq``. With ``expire`` (such as "10 minutes" of processing time) the history of a
-    session that is silent for that long is forgotten, so state doesn't grow with all sessions ever seen.
-    """
-    lasting = None if expire is None else int(pd.Timedelta(expire).total_seconds() * 1000)
-
-    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        history = list(zip(*state.get)) if state.exists else []
-        rows = pd.concat(frames).sort_values("seq")
-        out = []
-        for seq, printed_id, confidence in zip(rows["seq"], rows["printed_id"], rows["confidence"]):
-            history = [*history, (printed_id, float(confidence))][-most:]
-            out.append((key[0], int(seq), *vote(history, least)))
-        state.update(([i for i, _ in history], [c for _, c in history]))
-        if lasting is not None:
-            state.setTimeoutDuration(lasting)
-        yield pd.DataFrame(out, columns=["session", "seq", "printed_id", "confidence", "status"])
+    def __init__(self, least: int, most: int, expire: int | None, timed: bool):
+        self.least, self.most, self.expire, self.timed = least, most, expire, timed
 
-    admitted = votes.where(votes.printed_id.isNotNull() & (votes.frame_quality >= quality))
-    return admitted.groupBy("session").applyInPandasWithState(run, OUTPUT, STATE, "append", "NoTimeout" if lasting is None else "ProcessingTimeTimeout")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        lasting = {"ttlDurationMs": self.expire} if self.expire is not None and not self.timed else {}
+        self.votes = handle.getListState("votes", "printed_id string, confidence double, ms long", **lasting)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        history = [(r[0], r[1], r[2]) for r in self.votes.get()] if self.votes.exists() else []
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            if self.timed and history and r["_ms"] - history[-1][2] > self.expire:
+                history = []  # the watermark comes later than the vote that shows the silence
+            history = [*history, (r["printed_id"], float(r["confidence"]), r["_ms"])][-self.most :]
+            yield Row(session=key[0], seq=r["seq"], **dict(zip(("printed_id", "confidence", "status"), vote([h[:2] for h in history], self.least))))
+        self.votes.put(history)
+        if self.timed:
+            timers = list(self.handle.listTimers())
+            until = max([max(h[2] for h in history) + self.expire, *timers])
+            for t in timers:
+                if t != until:
+                    self.handle.deleteTimer(t)
+            self.handle.registerTimer(until)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.votes.clear()
+        return iter(())
 
-def stream_bursts(frames: DataFrame, gap: str = "5 seconds", late: str = "10 seconds", most: int = 20) -> DataFrame:
-    """Bursts of a stream of frames (camera, ts, frame_no, reason, quality, printed_id): one row for each burst that has ended.
+    def close(self) -> None:
+        pass
 
-    A camera's burst ends when no frame comes for ``gap`` of event time; frames later than ``late`` are
-    dropped, and with them the state of ended bursts. Rows (camera, burst_start, n_frames, n_passed,
-    best_frame, printed_ids); bursts of more than ``most`` frames are marked ``oversized``.
+
+def stream_votes(votes: DataFrame, least: int = 3, most: int = 10, quality: float = 50.0, expire: str | None = None, time_col: str | None = None) -> DataFrame:
+    """A streaming DataFrame of votes (session, seq, printed_id, confidence, frame_quality) as verdicts.
+
+    State is kept for each session: the last ``most`` admitted votes. Votes of one micro-batch are taken
+    in the order of ``seq``. With ``expire`` (such as "10 minutes") the history of a session that is silent
+    for that long is forgotten, so state doesn't grow with all sessions ever seen: by event time where
+    ``time_col`` names a column with a watermark (then a timer waits for the watermark), else by the clock
+    (then the votes have a time to live).
     """
-    timed = frames.withWatermark("ts", late)
-    passed = F.col("reason").isNull()
-    burst = timed.groupBy("camera", F.session_window("ts", gap).alias("w")).agg(
-        F.count("*").alias("n_frames"),
-        F.count(F.when(passed, 1)).alias("n_passed"),
-        F.max_by("frame_no", F.when(passed, F.struct("quality", -F.col("frame_no")))).alias("best_frame"),
-        F.array_sort(F.collect_set(F.when(passed, F.col("printed_id")))).alias("printed_ids"),
-    )
-    return burst.select("camera", F.col("w.start").alias("burst_start"), "n_frames", "n_passed", "best_frame", "printed_ids", (F.col("n_frames") > most).alias("oversized"))
+    rocksdb(votes.sparkSession)
+    timed = expire is not None and time_col is not None
+    admitted = votes.where(votes.printed_id.isNotNull() & (votes.frame_quality >= quality))
+    ms = f"unix_millis({time_col})" if timed else "0L"
+    rows = admitted.selectExpr("session", "seq", "printed_id", "confidence", f"{ms} AS _ms", *([time_col] if timed else []))
+    mode = "EventTime" if timed else "ProcessingTime" if expire is not None else "None"
+    processor = History(least, most, None if expire is None else milliseconds(expire), timed)
+    return rows.groupBy("session").transformWithState(processor, OUTPUT, "Append", mode)

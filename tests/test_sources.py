@@ -4,6 +4,7 @@ import json
 import os
 import struct
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from attestor.operators import boxes, candidates, quality, scoring, vectors
 from attestor.plans import registry
 from attestor.sources import cards as sources
-from attestor.streaming.voter import stream_bursts
 
 CARDS = "k long, id string, name string, hp string, number string, set_id string, set_name string, printed_total int, rarity string, holofoil double, normal double, reverse_holofoil double, first_edition double"
 SCANS = "scan_id long, collector_id string, ocr_name string, ocr_hp int"
@@ -63,6 +63,25 @@ def test_catalogue_is_replaced_as_a_whole(spark, tmp_path):
     assert sources.read_written(spark, where).count() == 3
 
 
+def test_one_of_two_writers_wins(spark, tmp_path):
+    where = str(tmp_path / "catalogue")
+    assert sources.last_version(spark, where) is None
+    sources.write_catalog(spark.range(1), where)
+    seen = sources.last_version(spark, where)
+    with ThreadPoolExecutor(4) as pool:
+        futures = [pool.submit(sources.write_catalog, spark.range(n), where, seen) for n in (10, 11, 12, 13)]
+    won = [f.result() for f in futures if f.exception() is None]
+    assert won == [seen + 1] and all(isinstance(f.exception(), sources.CommitConflict) for f in futures if f.exception())
+    assert sources.read_written(spark, where).count() in (10, 11, 12, 13)
+    with ThreadPoolExecutor(4) as pool:  # without a base all succeed, one after another
+        numbers = sorted(pool.map(lambda n: sources.write_catalog(spark.range(n), where), (20, 21, 22)))
+    assert numbers == [seen + 2, seen + 3, seen + 4] and sources.last_version(spark, where) == seen + 4
+    assert sources.read_written(spark, where, seen).count() == 1
+    assert sources.expire_versions(spark, where, keep=2) == [seen, seen + 1, seen + 2]
+    assert sources.read_written(spark, where).count() in (20, 21, 22)
+    assert sources.write_catalog(spark.range(5), where) == seen + 5
+
+
 def test_index_falls_back_to_metadata(spark, tmp_path):
     rows = [{"card_id": "a", "name": "A", "embedding": [1.0, 0.0]}, {"card_id": "b", "name": "B"}]
     (tmp_path / "meta.json").write_text(json.dumps(rows))
@@ -166,14 +185,3 @@ def test_vectors_with_nulls_and_ties(spark):
 def test_request_metrics(spark):
     log = spark.createDataFrame([("GET", "/a", 200, 1.0), ("GET", "/a", 200, 2.0), ("GET", "/a", None, 9.0)], "method string, path string, status int, ms double")
     assert {(r["status"], r["requests"], r["mean_ms"], r["longest_ms"]) for r in scoring.request_metrics(log).collect()} == {(200, 2, 1.5, 2.0), (None, 1, 9.0, 9.0)}
-
-
-def test_bursts_of_a_stream(spark, tmp_path):
-    schema = "camera string, ts timestamp, frame_no long, reason string, quality double, printed_id string"
-    rows = [("c", "2024-01-01 00:00:00", 1, None, 50.0, "XY1"), ("c", "2024-01-01 00:00:02", 2, None, 70.0, "XY2"), ("c", "2024-01-01 00:00:03", 3, "glare", 0.0, "XY9"), ("c", "2024-01-01 00:01:00", 4, None, 60.0, "XY1"), ("c", "2024-01-01 00:05:00", 5, None, 1.0, None)]
-    spark.createDataFrame(rows, schema.replace("ts timestamp", "ts string")).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    query = stream_bursts(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("bursts_out").option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.processAllAvailable()
-    query.stop()
-    got = sorted((r["n_frames"], r["n_passed"], r["best_frame"], r["printed_ids"], r["oversized"]) for r in spark.table("bursts_out").collect())
-    assert got == [(1, 1, 4, ["XY1"], False), (3, 2, 2, ["XY1", "XY2"], False)]
