@@ -9,11 +9,11 @@ Short texts lie further from any centroid than long ones, so each language has a
 of text lengths: ``SLACK`` times the ``LOW`` quantile of the cosines that training texts of the band
 have to their own language. So a few odd training texts decide nothing, and only what is clearly
 further off than nearly all of them is turned away. A band with fewer than ``ENOUGH`` texts of a
-language rejects nothing if it is shorter than all that have enough, else it takes the next shorter
-band's bound.
+language takes the next shorter band's bound, or where all shorter ones have too few as well the lower
+of two pooled ones: of the language's texts of any length, and of all languages' texts of the band.
 
 Document frequencies and bounds come from all training documents. The centroids are fitted on a
-bounded sample: ``SAMPLE`` documents of each language at most, chosen by a hash of id and text.
+bounded sample: ``SAMPLE`` distinct texts of each language at most, chosen by a hash of the text.
 
 Defined results: texts that are null or have no letter are ``und`` with score 0 and rejected; without
 training rows every text is; equal scores go to the language that sorts first; repeated rows each get
@@ -130,19 +130,19 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     df = np.zeros(BUCKETS + 1, np.int64)
     df[found["bucket"].to_numpy() + 1] = found["n"]
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n")).collect()}  # one row for each language
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), idf, np.zeros((0, BANDS)))
-    draw = (F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
+    draw = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))) * F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
 
     def embed(batches):
         for batch in _blocks(batches, 1, "text"):
             v = vectors(*utf8(batch.column(1)), idf)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], ["lang", "v"])
 
-    # about sample rows a language are drawn; repeated rows are drawn together, so the window bounds them
+    # about sample distinct texts a language are drawn, by a hash of the text alone; of repeated ones one row stays before rows are exchanged
     few = Window.partitionBy("lang").orderBy("d")
-    drawn = rows.withColumn("d", draw).where(F.col("d") < sample).withColumn("n", F.row_number().over(few)).where(F.col("n") <= sample)
+    drawn = rows.withColumn("d", draw).where(F.col("d") < sample).dropDuplicates(["lang", "d"]).withColumn("n", F.row_number().over(few)).where(F.col("n") <= sample)
     chosen = drawn.select("lang", "text").mapInArrow(embed, "lang string, v binary").toArrow().to_pandas()  # sample rows a language at most
     languages, centroids = [], []
     for lang, group in chosen.groupby("lang", sort=True):
@@ -184,15 +184,32 @@ def rejection_bounds(rows: DataFrame, model: Model) -> np.ndarray:
     counted = rows.select("lang", "text").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # languages x BANDS x BINS rows at most
     seen = np.zeros(len(names) * BANDS * BINS, np.int64)
     seen[counted["cell"].to_numpy(np.int64)] = counted["n"]
-    for k, grid in enumerate(seen.reshape(len(names), BANDS, BINS)):
-        known = 0.0
+    grids = seen.reshape(len(names), BANDS, BINS)
+    for k, grid in enumerate(grids):
+        known = None
         for band in range(BANDS):
             if grid[band].sum() >= ENOUGH:
-                known = SLACK * int(np.searchsorted(np.cumsum(grid[band]), LOW * grid[band].sum(), side="right")) / BINS
-            bounds[own[names[k]], band] = known
+                known = _low(grid[band])
+            bounds[own[names[k]], band] = known if known is not None else borrowed(grids, k, band)
     return bounds
 
 
+def _low(grid: np.ndarray) -> float:
+    """The bound that a histogram of cosines gives."""
+    return SLACK * int(np.searchsorted(np.cumsum(grid), LOW * grid.sum(), side="right")) / BINS
+
+
+def borrowed(grids: np.ndarray, k: int, band: int) -> float:
+    """The bound of a language that has too few texts up to a band.
+
+    That of all its lengths or of all languages' texts in the band, whichever is lower; only where both
+    are too few as well, that of whatever there is.
+    """
+    pools = [grids[k].sum(axis=0), grids[:, band].sum(axis=0)]
+    able = [_low(x) for x in pools if x.sum() >= ENOUGH] or [_low(x) for x in (pools[0], grids.sum(axis=(0, 1))) if x.sum()]
+    return min(able, default=0.0)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, lang_pred, score, rejected), from the text alone."""
     kind = docs.schema[id_col].dataType
