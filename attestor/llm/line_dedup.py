@@ -153,13 +153,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # anchors that more than one distinct line has
     anchored = distinct.where("anchors is not null").select("name", "place", F.explode("anchors").alias("a")).select("name", "place", "a.*")
     shared = anchored.groupBy("key").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low != high").select("key")
-    entries = anchored.join(shared, "key").groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set(F.struct(F.col("place.line").alias("line"), "key", "m", "head")).alias("entries"))
-    rests = _rests(keyed.join(entries, "doc"), text_col)
+    # a document is told by its id and its hash: hashes alone meet by chance among very many
+    owner = [F.col("place.doc").alias("of_doc"), F.col("place.id").alias("of_id")]
+    same = (F.col("doc") == F.col("of_doc")) & F.col("id").eqNullSafe(F.col("of_id"))
+    entries = anchored.join(shared, "key").groupBy(*owner).agg(F.collect_set(F.struct(F.col("place.line").alias("line"), "key", "m", "head")).alias("entries"))
+    rests = _rests(keyed.join(entries, same).drop("of_doc", "of_id"), text_col)
     closer = rests.groupBy("key").agg(F.min(F.struct("id", "doc", "line")).alias("low"), F.max(F.struct("id", "doc", "line")).alias("high")).where("low != high").select("key")
     later = _later(_emit(rests.join(closer, "key")))
     stays = distinct.select("place").join(later, "place", "left_anti")
-    kept = stays.groupBy(F.col("place.doc").alias("doc")).agg(F.collect_list("place.line").alias("keep"))
-    joined = keyed.join(kept, "doc", "left")
+    kept = stays.groupBy(*owner).agg(F.collect_list("place.line").alias("keep"))
+    joined = keyed.join(kept, same, "left").drop("of_doc", "of_id")
     schema = StructType([*docs.schema.fields, StructField("n_lines", IntegerType()), StructField("n_kept", IntegerType())])
     place = docs.columns.index(text_col)
 
