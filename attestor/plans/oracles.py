@@ -384,6 +384,10 @@ SELECT image, label, confidence, CAST(greatest(0, x2 - x1) AS INT) AS width, CAS
     "q33_visual_gate": SCORED + VISUAL + " SELECT scan_id, id, similarity, disagrees, accepted FROM gated",
     "q44_responses": SCORED + VISUAL + RESPONSES,
     "q50_burst_answers": BURST_ANSWERS,
+    "q52_upload_refusals": """WITH sized AS (SELECT page_id, strlen(coalesce(html, '')) + CASE WHEN page_id % 5 <> 0 THEN 8 ELSE 1 END AS n FROM pages),
+judged AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 1 WHEN n > 4000 THEN 2 WHEN page_id % 5 = 0 THEN 3 END AS broken FROM sized)
+SELECT page_id AS request_id, CASE broken WHEN 2 THEN 413 WHEN 1 THEN 400 WHEN 3 THEN 400 ELSE 200 END AS status, CASE broken WHEN 1 THEN 'File uploaded must be an image.' WHEN 2 THEN 'Uploaded image is too large.' WHEN 3 THEN 'Could not decode image file.' END AS detail FROM judged""",
+    "q51_evidence_by_scan": SCORED + " SELECT scan_id, count(*) AS n, min(id) AS least, max(id) AS greatest, " + ", ".join(f"CAST(sum(CAST(round({c} * 1000000) AS BIGINT)) AS BIGINT) AS {c}" for c in ("total_score", "num_score", "name_score", "hp_score", "final_score")) + ", CAST(sum(n_evidence) AS BIGINT) AS n_evidence, count(*) FILTER (strong) AS strong, count(*) FILTER (set_identity) AS set_identity FROM scored GROUP BY scan_id",
     "q45_request_metrics": f"SELECT 'POST' AS method, '/' || event_type AS path, CASE WHEN event_id % 10 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 413 ELSE 200 END END AS status, count(*) AS requests, {_two('avg(event_id % 1000 * 8)')} AS mean_ms, CAST(max(event_id % 1000 * 8) AS DOUBLE) AS longest_ms FROM events GROUP BY ALL",
     "q46_normalised_vectors": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (vec_id % 9)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v), w AS (SELECT vec_id, list_transform(v, lambda x: CASE WHEN n > 0 THEN x / n ELSE x END) AS w FROM n)
 SELECT vec_id, round(list_sum(w), 6) AS total, round(list_dot_product(w, w), 6) AS squares FROM w""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity, text
 from ..operators import answers, boxes, candidates, consensus, contenders, quality, scoring, vectors
 from ..sources import cards as card_files
+from ..sources import uploads
 from ..sources.fixtures import view
 from .oracles import ORACLES  # noqa: F401 - part of the registry
 
@@ -345,3 +346,24 @@ def q50_burst_answers(spark, sf_dir):
     found = answers.burst_answers(quality.gate(view(spark, sf_dir, "readings")), view(spark, sf_dir, "cards"))
     columns = ["burst_id", "success", "verified", "confidence", "capture_confidence", "total_frames", "passed_frames", "rejection_reason", "name", "hp", "unique_id", "set_name", "rarity", "best_score", "name_agreement", "hp_agreement", "id_agreement", "message"]
     return found.select(*columns, F.size("candidates").alias("n_candidates"))
+
+
+@_query
+def q51_evidence_by_scan(spark, sf_dir):
+    """All rows of q29 folded by scan: counts and sums of their scores, in millionths."""
+    scored = scoring.evidence(*_scans_and_cards(spark, sf_dir))
+    total = lambda c: F.sum(F.round(F.col(c) * 1_000_000).cast("long")).alias(c)
+    flag = lambda c: F.count_if(F.col(c)).alias(c)
+    return scored.groupBy("scan_id").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("greatest"), *map(total, ("total_score", "num_score", "name_score", "hp_score", "final_score")), F.sum("n_evidence").alias("n_evidence"), flag("strong"), flag("set_identity"))
+
+
+@_query
+def q52_upload_refusals(spark, sf_dir):
+    """Multipart bodies made of pages, split into their parts and judged: some aren't images, some don't look like one, some are too large."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    kind = F.when(F.col("page_id") % 7 == 0, "text/html").otherwise("image/png")
+    head = F.format_string('--cut\r\nContent-Disposition: form-data; name="file"; filename="%d.png"\r\nContent-Type: %s\r\n\r\n', "page_id", kind)
+    content = F.concat(F.when(F.col("page_id") % 5 != 0, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.unhex(F.lit("00"))), F.encode(F.coalesce("html", F.lit("")), "utf-8"))
+    body = F.concat(F.encode(head, "utf-8"), content, F.encode(F.lit("\r\n--cut--\r\n"), "utf-8"))
+    requests = pages.select(F.col("page_id").alias("request_id"), F.lit("multipart/form-data; boundary=cut").alias("content_type"), body.alias("body"))
+    return uploads.judge_scans(uploads.read_parts(requests), most_bytes=4000)
