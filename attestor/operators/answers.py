@@ -22,7 +22,7 @@ def burst_answers(frames: DataFrame, cards: DataFrame) -> DataFrame:
     asked = burst.select("*", key)
     scans = asked.select("scan_id", F.col("printed_id").alias("collector_id"), F.col("name").alias("ocr_name"), F.col("hp").alias("ocr_hp")).distinct()
     found = responses(scans, cards)
-    fields = [c for c in found.columns if c not in ("scan_id", "name", "hp", "unique_id", "visual_match_applied", "disagreement")]
+    fields = [c for c in found.columns if c not in ("scan_id", "name", "hp", "unique_id", "visual_match_applied", "visual_similarity", "visual_candidate", "disagreement")]
     joined = asked.alias("b").join(found.alias("r"), "scan_id")
     agree = {c: F.col(f"b.{c}") for c in ("name_agreement", "hp_agreement", "id_agreement")}
     passed = joined.select(

@@ -229,7 +229,8 @@ def responses(scans: DataFrame, cards: DataFrame, seen: DataFrame | None = None)
     """One response for each scan, with the fields of the scan service and their defaults.
 
     An accepted visual candidate (``seen``, see ``visual_gate``) decides before the ranking does; else
-    the best candidate if it is verified; else the scan abstains. ``candidates`` lists the best five.
+    the best candidate if it is verified; else the scan abstains. ``candidates`` lists the best five;
+    ``visual_candidate`` tells what was seen where it doesn't decide.
     """
     from .contenders import best_evidence
 
@@ -251,6 +252,10 @@ def responses(scans: DataFrame, cards: DataFrame, seen: DataFrame | None = None)
     eye_score = F.col("similarity") if seen is not None else F.lit(0.0)
     score = F.coalesce("final_score", F.lit(0.0))
     eye_id = unique_id(F.col("v_number"), F.col("v_printed_total")) if seen is not None else F.lit(None)
+    # what the eye saw without deciding; scans without catalogue candidates aren't weighed
+    beside = F.lit(None).cast("struct<name:string,hp:int,similarity:double>")
+    if seen is not None:
+        beside = F.when(~by_eye & F.col("similarity").isNotNull() & F.col("candidates").isNotNull(), F.struct(F.col("v_name").alias("name"), F.col("v_hp").try_cast("int").alias("hp"), rounded(F.col("similarity"), 4).alias("similarity")))
     message = F.when(by_eye | by_rank, None).when(F.col("candidates").isNull(), "No cards found.").otherwise("No confident match found.")
     return rows.select(
         "scan_id", (by_eye | by_rank).alias("verified"),
@@ -261,7 +266,7 @@ def responses(scans: DataFrame, cards: DataFrame, seen: DataFrame | None = None)
         pick("set_name").alias("set_name"), *(pick(c).alias(c) for c in columns if c not in prices and c != "rarity"),
         F.when(by_eye | by_rank, F.coalesce(pick("rarity"), F.lit("Unknown")) if "rarity" in columns else F.lit("Unknown")).otherwise("Unknown").alias("rarity"),
         market_price(*(pick(c) for c in prices)).alias("market_price") if set(prices) <= set(columns) else F.lit(None).cast("double").alias("market_price"),
-        by_eye.alias("visual_match_applied"), (F.col("disagrees") & ~by_eye if seen is not None else F.lit(False)).alias("disagreement"),
+        by_eye.alias("visual_match_applied"), F.when(by_eye, rounded(eye_score, 4)).alias("visual_similarity"), beside.alias("visual_candidate"), (F.col("disagrees") & ~by_eye if seen is not None else F.lit(False)).alias("disagreement"),
         F.coalesce("candidates", F.array().cast("array<struct<unique_id:string,hp:int,confidence:double>>")).alias("candidates"), message.alias("message"),
     )
 

@@ -255,7 +255,8 @@ SELECT x.scan_id, eye OR rank_ok AS verified, CASE WHEN eye THEN {_two("similari
   CASE WHEN eye THEN {_UNIQUE("v.number", "v.printed_total")} WHEN rank_ok THEN ({_PADDED}) || coalesce('/' || CAST(b.printed_total AS VARCHAR), '') END AS unique_id,
   CASE WHEN eye THEN v.set_name WHEN rank_ok THEN b.set_name END AS set_name, CASE WHEN eye THEN v.set_series WHEN rank_ok THEN b.set_series END AS set_series,
   CASE WHEN eye THEN v.rarity WHEN rank_ok THEN b.rarity ELSE 'Unknown' END AS rarity, CASE WHEN eye THEN {_PRICE.format("v")} WHEN rank_ok THEN {_PRICE.format("b")} END AS market_price,
-  eye AS visual_match_applied, disagrees AND NOT eye AS disagreement, CAST(coalesce(f.n, 0) AS INT) AS n_candidates, f.first_id, f.first_confidence,
+  eye AS visual_match_applied, CASE WHEN eye THEN {_two("similarity", 4)} END AS visual_similarity, CASE WHEN NOT eye AND f.n > 0 THEN v.name END AS seen_name, CASE WHEN NOT eye AND f.n > 0 THEN TRY_CAST(v.hp AS INT) END AS seen_hp, CASE WHEN NOT eye AND f.n > 0 THEN {_two("similarity", 4)} END AS seen_similarity,
+  disagrees AND NOT eye AS disagreement, CAST(coalesce(f.n, 0) AS INT) AS n_candidates, f.first_id, f.first_confidence,
   CASE WHEN eye OR rank_ok THEN NULL WHEN f.n IS NULL THEN 'No cards found.' ELSE 'No confident match found.' END AS message
 FROM chosen_by x LEFT JOIN cards b ON b.id = x.id LEFT JOIN cards v ON v.id = x.eye_id LEFT JOIN firsts f ON f.scan_id = x.scan_id"""
 

@@ -292,7 +292,8 @@ def q44_responses(spark, sf_dir):
     scans, cards = _scans_and_cards(spark, sf_dir)
     answers = scoring.responses(scans, cards, _seen(scans, cards))
     first = F.get("candidates", 0)
-    return answers.select(*(c for c in answers.columns if c != "candidates"), F.size("candidates").alias("n_candidates"), first["unique_id"].alias("first_id"), first["confidence"].alias("first_confidence"))
+    beside = [F.col(f"visual_candidate.{f}").alias(f"seen_{f}") for f in ("name", "hp", "similarity")]
+    return answers.select(*(c for c in answers.columns if c not in ("candidates", "visual_candidate")), *beside, F.size("candidates").alias("n_candidates"), first["unique_id"].alias("first_id"), first["confidence"].alias("first_confidence"))
 
 
 @_query

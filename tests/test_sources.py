@@ -124,6 +124,8 @@ def test_answers(spark):
     assert (got[5]["verified"], got[5]["disagreement"]) == (False, True)
     assert (got[3]["verified"], got[3]["best_score"], got[3]["message"], got[3]["rarity"]) == (False, 0.0, "No cards found.", "Unknown")
     assert (got[4]["verified"], got[4]["visual_match_applied"], got[4]["name"], got[4]["unique_id"], got[4]["best_score"]) == (True, True, "Mewtwo", "151", 93.0)
+    assert (got[4]["visual_similarity"], got[4]["visual_candidate"]) == (0.93, None)
+    assert (got[2]["visual_similarity"], tuple(got[2]["visual_candidate"]), got[3]["visual_candidate"]) == (None, ("Mew ex", 180, 0.95), None)
     body = {r["scan_id"]: json.loads(r["body"]) for r in scoring.response_json(scoring.responses(scans, cards, seen)).collect()}
     assert body[3]["name"] is None and body[3]["verified"] is False and body[3]["candidates"] == [] and body[1]["candidates"][0] == {"unique_id": "151/165", "hp": 180, "confidence": 0.95}
 
