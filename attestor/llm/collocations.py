@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, partitions, slices, texts, written
 
 #: Words of a phrase at most; bytes of text in a block; one of so many suffixes is looked at for routing; suffixes of a route, about.
-DEPTH, SLICE, SAMPLE, ROUTE = 4, 8 << 20, 512, 3_000_000
+DEPTH, SLICE, SAMPLE, ROUTE = 4, 8 << 20, 512, 1_500_000
 #: Lower-cases A-Z; what ends a piece becomes a full stop, a tab a space.
 PIECES = bytes(46 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else LOWER[c] for c in range(256))
 _CODEC = "zstd"
@@ -213,24 +213,27 @@ def frequent(cols: np.ndarray, weight: np.ndarray, least: int):
     if not n or int(weight.sum()) < least:
         return
     flat = np.ascontiguousarray(cols).reshape(-1)
-    at = np.arange(n)  # pointers
+    kind = np.int32 if cols.size < 1 << 31 else np.int64  # of places; halves what a round holds
+    at = np.arange(n, dtype=kind)  # pointers
     start, size, level = np.zeros(1, np.int64), np.array([n]), np.zeros(1, np.int64)
     while len(at):
-        word = flat[np.repeat(level * n, size) + at]
+        word = flat[np.repeat((level * n).astype(kind), size) + at]
         a, b, c = word[start], word[start + size // 2], word[start + size - 1]
         pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))  # the median of three
         pivot = np.repeat(pivot, size)
         part = (word > pivot).astype(np.int8) - (word < pivot).astype(np.int8)
+        del word, pivot
         # each part's pointers side by side: where a pointer goes follows from how many of its part stand before it
-        seg = np.repeat(np.arange(len(start)), size)
-        counts = np.bincount(seg * 3 + part + 1, minlength=3 * len(start))
+        seg = np.repeat(np.arange(len(start), dtype=kind), size)
+        counts = np.bincount(seg * 3 + (part + 1), minlength=3 * len(start))
         begin = np.cumsum(counts) - counts
-        moved = np.empty(len(at), np.int64)
+        moved = np.empty(len(at), kind)
         for k in (-1, 0, 1):
-            mine = part == k
-            running = np.cumsum(mine)
-            base = (running - mine)[start]
-            moved[(begin[seg * 3 + k + 1] + running - 1 - base[seg])[mine]] = at[mine]
+            mine = np.flatnonzero(part == k)
+            before = np.cumsum(counts[k + 1 :: 3]) - counts[k + 1 :: 3]  # of this part, in the partitions before
+            own = seg[mine]
+            moved[begin[own * 3 + k + 1] + np.arange(len(mine)) - before[own]] = at[mine]
+        del seg, part
         full = np.flatnonzero(counts)
         begin, counts = begin[full], counts[full]
         total = np.add.reduceat(weight[moved], begin)
@@ -263,7 +266,8 @@ def _counted(dealt: DataFrame, least: int) -> DataFrame:
             k, at = k + len(ws), at + some.shape[1]
         weight = np.concatenate([p[2] for p in parts]).astype(np.int64)
         depth = np.concatenate([p[3] for p in parts])
-        del parts
+        del parts, words, numbers
+        bodies.clear()
         for d, at, f in frequent(cols, weight, least):
             own = depth[at] <= d  # shorter phrases are hot: other routes have suffixes of them too
             at, f = at[own], f[own]
