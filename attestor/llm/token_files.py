@@ -45,8 +45,8 @@ from .common import load_file, partitions, save, shared_dir, slices, utf8, writt
 from .units import cut, doubtful
 
 MAGIC = b"IDSHARD1"
-#: Bytes of payload after which a task begins another shard; units whose ids a worker keeps; bits of a level for each key.
-SHARD_BYTES, KEPT, LOAD = 8 << 20, 1_000_000, 1.6
+#: Bytes of payload after which a task begins another shard; short and other units whose ids a worker keeps; bytes of a text from which it is cut by itself; bits of a level for each key.
+SHARD_BYTES, KEPT, KEPT_LONG, LONG, LOAD = 8 << 20, 2_000_000, 100_000, 4 << 20, 1.6
 _HEADER = struct.Struct("<8sIIQQQQ")
 _SLOT = np.dtype([("print", "<u4"), ("row", "<u4"), ("rows", "<u4")])
 _ROW = np.dtype([("key", "<i8"), ("null", "u1"), ("start", "<u8"), ("n", "<u8")])
@@ -165,10 +165,66 @@ class Shard:
 # ---------------------------------------------------------------- encoding with the library
 
 
+class Units:
+    """Ids of units of at most 15 bytes, in arrays: keys (the bytes and the length) by open addressing, ids one after another."""
+
+    _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+    def __init__(self, dtype: str):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots, self.size = np.full(1 << 16, -1, np.int32), 0
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.length, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.dtype)
+
+    @classmethod
+    def keys(cls, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two words for each unit; ``data`` goes on for 16 bytes after the last."""
+        view = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+        low = view[start] & cls._MASKS[np.minimum(length, 8)]
+        high = view[start + 8] & cls._MASKS[np.clip(length - 8, 0, 7)]
+        return low, high | length.astype(np.uint64) << np.uint64(56)
+
+    def _home(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (_mix(low ^ _mix(high, 7), 8) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The unit of each key, -1 for keys that aren't here."""
+        out = np.full(len(low), -1, np.int64)
+        left, at = np.arange(len(low)), self._home(low, high)
+        while len(left):
+            found = self.slots[at]
+            some = found >= 0
+            left, at, found = left[some], at[some], found[some]
+            same = (self.low[found] == low[left]) & (self.high[found] == high[left])
+            out[left[same]] = found[same]
+            left, at = left[~same], (at[~same] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Distinct keys that aren't here, with their ids one after another."""
+        self.low, self.high = np.concatenate([self.low, low]), np.concatenate([self.high, high])
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(length) - length).astype(np.int32)])
+        self.length, self.ids = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.ids, ids])
+        new = np.arange(self.size, len(self.low))
+        self.size = len(self.low)
+        if 2 * self.size > len(self.slots):
+            self.slots, new = np.full(1 << (4 * self.size).bit_length(), -1, np.int32), np.arange(self.size)
+        at = self._home(self.low[new], self.high[new])
+        while len(new):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = new[free]
+            lost = self.slots[at] != new
+            new, at = new[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+
 class LibraryEncoder:
     """Encodes texts with the tokenizers library, unit by unit; the ids of units are kept.
 
-    ``heads`` holds units that begin a text, ``tails`` those that follow a space, without it.
+    ``short`` holds short units that follow a space, without it; ``heads`` units that begin a text,
+    ``tails`` other units that follow a space.
     """
 
     def __init__(self, path: str, width: int):
@@ -180,10 +236,17 @@ class LibraryEncoder:
         self.lengths = np.array([len(t) for t in load(path).tokens], np.int64)
         self.heads: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {}
+        self.short = Units(self.dtype)
+
+    def _joined(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units of these sizes in bytes, encoded as one text in which each follows a space, and where each unit's ids end, told by the tokens' lengths."""
+        [got] = self.library.encode_batch_fast([text], add_special_tokens=False)
+        ids = np.array(got.ids, self.dtype)
+        return ids, np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(sizes + 1), side="right")
 
     def _learn(self, kept: dict[bytes, bytes], units: set[bytes], space: str) -> None:
         new = units - kept.keys()
-        if len(kept) + len(new) > KEPT:
+        if len(kept) + len(new) > KEPT_LONG:
             kept.clear()
             new = units
         new = list(new)
@@ -193,37 +256,103 @@ class LibraryEncoder:
                 for unit, got in zip(some, self.library.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)):
                     kept[unit] = np.array(got.ids, self.dtype).tobytes()
                 continue
-            # units that follow a space are encoded as one text; where each ends is told by the tokens' lengths
-            [got] = self.library.encode_batch_fast([" " + b" ".join(some).decode()], add_special_tokens=False)
-            ids = np.array(got.ids, self.dtype)
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
-            packed, last, at = ids.tobytes(), 0, np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right") * ids.itemsize
-            for unit, end in zip(some, at.tolist()):
+            ids, ends = self._joined((b" " + b" ".join(some)).decode(), np.fromiter(map(len, some), np.int64, len(some)))
+            packed, last = ids.tobytes(), 0
+            for unit, end in zip(some, (ends * ids.itemsize).tolist()):
                 kept[unit] = packed[last:end]
                 last = end
 
+    def _short(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Where units of at most 15 bytes are in ``short``; new ones are encoded."""
+        low, high = Units.keys(data, start, length)
+        found = self.short.find(low, high)
+        new = np.flatnonzero(found < 0)
+        if self.short.size + len(new) > KEPT and self.short.size:
+            self.short.clear()
+            found, new = np.full(len(low), -1, np.int64), np.arange(len(low))
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+            once, ids, sizes = order[first], [], []
+            for k in range(0, len(once), 10_000):
+                n, at = length[once[k : k + 10_000]], start[once[k : k + 10_000]]
+                begin = np.cumsum(n + 1) - n - 1
+                text = data[np.arange(int((n + 1).sum())) + np.repeat(at - 1 - begin, n + 1)]  # with the byte before, which is the space
+                some, ends = self._joined(text.tobytes().decode(), n)
+                ids.append(some)
+                sizes.append(np.diff(ends, prepend=0))
+            self.short.add(low[once], high[once], np.concatenate(ids), np.concatenate(sizes))
+            found[new] = self.short.find(low[new], high[new])
+        return found
+
+    def _cuts(self, text: bytes, doubt: bool) -> list[tuple[bytes, bytes, list[bytes]]]:
+        """What stands before each part between special tokens (packed), the unit that begins it, and those that follow."""
+        parts = [(b"", text)]
+        if self.pattern is not None and self.pattern.search(text):
+            found = self.pattern.split(text)
+            parts = [(np.array([self.special[found[j - 1]]], self.dtype).tobytes() if j else b"", found[j]) for j in range(0, len(found), 2)]
+        out = []
+        for before, part in parts:
+            head, *rest = cut(part, doubt or len(parts) > 1)
+            out.append((before, head, rest))
+        return out
+
+    def _plain(self, data: np.ndarray, at: np.ndarray, some: np.ndarray) -> list[bytes]:
+        """Packed ids of the texts ``some``, in which each space begins a unit."""
+        begin, end = at[some], at[some + 1]
+        size = end - begin
+        whole = np.zeros(int(size.sum()) + 16, np.uint8)
+        at = np.append(0, np.cumsum(size))
+        whole[: at[-1]] = data[np.arange(at[-1]) + np.repeat(begin - at[:-1], size)] if at[-1] < len(data) else data
+        spaces = np.flatnonzero(whole[: at[-1]] == 32)
+        # units in order: each text's head, then what follows its spaces
+        per = np.searchsorted(spaces, at)
+        of_head = per[:-1] + np.arange(len(some))
+        head = np.zeros(len(spaces) + len(some), bool)
+        head[of_head] = True
+        start = np.empty(len(head), np.int64)
+        start[head], start[~head] = at[:-1], spaces + 1
+        stop = np.append(start[1:] - 1, at[-1])  # where the space before the next unit is
+        stop[np.append(head[1:], True)] = at[1:]
+        length = stop - start
+        short = ~head & (length < 16)
+        n, first = np.empty(len(head), np.int64), np.empty(len(head), np.int64)
+        found = self._short(whole, start[short], length[short])
+        n[short], first[short] = self.short.length[found], self.short.start[found]
+        raw = whole.tobytes()
+        rest = np.flatnonzero(~short)
+        units = [raw[i:j] for i, j in zip(start[rest].tolist(), stop[rest].tolist())]
+        heads = head[rest].tolist()
+        self._learn(self.heads, {u for u, h in zip(units, heads) if h}, "")
+        self._learn(self.tails, {u for u, h in zip(units, heads) if not h}, " ")
+        got = [self.heads[u] if h else self.tails[u] for u, h in zip(units, heads)]
+        more = np.frombuffer(b"".join(got), self.dtype)
+        n[rest] = np.fromiter(map(len, got), np.int64, len(got)) // more.itemsize
+        first[rest] = len(self.short.ids) + np.cumsum(n[rest]) - n[rest]
+        pool = np.concatenate([self.short.ids, more])
+        ends = np.cumsum(n)
+        packed = pool[np.arange(int(n.sum())) + np.repeat(first - (ends - n), n)].tobytes()
+        edges = (np.append(0, ends)[np.append(of_head, len(head))] * more.itemsize).tolist()
+        return [packed[i:j] for i, j in zip(edges[:-1], edges[1:])]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
         """Packed ids of texts given as joined UTF-8 bytes and offsets."""
         doubt, raw, ends = doubtful(data, at), data.tobytes(), at.tolist()
-        packed = {s: np.array([i], self.dtype).tobytes() for s, i in self.special.items()}
-        heads, tails, texts = set(), set(), []
-        for k in range(len(ends) - 1):
-            text = raw[ends[k] : ends[k + 1]]
-            parts = [(b"", text)]  # what stands before a part, and the part
-            if self.pattern is not None and self.pattern.search(text):
-                found = self.pattern.split(text)
-                parts = [(packed[found[j - 1]] if j else b"", found[j]) for j in range(0, len(found), 2)]
-            cuts = []
-            for before, part in parts:
-                head, *rest = cut(part, bool(doubt[k]) or len(parts) > 1)
-                heads.add(head)
-                tails.update(rest)
-                cuts.append((before, head, rest))
-            texts.append(cuts)
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
-        head_of, tail_of = self.heads.__getitem__, self.tails.__getitem__
-        return [b"".join([x for before, head, rest in cuts for x in (before, head_of(head), *map(tail_of, rest))]) for cuts in texts]
+        slow = doubt | (np.diff(at) > LONG)
+        if self.pattern is not None and self.pattern.search(raw):
+            slow |= np.array([self.pattern.search(raw, i, j) is not None for i, j in zip(ends[:-1], ends[1:])], bool)
+        out: list[bytes] = [b""] * len(slow)
+        plain = np.flatnonzero(~slow)
+        if len(plain):
+            for k, packed in zip(plain.tolist(), self._plain(data, at, plain)):
+                out[k] = packed
+        for k in np.flatnonzero(slow).tolist():
+            cuts = self._cuts(raw[ends[k] : ends[k + 1]], bool(doubt[k]))
+            self._learn(self.heads, {head for _, head, _ in cuts}, "")
+            self._learn(self.tails, {unit for _, _, rest in cuts for unit in rest}, " ")
+            out[k] = b"".join([x for before, head, rest in cuts for x in (before, self.heads[head], *map(self.tails.__getitem__, rest))])
+        return out
 
 
 @lru_cache(maxsize=2)
