@@ -16,6 +16,8 @@ from ..functions import similarity, text
 
 #: Least similarity and most names of the fuzzy search.
 LEAST, MOST = 65, 8
+#: Pairs of a key that one task makes at most, unless fewer than SCANS scans have that many.
+PAIRS, SCANS = 4_000_000, 1000
 
 
 def _parts(df: DataFrame) -> int:
@@ -52,10 +54,34 @@ def total_query(collector_id):
     return F.when(collector_id.contains("/") & (total != ""), total)
 
 
+def _all_keys(rows: DataFrame, by: str, key) -> DataFrame:
+    """Rows (by, key, keys), once each: the keys of an id, beside all of them in order where there are several."""
+    of = rows.select(by, key.alias("key")).where("key is not null").groupBy(by).agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return of.select(by, F.explode("keys").alias("key"), F.when(F.size("keys") > 1, F.col("keys")).alias("keys"))
+
+
+def dealt(scans: DataFrame, cards: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Scans and cards that meet by a key, each with a ``piece`` to meet by as well: the scans of a frequent key go to several pieces, its cards to all of those."""
+    n, m = F.col("n"), F.col("m")
+    sizes = scans.groupBy(key).agg(F.count("*").alias("n")).join(cards.groupBy(key).agg(F.count("*").alias("m")), key)
+    pieces = sizes.select(key, F.greatest(F.least(F.ceil(n * m / PAIRS), F.ceil(n / SCANS)), F.lit(1)).cast("int").alias("pieces"))
+    left = scans.join(pieces, key).withColumn("piece", F.pmod(F.xxhash64("scan_id"), F.col("pieces")).cast("int")).drop("pieces")
+    right = cards.join(pieces, key).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    n = _parts(cards)  # by number, since few rows make many pairs, which adaptive execution doesn't see
+    return left.repartition(n, key, "piece"), right.repartition(n, key, "piece")
+
+
 def by_number(scans: DataFrame, cards: DataFrame) -> DataFrame:
-    """Rows (scan_id, id): cards that share a number key or an alias with the scan's number (see ``text.number_key``)."""
-    asked = scans.select("scan_id", text.number_key(number_query(F.col("collector_id"))).alias("key"))
-    return asked.join(cards.select("id", text.number_key(F.col("number")).alias("key")), "key").select("scan_id", "id").distinct()
+    """Rows (scan_id, id), once each: cards that share a number key or an alias with the scan's number (see ``text.number_key``).
+
+    Pairs are not compared with each other: a pair that shares several keys, which takes a repeated scan_id
+    and a repeated id, is made by the least of them.
+    """
+    asked = _all_keys(scans, "scan_id", text.number_key(number_query(F.col("collector_id"))))
+    known = _all_keys(cards, "id", text.number_key(F.col("number"))).withColumnRenamed("keys", "others")
+    asked, known = dealt(asked, known, "key")
+    once = F.col("keys").isNull() | F.col("others").isNull() | (F.array_min(F.array_intersect("keys", "others")) == F.col("key"))
+    return asked.join(known, ["key", "piece"]).where(once).select("scan_id", "id")
 
 
 def fuzzy_names(scans: DataFrame, cards: DataFrame) -> DataFrame:
