@@ -8,7 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def bound(f, *columns: Column) -> Column:
@@ -207,3 +207,20 @@ def alike(a: str, b: str) -> int:
 def alike_each(a: pd.Series, b: pd.Series) -> pd.Series:
     """``alike`` of two columns, 0 where one is null."""
     return pd.Series([0.0 if x is None or y is None else float(alike(x, y)) for x, y in zip(a, b)], dtype="float64")
+
+
+@lru_cache(maxsize=1 << 18)
+def _shared_blocks(a: str, b: str) -> float:
+    """As ``matching_blocks``."""
+    return difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def _each_with_each(of):
+    def run(names: pd.Series) -> pd.Series:
+        return pd.Series([[1.0 if x == y and x != "" else of(x, y) for x in ns for y in ns] for ns in names])
+
+    return F.pandas_udf(run, ArrayType(DoubleType()))
+
+
+#: For similarities of columns: those of all pairs of the strings of an array, row by row; equal strings that aren't empty have 1.
+EACH_WITH_EACH = {"ratio": _each_with_each(lambda x, y: _percent(x, y) / 100.0), "matching_blocks": _each_with_each(_shared_blocks)}

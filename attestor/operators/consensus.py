@@ -9,6 +9,8 @@ from ..functions import similarity
 
 #: Similarity from which two names agree.
 AGREE = 0.78
+#: Distinct names up to which a group's are compared in one row.
+FEW = 64
 
 
 def modal(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -43,11 +45,41 @@ def name_consensus(rows: DataFrame, group: str, value: str, order: str, similar=
 
     Each name is compared with the distinct names of its group, weighted by how often they occur; equal
     means go to a name with a suffix, then to the first. ``similar`` makes the similarity of two
-    columns, by default the indel ratio from 0 to 1.
+    columns, by default the indel ratio from 0 to 1. With that or ``matching_blocks``, groups of up to FEW
+    names are judged whole, so that no pairs are exchanged.
     """
+    known = {None: "ratio", similarity.matching_blocks: "matching_blocks"}.get(similar)
     similar = similar or (lambda a, b: similarity.ratio(a, b) / 100.0)
-    bare = F.regexp_replace(F.lower(value), "[^a-z]", "")
-    names = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("name")).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.first(bare).alias("bare"))
+    bare = F.regexp_replace(F.lower("name"), "[^a-z]", "")
+    # dealt by group, so that names and groups are counted without another exchange
+    seen = rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("name"), F.col(order).alias("_order")).repartition(group)
+    names = seen.groupBy(group, "name").agg(F.count("*").alias("n"), F.min("_order").alias("first")).withColumn("bare", bare)
+    if known is None:
+        return _consensus_by_pairs(names, group, similar)
+    entry = F.struct("name", "n", "first", "bare")
+    groups = names.groupBy(group).agg(F.count("*").alias("size"), F.collect_list(entry).alias("names"))
+    few = groups.where(F.col("size") <= FEW).select(group, "names", similarity.EACH_WITH_EACH[known](F.col("names")["bare"]).alias("alike"))
+    return _consensus_of_few(few, group).unionByName(_consensus_by_pairs(groups.where(F.col("size") > FEW).select(group, F.explode("names").alias("e")).select(group, "e.*"), group, similar))
+
+
+def _has_suffix(name: Column) -> Column:
+    return name.rlike(r"(?i)\s(?:ex|gx|v|vmax|vstar)$")
+
+
+def _consensus_of_few(groups: DataFrame, group: str) -> DataFrame:
+    """For groups as arrays of names and of the similarities of each with each."""
+    names, size = F.col("names"), F.size("names")
+    total = F.aggregate("names", F.lit(0).cast("long"), lambda t, e: t + e["n"])
+    each = F.sequence(F.lit(0), size - 1)
+    mean = lambda i: F.aggregate(each, F.lit(0.0), lambda t, j: t + F.get("alike", i * size + j) * F.get(names, j)["n"])
+    agree = lambda i: F.aggregate(each, F.lit(0).cast("long"), lambda t, j: t + F.when(F.get("alike", i * size + j) >= AGREE, F.get(names, j)["n"]).otherwise(0))
+    judged = lambda e, i: F.struct(F.round(mean(i) / F.col("all"), 9).alias("mean"), _has_suffix(e["name"]).alias("suffix"), (-e["first"]).alias("first"), e["name"].alias("name"), F.round(agree(i) / F.col("all"), 9).alias("agreement"))
+    best = groups.withColumn("all", total).select(group, "all", F.array_max(F.transform("names", judged)).alias("b"))
+    return best.select(group, F.col("b.name").alias("name"), F.when(F.col("all") == 1, 1.0).otherwise(F.col("b.agreement")).alias("agreement"))
+
+
+def _consensus_by_pairs(names: DataFrame, group: str, similar) -> DataFrame:
+    """For rows (group, name, n, first, bare)."""
     a, b = names.alias("a"), names.alias("b")
     pairs = a.join(b, group).select(F.col(group), F.col("a.name"), F.col("a.first"), F.col("b.n").alias("n"), F.col("a.bare").alias("x"), F.col("b.bare").alias("y"))
     distinct = pairs.select("x", "y").distinct()
@@ -55,8 +87,7 @@ def name_consensus(rows: DataFrame, group: str, value: str, order: str, similar=
     means = pairs.join(alike, ["x", "y"]).groupBy(group, "name", "first").agg(
         F.round(F.sum(F.col("s") * F.col("n")) / F.sum("n"), 9).alias("mean"), F.round(F.sum(F.when(F.col("s") >= AGREE, F.col("n")).otherwise(0)) / F.sum("n"), 9).alias("agreement"), F.sum("n").alias("all")
     )
-    suffix = F.col("name").rlike(r"(?i)\s(?:ex|gx|v|vmax|vstar)$")
-    best = Window.partitionBy(group).orderBy(F.desc("mean"), F.desc(suffix.cast("int")), "first")
+    best = Window.partitionBy(group).orderBy(F.desc("mean"), F.desc(_has_suffix(F.col("name")).cast("int")), "first")
     chosen = means.withColumn("k", F.row_number().over(best)).where("k = 1")
     return chosen.select(group, "name", F.when(F.col("all") == 1, 1.0).otherwise(F.col("agreement")).alias("agreement"))
 

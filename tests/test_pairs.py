@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor.functions import similarity
-from attestor.operators import candidates, contenders, scoring
+from attestor.operators import candidates, consensus, contenders, scoring
 from tests.test_contenders import odd_rows
 
 CARDS = "k long, id string, name string, hp string, number string, set_id string, set_name string, printed_total int"
@@ -63,3 +63,17 @@ def test_alike_in_python_is_that_of_columns(spark):
     a, b = F.col("a"), F.col("b")
     for r in df.select("a", "b", F.greatest(similarity.ratio(a, b), similarity.token_set_ratio(a, b)).alias("s")).collect():
         assert r["s"] == similarity.alike(r["a"], r["b"]), r
+
+
+@pytest.mark.parametrize("similar", [None, similarity.matching_blocks])
+def test_groups_of_few_names_are_judged_without_exchanging_pairs(spark, monkeypatch, similar):
+    rng = random.Random(4)
+    names = ["Mew ex", "Mewe", "MEW EX", "Mew", "12", "", "Abra", "Kadabra v", "Mew VMAX", None]
+    rows = spark.createDataFrame([(g, n, rng.choice(names)) for g in range(60) for n in range(rng.randint(1, 7))], "g long, n long, v string")
+    monkeypatch.setattr(consensus, "FEW", 0)
+    want = sorted(map(str, consensus.name_consensus(rows, "g", "v", "n", similar).collect()))  # all by pairs
+    monkeypatch.setattr(consensus, "FEW", 3)
+    assert sorted(map(str, consensus.name_consensus(rows, "g", "v", "n", similar).collect())) == want and len(want) > 50
+    monkeypatch.setattr(consensus, "_consensus_by_pairs", lambda names, group, similar: names.limit(0).select(group, "name", F.lit(0.0).alias("agreement")))
+    monkeypatch.setattr(consensus, "FEW", 64)
+    assert sorted(map(str, consensus.name_consensus(rows, "g", "v", "n", similar).collect())) == want
